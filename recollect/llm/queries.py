@@ -25,6 +25,13 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_digests(spark, path)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.quality import quality
+
+    judged = quality(table(spark, sf_dir, "documents"), columns=["doc_id"])
+    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recollect.llm.bpe import bpe, digests
 
@@ -34,6 +41,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_token_files": op3_token_files,
+    "op7_quality": op7_quality,
     "op9_bpe": op9_bpe,
 }
 
