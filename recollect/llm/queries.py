@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from recollect.llm.shared import new_path, table
 
@@ -32,6 +33,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.substrings import remove_repeats
+
+    cut = remove_repeats(table(spark, sf_dir, "documents"), columns=["doc_id"])
+    return cut.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recollect.llm.bpe import bpe, digests
 
@@ -42,6 +50,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_token_files": op3_token_files,
     "op7_quality": op7_quality,
+    "op8_substrings": op8_substrings,
     "op9_bpe": op9_bpe,
 }
 
