@@ -26,6 +26,21 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_digests(spark, path)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.decontaminate import contamination
+
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=2)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+        "n_near",
+    )
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recollect.llm.quality import quality
 
@@ -49,6 +64,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_token_files": op3_token_files,
+    "op6_decontamination": op6_decontamination,
     "op7_quality": op7_quality,
     "op8_substrings": op8_substrings,
     "op9_bpe": op9_bpe,
