@@ -26,6 +26,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_digests(spark, path)
 
 
+def op5_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.near_dups import classes
+
+    return classes(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recollect.llm.decontaminate import contamination
 
@@ -64,6 +70,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_token_files": op3_token_files,
+    "op5_near_dups": op5_near_dups,
     "op6_decontamination": op6_decontamination,
     "op7_quality": op7_quality,
     "op8_substrings": op8_substrings,
