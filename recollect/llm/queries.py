@@ -18,6 +18,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.html_text import extract
+
+    found = extract(table(spark, sf_dir, "pages"), columns=["page_id", "url"])
+    return found.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recollect.llm.token_files import file_digests, write_token_files
 
@@ -69,6 +76,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_html_text": op2_html_text,
     "op3_token_files": op3_token_files,
     "op5_near_dups": op5_near_dups,
     "op6_decontamination": op6_decontamination,
