@@ -33,6 +33,13 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_digests(spark, path)
 
 
+def op4_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.resharding import reshard_files
+
+    files = reshard_files(table(spark, sf_dir, "documents"), 24, F.pmod(F.xxhash64("doc_id"), F.lit(16)))
+    return files.select("row.doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recollect.llm.near_dups import classes
 
@@ -78,6 +85,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_html_text": op2_html_text,
     "op3_token_files": op3_token_files,
+    "op4_resharding": op4_resharding,
     "op5_near_dups": op5_near_dups,
     "op6_decontamination": op6_decontamination,
     "op7_quality": op7_quality,
