@@ -106,16 +106,21 @@ class Codec:
                 heappush(queue, r << 32 | h)
         return tuple([s for s in sym if s >= 0])
 
+    def pre_tokens(self, piece: str) -> list[str]:
+        """Pre-tokens of a chunk without special tokens: NFC, lower case code point by code point, pattern."""
+        if piece.isascii() or max(piece) < "\u0250":
+            low = piece.lower() if piece.isascii() else unicodedata.normalize("NFC", piece).lower()
+            if low.isalpha():
+                return [low]
+            if low[-1] in ".," and low[:-1].isalpha():
+                return [low[:-1], low[-1]]
+            return self.pattern.findall(low)
+        return [w for w, _ in self.split.pre_tokenize_str(self.normal.normalize_str(piece))]
+
     def plain(self, piece: str) -> tuple[int, ...]:
-        """Ids of a chunk without special tokens: NFC, lower case code point by code point, pattern, merges."""
-        if piece.isascii():
-            words = self.pattern.findall(piece.lower())
-        elif max(piece) < "\u0250":
-            words = self.pattern.findall(unicodedata.normalize("NFC", piece).lower())
-        else:
-            words = [w for w, _ in self.split.pre_tokenize_str(self.normal.normalize_str(piece))]
+        """Ids of a chunk without special tokens."""
         out: tuple[int, ...] = ()
-        for word in words:
+        for word in self.pre_tokens(piece):
             ids = self.words.get(word)
             if ids is None:
                 ids = self.pre_token(word)
@@ -131,11 +136,14 @@ class Codec:
             ids = tuple(chain.from_iterable((self.special[x],) if x in self.special else self.plain(x) for x in self.special_at.split(piece) if x))
         else:
             ids = self.plain(piece)
+        self.keep(piece, ids)
+        return ids
+
+    def keep(self, piece: str, ids: tuple[int, ...]) -> None:
         if len(self.pieces) >= CACHE:
             self.pieces.clear()
         if len(piece) < 64:
             self.pieces[piece] = ids
-        return ids
 
     def encode(self, text: str) -> list[int]:
         get, miss, none = self.pieces.get, self.chunk, None

@@ -9,9 +9,8 @@ dictionary is a table of its own beside the blocks.
 from __future__ import annotations
 
 import hashlib
-import os
+import struct
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from recollect.llm.bpe import chunks
+from recollect.llm.bpe import Codec, byte_alphabet, chunks
 from recollect.llm.shared import small_batches
 
 #: The dictionary is fitted on so many documents at most (those with the least hash of id), none longer than this.
@@ -32,29 +31,37 @@ CACHE = 400_000
 BLOCKS = "part int, block int, first long, low long, high long, dict_sha256 string, ids array<long>, n_tokens array<long>, offsets array<long>, payload binary"
 
 
-class Encoder:
-    """The tokenizers library on the distinct chunks between white space; the ids of a chunk are kept."""
+class Encoder(Codec):
+    """The tokenizers library's model on each distinct pre-token; a worker keeps the serialized ids of what it has met."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        super().__init__(path)
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.pieces: dict[str, list[int]] = {}
+        self.model = Tokenizer.from_file(path).model
+        self.alphabet = byte_alphabet()
+        self.packed: dict[str, bytes] = {}
 
-    def encode(self, texts: list, end: int) -> list[np.ndarray]:
-        """Ids of each text (None: of an empty one) and the end id, as little-endian unsigned 32-bit numbers."""
-        cut = [chunks(t) if t else [] for t in texts]
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
-        new = list({*chain.from_iterable(cut)}.difference(self.pieces))
-        known = dict(zip(new, (e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)))) if new else {}
-        self.pieces.update((k, v) for k, v in known.items() if len(k) < 64)
-        known = {k: v for k, v in known.items() if len(k) >= 64}
-        get = self.pieces.get
-        return [np.array([*chain.from_iterable([ids if (ids := get(x)) is not None else known[x] for x in c]), end], "<u4") for c in cut]
+    def pre_token(self, word: str) -> tuple[int, ...]:
+        mapped = word if word.isascii() and word.isprintable() and " " not in word else "".join([self.alphabet[b] for b in word.encode("utf-8")])
+        return tuple([t.id for t in self.model.tokenize(mapped)])
+
+    def pack(self, piece: str) -> bytes:
+        ids = self.chunk(piece)
+        data = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self.packed) >= CACHE:
+            self.packed.clear()
+        if len(piece) < 64:
+            self.packed[piece] = data
+        return data
+
+    def keep(self, piece: str, ids: tuple[int, ...]) -> None:
+        """Packed chunks are kept instead."""
+
+    def serialized(self, text: str | None, end: bytes) -> bytes:
+        """Ids of a whole text (None: of an empty one) and the end id, as little-endian unsigned 32-bit numbers."""
+        get, miss = self.packed.get, self.pack
+        return b"".join([get(x) or miss(x) for x in chunks(text)]) + end if text else end
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -68,8 +75,10 @@ def encoder(path: str) -> Encoder:
 
 def train_dictionary(docs: DataFrame, path: str, end: int) -> bytes:
     """A zstandard dictionary fitted on the serialized ids of a bounded sample; empty where too little is given."""
-    rows = docs.where(F.length("text").between(1, SAMPLE_CHARS)).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
-    sample = [x.tobytes() for x in encoder(path).encode([r["text"] for r in rows.collect()], end)]
+    rows = docs.select("id", "text", F.xxhash64("id").alias("h")).where(F.length("text").between(1, SAMPLE_CHARS))
+    least = rows.select("h").orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h")).first()[0]
+    texts = rows.where(F.col("h") <= F.lit(least)).select("text").limit(SAMPLE_ROWS) if least is not None else rows.select("text").limit(0)
+    sample = sorted(encoder(path).serialized(r["text"], struct.pack("<I", end)) for r in texts.collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, sample).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -90,6 +99,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = 2,
     spark.createDataFrame([(digest, bytearray(dictionary))], "dict_sha256 string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
     def run(batches):
+        last = struct.pack("<I", end)
         part, number, first = TaskContext.get().partitionId(), 0, 0
         made = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else zstandard.ZstdCompressor()
         ids: list = []
@@ -106,10 +116,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = 2,
         names = [x.split()[0] for x in BLOCKS.split(", ")]
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
         for batch in batches:
-            for key, x in zip(batch.column(0).to_pylist(), encoder(tokenizer).encode(batch.column(1).to_pylist(), end)):
-                frames.append(made.compress(x.tobytes()))
+            for key, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                data = encoder(tokenizer).serialized(x, last)
+                frames.append(made.compress(data))
                 ids.append(key)
-                counts.append(len(x))
+                counts.append(len(data) // 4)
                 size += len(frames[-1])
                 if size >= BLOCK_BYTES or len(ids) >= BLOCK_ROWS:
                     yield block()
