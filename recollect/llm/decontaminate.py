@@ -22,6 +22,8 @@ from recollect.llm.shared import new_path, small_batches
 WINDOW = 10
 #: A shard closes at so many words or documents.
 SHARD_WORDS, SHARD_DOCS = 400_000, 2_048
+#: Places between two documents of a shard; words may be out of place by less.
+GAP = 16
 #: Words of the test items that one search sends to the shards; more are searched block by block.
 BLOCK_WORDS = 2_000_000
 SHARDS = "ids array<long>, keys array<long>, begins binary, terms binary, counts binary, places binary"
@@ -55,9 +57,9 @@ def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         size = 0
 
         def shard():
-            begins = np.cumsum([0, *(len(t) + 1 for t in texts)]).astype(np.int64)
+            begins = np.cumsum([0, *(len(t) + GAP for t in texts)]).astype(np.int64)
             words = np.concatenate(texts) if texts else np.empty(0, np.uint64)
-            place = np.arange(len(words)) + np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+            place = np.arange(len(words)) + GAP * np.repeat(np.arange(len(texts)), [len(t) for t in texts])
             order = np.argsort(words, kind="stable")
             terms, first = np.unique(words[order], return_index=True)
             sorted_places = place[order].astype(np.int32)
@@ -122,25 +124,23 @@ def match(windows: Windows, begins, terms, counts, places, slop: int) -> dict[in
         size = int(windows.sizes[w])
         rarest = np.argsort(seen[w, :size], kind="stable")
         number = windows.number[w]
-        start = of(number[rarest[0]]) - rarest[0]
+        # a proximity match begins with the first word; an exact phrase is looked for from the rarest on
+        start = of(number[0]) if slop else of(number[rarest[0]]) - rarest[0]
         exact = np.ones(len(start), bool)
-        for k in rarest[1:]:
+        for k in rarest:
             own = of(number[k])
-            if slop:
-                here = near(own, start + k, slop)
-                start, exact = start[here], exact[here]
-            exact = exact & near(own, start + k, 0)
-            if not slop:
-                start, exact = start[exact], exact[exact]
+            here = near(own, start + k, slop)
+            start = start[here]
+            exact = exact[here] & near(own, start + k, 0)
             if not len(start):
                 break
         if len(start):
             doc = np.searchsorted(begins, start, "right") - 1
             first = start - begins[np.maximum(doc, 0)]
-            length = np.diff(begins)[np.minimum(np.maximum(doc, 0), len(begins) - 2)] - 1
+            length = np.diff(begins)[np.minimum(np.maximum(doc, 0), len(begins) - 2)] - GAP
             for d, f, n, e in zip(doc.tolist(), first.tolist(), length.tolist(), exact.tolist()):
-                if d >= 0 and f < n:
-                    found.setdefault(d, []).append((windows.names[w], f, min(size, n - f), e))
+                if d >= 0 and f + size <= n:
+                    found.setdefault(d, []).append((windows.names[w], f, size, e))
     return found
 
 
@@ -156,7 +156,7 @@ def search(index: DataFrame, items: list[tuple[str, str | None]], slop: int = 0)
                 n = len(row["ids"])
                 spans = [[dict(zip(("item", "start", "length", "exact"), s)) for s in found.get(d, ())] for d in range(n)]
                 kind = pa.list_(pa.struct([("item", pa.string()), ("start", pa.int32()), ("length", pa.int32()), ("exact", pa.bool_())]))
-                yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(row["keys"], pa.int64()), pa.array(np.diff(begins) - 1, pa.int64()), pa.array(spans, kind)], ["id", "key", "n_words", "spans"])
+                yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(row["keys"], pa.int64()), pa.array(np.diff(begins) - GAP, pa.int64()), pa.array(spans, kind)], ["id", "key", "n_words", "spans"])
 
     index.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)
     return index.mapInArrow(run, f"id long, key long, n_words long, spans {SPAN}")
@@ -179,10 +179,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, path: str | None = None
 
     Gives (id, key, n_words, spans, n_hit, items, n_near), a row for each document row; key is xxhash64 of the text.
     n_hit counts words in exact matches, items are the sorted distinct ids (as strings) with one, n_near counts words in
-    proximity matches (slop words out of place at most; none if 0). Null and empty texts have no words, on either side;
+    proximity matches: a window's first word stands there, and each other word slop words at most from its place. Null and empty texts have no words, on either side;
     an item with a null id has the empty name; repeated rows and items count as they stand; empty tables give no match.
     Terms are 64-bit hashes of words.
     """
+    if not 0 <= slop < GAP:
+        raise ValueError(f"slop must be from 0 to {GAP - 1}")
     spark = docs.sparkSession
     path = path or new_path(spark, "positions")
     build_index(docs, path, id_col, text_col)

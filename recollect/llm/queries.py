@@ -121,10 +121,15 @@ win as (select distinct item, least(len(w), 10) as n, array_to_string(w[i:i + le
 sizes as (select distinct n from win),
 place as (select r, i, n, array_to_string(w[i:i + n - 1], ' ') as s from d, sizes, unnest(range(1, len(w) - n + 2)) as t(i)),
 hit as (select r, i, place.n, item from place join win on place.s = win.s and place.n = win.n),
+win2 as (select n, string_split(s, ' ') as t from (select distinct n, s from win)),
+head as (select r, p, w, w[p] as x from d, unnest(range(1, len(w) + 1)) as t(p)),
+close as (select r, p, n, array_to_string(w[p:p + n - 1], ' ') <> array_to_string(t, ' ') as loose from head join win2 on x = t[1] where p + n - 1 <= len(w) and list_contains(w[greatest(p + n - 3, 1):p + n + 1], t[n]) and list_contains(w[greatest(p + n // 2 - 2, 1):p + n // 2 + 2], t[n // 2 + 1])
+  and list_aggregate([list_contains(w[greatest(p + k - 2, 1):p + k + 2], t[k + 1]) for k in range(0, n)], 'bool_and')),
+beside as (select r, count(distinct p + k) as n_near from close, unnest(range(0, n)) as t(k) where loose group by r),
 covered as (select r, count(distinct i + k) as n_hit from hit, unnest(range(0, n)) as t(k) group by r),
 named as (select r, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct r, item from hit) group by r)
-select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from d left join covered using (r) left join named using (r)""",
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(n_near, 0)::bigint as n_near
+from d left join covered using (r) left join beside using (r) left join named using (r)""",
     "op8_substrings": """
 with d as (select doc_id, row_number() over () as r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
 win as (select r, doc_id, i, array_to_string(w[i:i + 49], ' ') as s from d, unnest(range(1, len(w) - 48)) as t(i) where len(w) >= 50),
