@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from recollect.plans import memory
+
+_PARTS = [memory]
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+SQL = {name: text for part in _PARTS for name, text in part.SQL.items()}
