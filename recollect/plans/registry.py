@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from recollect.plans import memory
+from recollect.plans import chunking, memory, reports
 
-_PARTS = [memory]
+_PARTS = [memory, chunking, reports]
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 SQL = {name: text for part in _PARTS for name, text in part.SQL.items()}
