@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.shared import small_batches, written
+from recollect.llm.shared import bounded_join, small_batches, written
 
 WINDOW = 50
 #: Rounds of pairs, and the words at which a symbol is left as it is.
@@ -87,26 +87,31 @@ def symbols(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
     return name, start, end, low, high
 
 
-def window_hashes(h: np.ndarray) -> np.ndarray:
-    """Hash of each WINDOW words, by place of the first: a difference of prefix sums, moved to the same power."""
-    powers = np.full(len(h) + 1, _MULT, np.uint64)
-    powers[0] = 1
-    powers = np.cumprod(powers)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h) * powers[:-1])])
-    back = np.full(max(len(h) - WINDOW + 1, 0), _INVERSE, np.uint64)
-    back[:1] = 1
-    return mix((sums[WINDOW:] - sums[:-WINDOW]) * np.cumprod(back)) if len(h) >= WINDOW else np.empty(0, np.uint64)
+class Spans:
+    """Hashes of stretches of words: differences of prefix sums, moved to the same power."""
 
+    def __init__(self, h: np.ndarray):
+        powers = np.full(len(h) + 1, _MULT, np.uint64)
+        powers[0] = 1
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h) * np.cumprod(powers)[:-1])])
+        back = np.full(len(h) + 1, _INVERSE, np.uint64)
+        back[0] = 1
+        self.back = np.cumprod(back)
 
-def windows(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all windows inside one text: text, place of the first word in all words, stand-in symbol, hash; and where texts begin."""
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
+
+
+def windows(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, Spans]:
+    """Of all windows inside one text: text, place of the first word in all words, stand-in symbol, whether it begins a
+    run of windows with one stand-in; where texts begin; and the hashes of stretches."""
     h, begin = word_hashes(texts)
     doc = np.repeat(np.arange(len(texts)), np.diff(begin))
     last = np.maximum(begin[1:] - WINDOW, begin[:-1] - 1)  # of each text, the last place at which a window begins
     place = np.flatnonzero(np.arange(len(h)) <= last[doc]) if len(h) else np.empty(0, np.int64)
     if not len(place):
-        return place, place, np.empty(0, np.uint64), np.empty(0, np.uint64), begin
-    own = window_hashes(h)
+        return place, place, np.empty(0, np.uint64), np.empty(0, bool), begin, Spans(h)
+    spans = Spans(h)
     name, start, _, low, high = symbols(h, doc)
     a, b = np.maximum(high - WINDOW, begin[doc[start]]), np.minimum(low, last[doc[start]]) + 1
     usable = np.flatnonzero(a < b)
@@ -115,8 +120,10 @@ def windows(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     for s, i, j in zip(usable.tolist(), a[usable].tolist(), b[usable].tolist()):
         chosen[i:j] = s  # the least hash comes last and stays
     chosen = chosen[place]
-    stand_in = np.where(chosen >= 0, name[chosen], own[place])
-    return doc[place], place, stand_in, own[place], begin
+    stand_in = np.where(chosen >= 0, name[chosen], spans.of(place, place + WINDOW))
+    fresh = np.ones(len(place), bool)
+    fresh[1:] = (chosen[1:] != chosen[:-1]) | (chosen[1:] < 0) | (place[1:] != place[:-1] + 1)
+    return doc[place], place, stand_in, fresh, begin, spans
 
 
 def lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
@@ -130,50 +137,80 @@ def stand_ins(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            doc, _, symbol, _, _ = windows(batch.column(2).to_pylist())
-            first = np.ones(len(doc), bool)
-            first[1:] = (doc[1:] != doc[:-1]) | (symbol[1:] != symbol[:-1])
+            doc, _, symbol, first, _, _ = windows(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(symbol[first].view(np.int64), doc[first], batch.num_rows)], ["id", "key", "symbols"])
 
     return small_batches(rows).mapInArrow(run, "id long, key long, symbols array<long>").where("size(symbols) > 0")
 
 
-def revealed_windows(rows: DataFrame) -> DataFrame:
-    """(id, key, places, hashes) of the windows of rows (id, key, text, symbols) whose stand-in is among the symbols."""
+def revealed_runs(rows: DataFrame) -> DataFrame:
+    """(id, key, symbol, run, place, hashes) of rows (id, key, text, symbols): the runs of windows that one of the symbols
+    stands for. run is the hash of all words of the run, hashes those of its windows, from place on."""
 
     def run(batches):
         for batch in batches:
-            doc, place, symbol, own, begin = windows(batch.column(2).to_pylist())
-            shared = batch.column(3)
-            ends = shared.offsets.to_numpy()
-            flat = shared.flatten().to_numpy().view(np.uint64)
+            doc, place, symbol, fresh, begin, spans = windows(batch.column(2).to_pylist())
+            ends = batch.column(3).offsets.to_numpy()
+            wanted = batch.column(3).flatten().to_numpy().view(np.uint64)
             ends = ends - ends[0]
             hit = np.zeros(len(doc), bool)
             cut = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             for k in range(batch.num_rows):
-                own_part = slice(cut[k], cut[k + 1])
-                hit[own_part] = np.isin(symbol[own_part], flat[ends[k] : ends[k + 1]])
-            doc, place, own = doc[hit], place[hit], own[hit]
+                hit[cut[k] : cut[k + 1]] = np.isin(symbol[cut[k] : cut[k + 1]], wanted[ends[k] : ends[k + 1]])
+            first = np.flatnonzero(fresh & hit)
+            number = np.cumsum(fresh)[hit]  # the run of each window of a hit
+            size = np.bincount(np.unique(number, return_inverse=True)[1], minlength=len(first)) if len(first) else np.empty(0, np.int64)
+            own = spans.of(place[hit], place[hit] + WINDOW)
+            start = place[first]
+            hashes = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(own.view(np.int64)))
+            taken = pa.array(doc[first])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), lists((place - begin[doc]).astype(np.int32), doc, batch.num_rows), lists(own.view(np.int64), doc, batch.num_rows)], ["id", "key", "places", "hashes"]
+                [
+                    batch.column(0).take(taken),
+                    batch.column(1).take(taken),
+                    pa.array(symbol[first].view(np.int64)),
+                    pa.array(spans.of(start, start + size + WINDOW - 1).view(np.int64)),
+                    pa.array((start - begin[doc[first]]).astype(np.int32)),
+                    hashes,
+                ],
+                ["id", "key", "symbol", "run", "place", "hashes"],
             )
 
-    return small_batches(rows).mapInArrow(run, "id long, key long, places array<int>, hashes array<long>")
+    return small_batches(rows).mapInArrow(run, "id long, key long, symbol long, run long, place int, hashes array<long>")
+
+
+#: So many keys are broadcast at most; more are joined by sort-merge.
+BROADCAST_ROWS = 1_000_000
+#: And the places of so many documents.
+BROADCAST_DOCS = 100_000
 
 
 def repeated_windows(rows: DataFrame) -> DataFrame:
-    """(id, key, places): of rows (id, key, text), the windows that also start in a row with a smaller id."""
+    """(id, key, places array<struct<place, n>>): of rows (id, key, text), the windows (n from place on) that also start
+    in a row with a smaller id.
+
+    Runs of windows with equal words are compared as a whole. Where a symbol stands for runs of different words (at an
+    edit, or at the end of a passage), one run of each content is compared window by window.
+    """
     rows = rows.where("id is not null and text is not null")
     found = written(stand_ins(rows), "substring-symbols")
     each = found.select("id", "key", F.explode(F.array_distinct("symbols")).alias("symbol"))
     shared = each.groupBy("symbol").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("symbol")
     revealing = each.join(shared.hint("merge"), "symbol").groupBy("id", "key").agg(F.collect_list("symbol").alias("symbols"))
-    told = rows.join(revealing.hint("merge"), ["id", "key"]).select("id", "key", "text", "symbols")
-    told = written(revealed_windows(told), "substring-windows")
-    single = told.select("id", "key", F.explode(F.arrays_zip("places", "hashes")).alias("w")).select("id", "key", F.col("w.places").alias("place"), F.col("w.hashes").alias("hash"))
-    first = single.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("hash", "low")
-    again = single.join(first.hint("merge"), "hash").where("id > low")
-    return again.groupBy("id", "key").agg(F.collect_list("place").alias("places"))
+    told = written(revealed_runs(rows.join(revealing.hint("merge"), ["id", "key"]).select("id", "key", "text", "symbols")), "substring-runs")
+
+    runs = told.select("id", "key", "symbol", "run", "place", F.size("hashes").alias("n"))
+    contents = written(runs.groupBy("symbol", "run").agg(F.min("id").alias("low")), "substring-contents")
+    whole = runs.join(contents.hint("merge"), ["symbol", "run"]).where("low < id").select("id", "key", "place", "n")
+
+    several = written(contents.groupBy("symbol").agg(F.count("*").alias("m"), F.min("low").alias("least"), F.max("low").alias("most")).where("m > 1 and least < most").select("symbol"), "substring-several")
+    unclear = bounded_join(contents, several, "symbol", "left_semi", BROADCAST_ROWS)
+    # only a content's first document can lose single windows of it: the others lose the whole run
+    single = bounded_join(told, several, "symbol", "left_semi", BROADCAST_ROWS).join(written(unclear, "substring-unclear").hint("merge"), ["symbol", "run"]).where("id = low")
+    single = written(single.select("id", "key", "place", F.posexplode("hashes").alias("at", "hash")), "substring-singles")
+    first = written(single.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("hash", "low"), "substring-firsts")
+    parts = single.join(first.hint("merge"), "hash").where("low < id").select("id", "key", (F.col("place") + F.col("at")).alias("place"), F.lit(1).alias("n"))
+    return whole.unionByName(parts).groupBy("id", "key").agg(F.collect_list(F.struct("place", "n")).alias("places"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
@@ -189,7 +226,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     places = repeated_windows(rows).withColumnsRenamed({"id": "__id", "key": "__key"})
     kept_columns = F.struct(*[F.col(f"`{c}`") for c in columns or docs.columns]).alias("row")
     all_rows = docs.select(kept_columns, F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("key", key)
-    joined = all_rows.join(places.hint("merge"), (F.col("id") == F.col("__id")) & (F.col("key") == F.col("__key")), "left").select("row", "text", "places")
+    places = written(places, "substring-places")
+    joined = bounded_join(all_rows, places, (F.col("id") == F.col("__id")) & (F.col("key") == F.col("__key")), "left", BROADCAST_DOCS).select("row", "text", "places")
     kind = joined.schema["row"].dataType
 
     def run(batches):
@@ -199,9 +237,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 words = words_of(text)
                 if at.is_valid:
                     cover = np.zeros(len(words) + 1, np.int64)
-                    first = at.values.to_numpy()
+                    first, n = at.values.field("place").to_numpy(), at.values.field("n").to_numpy()
                     np.add.at(cover, first, 1)
-                    np.add.at(cover, first + WINDOW, -1)
+                    np.add.at(cover, first + n + WINDOW - 1, -1)
                     stay = np.cumsum(cover)[:-1] == 0
                     left = [w for w, s in zip(words, stay.tolist()) if s]
                 else:
