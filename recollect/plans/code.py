@@ -80,7 +80,7 @@ def evaluate_retrieval(spark, sf_dir):
 QUERIES = {
     f.__name__: f for f in (parse_code_query, term_idf, code_hybrid_search, line_proximity, trace_calls, symbol_references, evaluate_retrieval)
 }
-QUERIES |= {n: parse_code_query for n in ("broad_intent", "detect_intent", "extract_line_numbers", "expand_concepts")} | {"file_scope_filter": code_hybrid_search}
+QUERIES |= {n: parse_code_query for n in ("broad_intent", "detect_intent", "extract_line_numbers", "expand_concepts")}
 
 _SW = "[" + ", ".join(f"'{w}'" for w in CODE_STOPWORDS) + "]"
 _DEC = "list_distinct(list_concat(list_transform(list_filter(list_concat(regexp_extract_all({0}, '[a-z]+'), regexp_split_to_array({0}, '[_.]')), lambda p: len(p) > 1), lambda p: lower(p)), [lower({0})]))"
@@ -122,7 +122,6 @@ SQL = {n: _PARSE_SQL for n in ("parse_code_query", "broad_intent", "detect_inten
 SQL |= {
     "term_idf": with_views("queries", "chunks", body=_PARSED + ",\n" + _BAGS + ",\n" + _IDF + "\nselect query_id, term, round(idf, 6) as idf from idf"),
     "code_hybrid_search": _SEARCH_SQL,
-    "file_scope_filter": _SEARCH_SQL,
     "line_proximity": with_views("code_chunks", body="""s as (select ord, start_line as a, start_line + 3 as b, unnest([3, 40, 75]) as n from code_chunks)
 select ord, round(max(case when n between a and b then 0.5::double + 0.4::double * least(1.0, 20.0::double / greatest(b - a, 1)) when abs(n - a) <= 10 or abs(n - b) <= 10 then 0.3::double else 0 end), 6) as boost from s group by 1"""),
     "trace_calls": with_views("code_chunks", body="select ord % 40 as query_id, ord // 40 as rank, 0 as place, name as what from code_chunks union all select ord % 40, ord // 40, 1, target from code_chunks"),
