@@ -210,7 +210,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, path: str | None = None
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The document rows, all columns, without those that hold a window of a test item."""
-    found = contamination(docs, benchmark, id_col=id_col, text_col=text_col).where("n_hit > 0").select(F.col("id").alias("__id"), F.col("key").alias("__key"))
-    key = F.xxhash64(docs[text_col])
-    on = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & key.eqNullSafe(F.col("__key"))
-    return docs.join(found.hint("merge"), on, "left_anti")
+    found = contamination(docs, benchmark, id_col=id_col, text_col=text_col).where("n_hit > 0").select(F.col("id").alias("hit_id"), F.col("key").alias("hit_key"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("key"))
+    on = F.col("id").eqNullSafe(F.col("hit_id")) & F.col("key").eqNullSafe(F.col("hit_key"))
+    return rows.join(found.hint("merge"), on, "left_anti").select("row.*")

@@ -59,20 +59,22 @@ def repeat_words(words: Column, n: Column) -> Column:
     return F.sort_array(F.transform(triples, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
 
 
-def text_statistics(docs: DataFrame, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
-    """(row struct of the columns named, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words), a row for each row.
+def text_statistics(docs: DataFrame, text_col: str = "text", columns: list[str] | None = None, group: list[Column] | None = None) -> DataFrame:
+    """(row struct of the columns named, group struct, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words), a row
+    for each row.
 
     Null and empty texts have no words, and every count is 0.
     """
     text = F.coalesce(F.col("__text"), F.lit(""))
     last = lambda c: F.greatest(F.size(c) - 1, F.lit(0))
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns or docs.columns]).alias("row"), F.col(text_col).alias("__text"))
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns or docs.columns]).alias("row"), F.struct(*(group or [F.lit(0).alias("lang")])).alias("group"), F.col(text_col).alias("__text"))
     out = out.withColumn("__words", F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)))
     out = out.withColumn("n_words", F.size("__words").cast("long"))
     out = out.withColumn("__triples", repeat_words(F.col("__words"), F.col("n_words")))
     out = out.withColumn("__lines", F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     out = out.select(
         "row",
+        "group",
         "n_words",
         F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
         F.coalesce(F.regexp_count(text, F.lit(SYMBOLS)), F.lit(0)).cast("long").alias("n_symbols"),
@@ -172,11 +174,11 @@ def quality(docs: DataFrame, lang_col: str = "lang", source_col: str = "source",
     too small the base rules alone decide. Null text: no words, so base_failed. Repeated rows are judged alike.
     """
     columns = columns or docs.columns
-    rows = text_statistics(docs.select("*", F.col(lang_col).cast("string").alias("__lang"), F.col(source_col).cast("string").alias("__source")), text_col, [*columns, "__lang", "__source"])
+    rows = text_statistics(docs, text_col, columns, [F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source")])
     rows = rows.withColumn("base_failed", base_failed())
     rows = written(rows.withColumns({f"x{i}": F.when(~F.col("base_failed"), x) for i, x in enumerate(vector())}), "quality-statistics")
-    rows = with_cells(rows, F.col("row.__lang"), F.col("row.__source"))
-    found = covariance_determinants(rows.where("not base_failed and cell is not null").drop("row"))
-    out = with_distance(rows, found, ["cell"]).drop(*[f"x{i}" for i in range(P)], "cell")
+    rows = with_cells(rows, F.col("group.lang"), F.col("group.source"))
+    found = covariance_determinants(rows.where("not base_failed and cell is not null").drop("row", "group"))
+    out = with_distance(rows, found, ["cell"]).drop(*[f"x{i}" for i in range(P)], "cell", "group")
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True))
-    return out.withColumns({"row": F.col("row").dropFields("__lang", "__source"), "kept": kept}).withColumnRenamed("d2", "distance")
+    return out.withColumn("kept", kept).withColumnRenamed("d2", "distance")
