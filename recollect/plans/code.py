@@ -41,8 +41,7 @@ def parse_code_query(spark, sf_dir):
 
 def term_idf(spark, sf_dir):
     q = cs.prepared_queries(_queries(spark, sf_dir), 5, CONCEPTS)
-    t = cs.term_idf(cs.with_bags(_chunks(spark, sf_dir)), q)
-    return t.select("query_id", F.explode("idfs").alias("x")).select("query_id", "x.term", F.round("x.idf", 6).alias("idf"))
+    return cs.term_idf(cs.with_bags(_chunks(spark, sf_dir)), q).select("query_id", "term", F.round("idf", 6).alias("idf"))
 
 
 def code_hybrid_search(spark, sf_dir):
