@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from recollect.plans import changes, chunking, code, flows, memory, reports
+from recollect.plans import changes, chunking, code, flows, lists, memory, reports
 
-_PARTS = [memory, chunking, code, reports, changes, flows]
+_PARTS = [memory, chunking, code, reports, changes, flows, lists]
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 SQL = {name: text for part in _PARTS for name, text in part.SQL.items()}
