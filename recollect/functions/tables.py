@@ -35,7 +35,8 @@ def top_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, per_ro
     """The first k rows of each key, with `rank`. The literal bound lets Spark prune before the shuffle; per_row is a
     smaller bound of the row's own."""
     ranked = df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
-    return ranked if per_row is None else ranked.where(F.col("rank") <= per_row)
+    ranked = ranked if per_row is None else ranked.where(F.col("rank") <= per_row)
+    return ranked.withColumn("rank", F.col("rank").cast("long"))
 
 
 def latest(df: DataFrame, keys: list[str], by: list[str]) -> DataFrame:

@@ -132,7 +132,7 @@ def page_of(rows: DataFrame, keys: list[str], order: list[Column], offset: int,
     """A page of each key, with rank and the total."""
     ranked = rows.withColumns({"rank": F.row_number().over(W.partitionBy(*keys).orderBy(*order))}).where(F.col("rank") <= offset + limit)
     totals = rows.groupBy(*keys).agg(F.count("*").alias("total"))
-    return ranked.where(F.col("rank") > offset).join(totals.hint("merge"), keys)
+    return ranked.where(F.col("rank") > offset).withColumn("rank", F.col("rank").cast("long")).join(totals.hint("merge"), keys)
 
 
 def lookup_prefix(rows: DataFrame, prefixes: DataFrame) -> DataFrame:

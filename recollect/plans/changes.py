@@ -266,7 +266,7 @@ select file_path, coalesce((select string_agg(v, ',' order by v) from edges wher
     "reachable": with_views("code_chunks", body=_EDGES + ",\n" + _REACH + "\nselect u, v from reach").replace("with ", "with recursive ", 1),
     "circular_dependencies": with_views("code_chunks", body=_EDGES + ",\n" + _REACH + "\nselect a.u as node, min(a.v) as cycle, count(*) as size from reach a join reach b on a.u = b.v and a.v = b.u group by 1").replace("with ", "with recursive ", 1),
     "upsert_file": with_views("snapshots", body=_STORED + f"""
-select coalesce(s.file_path, n.file_path) as file_path, coalesce(s.id, n.id) as id, coalesce(n.content_hash, s.content_hash) as content_hash, case when s.id is null then 0 else s.access_count + (n.id is not null)::int end as access_count,
+select coalesce(s.file_path, n.file_path) as file_path, coalesce(s.id, n.id) as id, coalesce(n.content_hash, s.content_hash) as content_hash, case when s.id is null then 0 else s.access_count + (n.id is not null)::int end::int as access_count,
 coalesce(s.created_at, timestamp '{NOW}') as created_at from stored s full join fresh n using (file_path)"""),
     "delta_chunks": with_views("chunks", body=_HASHED + """,
 a as (select distinct file_path, hash_id from h where doc % 7 <> 0), b as (select distinct file_path, case when ord % 11 = 0 then sha256(hash_id || 'changed') else hash_id end as hash_id from h where doc % 5 <> 0)

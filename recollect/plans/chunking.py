@@ -120,11 +120,11 @@ _KW = """enriched as (select *, list_sort(list_distinct(list_filter(list_concat(
  (select *, regexp_extract(content, 'query\\(''([a-z]+)''', 1) as kind_ from code_chunks))"""
 SQL = {
     "detect_language": """select page_id, coalesce(map {'.py': 'python', '.ts': 'typescript', '.rs': 'rust', '.yml': 'yaml', '.html': 'html', '.xml': 'xml', '.md': 'markdown', '.json': 'json', '.php': 'php', '.js': 'javascript', '.css': 'css'}[regexp_extract(lower(regexp_extract(url, '^([^?#]*)', 1) || ['.py', '.TS', '.rs', '.yml', '.xyz', ''][page_id % 6 + 1]), '(\\.[^./]+)$', 1)], 'other') as language from pages""".replace("\\\\", "\\"),
-    "chunk_whole": "select 'd' || doc_id || '.md' as file_path, 'file' as type, sha256(coalesce(text, '')) as content_sha256, 1 as start_line, len(string_split(coalesce(text, ''), chr(10))) as end_line from documents",
-    "chunk_lines": """select 'd' || doc_id || '.md' as file_path, sha256(array_to_string(l[w * 3 + 1:w * 3 + 3], chr(10))) as content_sha256, w * 3 + 1 as start_line, w * 3 + len(l[w * 3 + 1:w * 3 + 3]) as end_line
+    "chunk_whole": "select 'd' || doc_id || '.md' as file_path, 'file' as type, sha256(coalesce(text, '')) as content_sha256, 1 as start_line, len(string_split(coalesce(text, ''), chr(10)))::int as end_line from documents",
+    "chunk_lines": """select 'd' || doc_id || '.md' as file_path, sha256(array_to_string(l[w * 3 + 1:w * 3 + 3], chr(10))) as content_sha256, (w * 3 + 1)::int as start_line, (w * 3 + len(l[w * 3 + 1:w * 3 + 3]))::int as end_line
 from (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents), unnest(range(0, (len(l) - 1) // 3 + 1)) as t(w)""",
     "ingest_chunks": with_views("chunks", body=f"""sparse as (select ord, content, case when ord % 3 <> 0 then type end as type, case when ord % 3 <> 0 then summary end as summary, case when ord % 3 <> 0 then keywords end as keywords, case when ord % 3 <> 0 then start_line end as start_line, case when ord % 3 <> 0 then end_line end as end_line from chunks)
-select ord, coalesce(type, 'block') as type, coalesce(summary, '') as summary, coalesce(len(keywords), 0)::bigint as n_keywords, coalesce(start_line, 0) as start_line, coalesce(end_line, 0) as end_line,
+select ord, coalesce(type, 'block') as type, coalesce(summary, '') as summary, coalesce(len(keywords), 0)::bigint as n_keywords, coalesce(start_line, 0)::int as start_line, coalesce(end_line, 0)::int as end_line,
 sha256(trim(regexp_replace(content, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) as hash_id, floor(len({_NUMBERED}) * 0.25)::bigint as token_count from sparse"""),
     "number_lines": with_views("chunks", body=f"select ord, sha256({_NUMBERED}) as numbered_sha256 from chunks"),
     "normalise_hash": with_views("chunks", body=_HASH + "\nselect ord, hash_id from hashed"),
@@ -142,8 +142,8 @@ select ord, array_to_string(['function ' || name, summary, substr(content, 1, 60
     "build_symbol_index": with_views("chunks", body=_INDEX.format("chunks") + "\nselect symbol, file_path from symbols"),
     "refresh_symbol_index": with_views("chunks", body="fresh as (select * from chunks where ord % 1000 = 0 and (ord // 1000) % 2 = 0),\nmixed as (select * from fresh union all select * from chunks where file_path not in (select file_path from fresh)),\n" + _INDEX.format("mixed") + "\nselect symbol, file_path from symbols"),
     "build_skeleton": with_views("chunks", body="""n as (select file_path, count(*)::int as n from chunks group by 1)
-select file_path, 0 as node, 'start' as kind, '' as label from n union all select file_path, n + 1, 'end', '' from n
-union all select file_path, row_number() over (partition by file_path order by ord), 'processing', case when len(summary) > 0 then summary else substr(content, 1, 60) end from chunks"""),
+select file_path, 0 as node, 'start' as kind, '' as label from n union all select file_path, (n + 1)::int, 'end', '' from n
+union all select file_path, row_number() over (partition by file_path order by ord)::int, 'processing', case when len(summary) > 0 then summary else substr(content, 1, 60) end from chunks"""),
     "compression_ratio": with_views("chunks", body="""t as (select file_path, sum(floor(len(content) * 0.25))::bigint as original, sum(floor(len(summary) * 0.25))::bigint as skeleton from chunks group by 1)
 select *, case when original > 0 then round(1 - skeleton::double / original, 4) else 0 end as ratio from t"""),
     "summarize_file": with_views("code_chunks", body="""r as (select *, row_number() over (partition by file_path order by ord) as rn from code_chunks)
