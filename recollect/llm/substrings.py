@@ -15,6 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,6 +133,24 @@ def lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """Rows with their last column, text, as zstandard frames: texts go through two shuffles, and these are smaller."""
+    columns, kinds = rows.columns[:-1], [f"{c} {rows.schema[c].dataType.simpleString()}" for c in rows.columns[:-1]]
+
+    def run(batches):
+        made = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            data = [None if t is None else made.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(len(columns)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(columns))), pa.array(data, pa.binary())], [*columns, "data"])
+
+    return small_batches(rows).mapInArrow(run, ", ".join([*kinds, "data binary"]))
+
+
+def unpacked(column: pa.Array) -> list[str | None]:
+    made = zstandard.ZstdDecompressor()
+    return [None if d is None else made.decompress(d).decode("utf-8", "surrogatepass") for d in column.to_pylist()]
+
+
 def stand_ins(rows: DataFrame) -> DataFrame:
     """(id, key, symbols) of the rows (id, key, text) that have a window."""
 
@@ -144,12 +163,12 @@ def stand_ins(rows: DataFrame) -> DataFrame:
 
 
 def revealed_runs(rows: DataFrame) -> DataFrame:
-    """(id, key, symbol, run, place, hashes) of rows (id, key, text, symbols): the runs of windows that one of the symbols
+    """(id, key, symbol, run, place, hashes) of rows (id, key, data, symbols): the runs of windows that one of the symbols
     stands for. run is the hash of all words of the run, hashes those of its windows, from place on."""
 
     def run(batches):
         for batch in batches:
-            doc, place, symbol, fresh, begin, spans = windows(batch.column(2).to_pylist())
+            doc, place, symbol, fresh, begin, spans = windows(unpacked(batch.column(2)))
             ends = batch.column(3).offsets.to_numpy()
             wanted = batch.column(3).flatten().to_numpy().view(np.uint64)
             ends = ends - ends[0]
@@ -181,8 +200,6 @@ def revealed_runs(rows: DataFrame) -> DataFrame:
 
 #: So many keys are broadcast at most; more are joined by sort-merge.
 BROADCAST_ROWS = 1_000_000
-#: And the places of so many documents.
-BROADCAST_DOCS = 100_000
 
 
 def repeated_windows(rows: DataFrame) -> DataFrame:
@@ -197,7 +214,7 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     each = found.select("id", "key", F.explode(F.array_distinct("symbols")).alias("symbol"))
     shared = each.groupBy("symbol").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("symbol")
     revealing = each.join(shared.hint("merge"), "symbol").groupBy("id", "key").agg(F.collect_list("symbol").alias("symbols"))
-    told = written(revealed_runs(rows.join(revealing.hint("merge"), ["id", "key"]).select("id", "key", "text", "symbols")), "substring-runs")
+    told = written(revealed_runs(packed(rows.select("id", "key", "text")).join(revealing.hint("merge"), ["id", "key"]).select("id", "key", "data", "symbols")), "substring-runs")
 
     runs = told.select("id", "key", "symbol", "run", "place", F.size("hashes").alias("n"))
     contents = written(runs.groupBy("symbol", "run").agg(F.min("id").alias("low")), "substring-contents")
@@ -213,27 +230,26 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     return whole.unionByName(parts).groupBy("id", "key").agg(F.collect_list(F.struct("place", "n")).alias("places"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None, unchanged: bool = False) -> DataFrame:
     """Remove each word inside a window of WINDOW words that also starts in a document with a smaller id.
 
     Gives (row struct of the columns named, n_words, n_removed, kept), a row for each row: kept holds the words that
-    stay, joined by one space. Null texts have no words. Rows with a null id, or without a window, lose
+    stay, joined by one space; with `unchanged`, a text that loses nothing is kept as it is. Null texts have no words. Rows with a null id, or without a window, lose
     nothing and take nothing from others. Rows with the same id never take words from each other. An empty table
     gives an empty table. A copy or passage may stand in any number of documents: only minima are gathered by hash.
     """
     key = F.xxhash64(F.col("text"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).select("id", key.alias("key"), "text")
-    places = repeated_windows(rows).withColumnsRenamed({"id": "__id", "key": "__key"})
+    places = written(repeated_windows(rows).withColumnsRenamed({"id": "__id", "key": "__key"}), "substring-places")
     kept_columns = F.struct(*[F.col(f"`{c}`") for c in columns or docs.columns]).alias("row")
-    all_rows = docs.select(kept_columns, F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("key", key)
-    places = written(places, "substring-places")
-    joined = bounded_join(all_rows, places, (F.col("id") == F.col("__id")) & (F.col("key") == F.col("__key")), "left", BROADCAST_DOCS).select("row", "text", "places")
+    all_rows = packed(docs.select(kept_columns, F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text")))
+    joined = all_rows.join(places.hint("merge"), (F.col("id") == F.col("__id")) & (F.col("key") == F.col("__key")), "left").select("row", "data", "places")
     kind = joined.schema["row"].dataType
 
     def run(batches):
         for batch in batches:
             n_words, n_removed, kept = [], [], []
-            for text, at in zip(batch.column(1).to_pylist(), batch.column(2)):
+            for text, at in zip(unpacked(batch.column(1)), batch.column(2)):
                 words = words_of(text)
                 if at.is_valid:
                     cover = np.zeros(len(words) + 1, np.int64)
@@ -246,7 +262,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     left = words
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(left))
-                kept.append(b" ".join(left).decode("utf-8", "surrogatepass"))
+                kept.append(text if unchanged and len(left) == len(words) else b" ".join(left).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["row", "n_words", "n_removed", "kept"])
 
     return small_batches(joined).mapInArrow(run, f"row {kind.simpleString()}, n_words long, n_removed long, kept string")

@@ -67,7 +67,6 @@ def test_substrings_equal_brute_force(spark, seed):
 def test_substrings_empty_and_joins_without_broadcast(spark, monkeypatch):
     assert substrings.remove_repeats(docs_of(spark, [(1, "x")]).limit(0)).count() == 0
     monkeypatch.setattr(substrings, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(substrings, "BROADCAST_DOCS", 0)
     rnd = random.Random(9)
     p = random_words(rnd, 120, 1000)
     rows = [(1, " ".join(p)), (2, " ".join(["x", *p[:100], "y"])), (3, " ".join(p[10:90]))]
