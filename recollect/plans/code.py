@@ -96,27 +96,32 @@ _ALPHA = "case intent when 'line' then 0.30::double when 'broad' then 0.45::doub
 _BAGS = f"""bags as (select *, lower(name) as l_name, lower(summary) as l_summary, lower(content) as l_content, lower(file_path) as l_path, {_DEC.format("lower(name)")} as name_parts,
  list_distinct(regexp_extract_all(lower(summary), '[a-z0-9_]+')) as summary_words, list_distinct(regexp_extract_all(lower(content), '[a-z0-9_]+')) as content_words from chunks),
 bagged as (select *, list_distinct(list_concat(list_concat(keywords, summary_words), list_concat(content_words, list_concat(name_parts, [l_name])))) as bag from bags)"""
-_IDF = """scoped as (select query_id, terms, bag from bagged, code_queries where file_filter is null or contains(l_path, file_filter)),
-df as (select query_id, term, count(*) as df from (select query_id, unnest(list_intersect(terms, bag)) as term from scoped) group by 1, 2),
-tn as (select query_id, count(*) as n from scoped group by 1),
+_IDF = """wt as (select query_id, file_filter, term, list_contains(terms, term) as original from (select query_id, file_filter, terms, unnest(list_distinct(list_concat(wanted, terms))) as term from code_queries)),
+words_ as (select ord, l_path, w, list_contains(summary_words, w) as in_summary, list_contains(content_words, w) as in_content, list_contains(name_parts, w) as in_name
+ from (select ord, l_path, summary_words, content_words, name_parts, unnest(bag) as w from bagged) where w in (select term from wt)),
+met as (select query_id, ord, term, original, in_summary, in_content, in_name from words_ join wt on w = term and (file_filter is null or contains(l_path, file_filter))),
+df as (select query_id, term, count(*) as df from met where original group by 1, 2),
+tn as (select query_id, count(*) as n from bagged, code_queries where file_filter is null or contains(l_path, file_filter) group by 1),
 idf as (select q.query_id, q.term, ln((greatest(coalesce(n, 0), 1) + 1)::double / (coalesce(df, 0) + 1)) + 1 as idf from (select query_id, unnest(terms) as term from code_queries) q left join df using (query_id, term) left join tn using (query_id)),
-idfs as (select query_id, map(list(term), list(idf)) as idf, sum(idf) as total from idf group by 1)"""
+idfs as (select query_id, sum(idf) as total from idf group by 1),
+hits as (select query_id, ord, coalesce(sum(idf) filter (original), 0) as hit_idf, count(*) as n_hits, count(*) filter (not original) as n_extra, count(*) filter (original and in_summary) as n_summary,
+ count(*) filter (original and in_content) as n_content, count(*) filter (in_name) as n_name from met left join idf using (query_id, term) group by 1, 2)"""
 _PARSE_SQL = with_views("memories", "vectors", "queries", body=_PARSED + f"""
 select query_id, text, file_filter, array_to_string(routes, ' ') as routes, array_to_string(terms, ' ') as terms, array_to_string(list_sort(wanted), ' ') as wanted, array_to_string(lines, ' ') as lines, intent, {_ALPHA} as alpha, depth from code_queries""")
 _SEARCH_SQL = with_views("queries", "chunks", body=_PARSED + ",\n" + _BAGS + ",\n" + _IDF + f""",
 n as (select count(*) as n from embeddings),
-pairs as (select q.query_id, ord, file_path, name, depth, {_ALPHA} as alpha,
+pairs as (select q.query_id, b.ord, file_path, name, depth, {_ALPHA} as alpha,
  round(greatest(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 0), 6) as close,
- case when len(list_intersect(wanted, bag)) > 0 then least(1.0::double, coalesce(list_sum(list_transform(list_intersect(terms, bag), lambda t: i.idf[t])), 0) / i.total * 0.7 + len(list_filter(list_intersect(wanted, bag), lambda t: not list_contains(terms, t))) * 0.3::double * 0.1) else 0 end
- + case when list_contains(wanted, l_name) then 0.8::double when list_has_any(wanted, name_parts) then 0.5 when len(list_filter(wanted, lambda w: contains(l_name, w))) > 0 then 0.4 else 0 end
- + len(list_intersect(terms, summary_words)) / greatest(len(terms), 1)::double * 0.4 + least(0.35::double, len(list_intersect(terms, content_words)) / greatest(len(terms), 1)::double * 0.35)
+ case when coalesce(n_hits, 0) > 0 then least(1.0::double, hit_idf / i.total * 0.7 + n_extra * 0.3::double * 0.1) else 0 end
+ + case when list_contains(wanted, l_name) then 0.8::double when coalesce(n_name, 0) > 0 then 0.5 when len(list_filter(wanted, lambda w: contains(l_name, w))) > 0 then 0.4 else 0 end
+ + coalesce(n_summary, 0) / greatest(len(terms), 1)::double * 0.4 + least(0.35::double, coalesce(n_content, 0) / greatest(len(terms), 1)::double * 0.35)
  + case when len(list_filter(routes, lambda r: contains(l_content, r) or contains(l_summary, r))) > 0 then 0.6 else 0 end
  + case when list_has_any(wanted, ['block', 'blocks']) then 0.2 else 0 end
  + case when len(list_filter(range(1, len(words)), lambda k: contains(l_summary, words[k] || ' ' || words[k + 1]))) > 0 then 0.25 else 0 end as signals,
  coalesce(list_max(list_transform(lines, lambda l: case when l between start_line and end_line then 0.5::double + 0.4::double * least(1.0, 20.0::double / greatest(end_line - start_line, 1)) when abs(l - start_line) <= 10 or abs(l - end_line) <= 10 then 0.3::double else 0 end)), 0) as line
- from bagged b, code_queries q, n, embeddings e, idfs i where e.vec_id = b.ord % n.n and i.query_id = q.query_id and (file_filter is null or contains(l_path, file_filter))),
-scored as (select *, round(close * alpha + least(1.0, signals) * (1 - alpha) + line, 3) as score from pairs)
-select query_id, ord, file_path, name, score, rank from (select *, row_number() over (partition by query_id order by score desc, ord) as rank from scored where close * alpha + least(1.0, signals) * (1 - alpha) + line > 0.01) where rank <= depth""")
+ from bagged b cross join code_queries q cross join n join embeddings e on e.vec_id = b.ord % n.n join idfs i on i.query_id = q.query_id left join hits h on h.query_id = q.query_id and h.ord = b.ord where file_filter is null or contains(l_path, file_filter)),
+scored as (select *, round(close * alpha + least(1.0, signals) * (1 - alpha) + line + 1e-9::double, 3) as score from pairs)
+select query_id, ord, file_path, name, score, rank from (select *, row_number() over (partition by query_id order by score desc, ord) as rank from scored where close * alpha + least(1.0, signals) * (1 - alpha) + line > 0.01::double + 1e-9::double) where rank <= depth""")
 SQL = {n: _PARSE_SQL for n in ("parse_code_query", "broad_intent", "detect_intent", "extract_line_numbers", "expand_concepts")}
 SQL |= {
     "term_idf": with_views("queries", "chunks", body=_PARSED + ",\n" + _BAGS + ",\n" + _IDF + "\nselect query_id, term, round(idf, 6) as idf from idf"),

@@ -39,7 +39,7 @@ kraw as (select query_id, id, ord, len(list_filter(words, lambda w: contains(low
  + (case when len(list_filter(persons, lambda p: contains(lower(p), w))) > 0 then 0.5::double else 0 end))))
  * (0.5::double + len(list_filter(words, lambda w: contains(lower(content), w))) / len(words)::double) * (1.0::double + importance) as raw
  from memories, parsed where len(words) > 0),
-keyword as (select query_id, id, ord, round(raw, 3) as score from kraw where matched > 0 and raw > 0.3::double)"""
+keyword as (select query_id, id, ord, round(raw + 1e-9::double, 3) as score from kraw where matched > 0 and raw > 0.3::double + 1e-9::double)"""
 )
 _SEMANTIC = """semantic as (select * from (select q.query_id, m.id, m.ord, round(list_cosine_similarity(v.embedding::double[], q.embedding::double[]), 6) as score
  from memories m join vectors v using (id), queries q) where score >= 0)"""
@@ -51,7 +51,7 @@ def _hybrid(depth: int, name: str = "hybrid") -> str:
 kt as (select *, score / (case when max(score) over (partition by query_id) = 0 then 1 else max(score) over (partition by query_id) end) as s from
  (select *, row_number() over (partition by query_id order by score desc, ord) as rn from keyword) where rn <= {depth}),
 {name} as (select coalesce(st.query_id, kt.query_id) as query_id, coalesce(st.id, kt.id) as id, coalesce(st.ord, kt.ord) as ord,
- round(0.6::double * coalesce(st.s, 0) + 0.4::double * coalesce(kt.s, 0), 3) as score from st full join kt on st.query_id = kt.query_id and st.id = kt.id)"""
+ round(0.6::double * coalesce(st.s, 0) + 0.4::double * coalesce(kt.s, 0) + 1e-9::double, 3) as score from st full join kt on st.query_id = kt.query_id and st.id = kt.id)"""
 
 
 def _top(source: str, k: int, columns: str = "query_id, id, ord, score, rank") -> str:
@@ -166,7 +166,7 @@ QUERIES = {
     "symbolic_boost": symbolic_boost, "reflect": reflect, "pull_context": pull_context, "context_answer": context_answer, "cosine": cosine, "normalise_vector": normalise_vector, "hash_embed": hash_embed,
 }
 
-_BOOST = """select query_id, id, ord, round(score + 0.2::double * len(list_intersect(list_transform(a.persons, lambda p: lower(p)), list_transform(m.persons, lambda p: lower(p)))), 3) as score"""
+_BOOST = """select query_id, id, ord, round(score + 0.2::double * len(list_intersect(list_transform(a.persons, lambda p: lower(p)), list_transform(m.persons, lambda p: lower(p)))) + 1e-9::double, 3) as score"""
 _ANALYSIS = with_views("memories", "vectors", "queries", body=_ANALYZED + "\nselect query_id, array_to_string(keywords, ' ') as keywords, array_to_string(persons, ' ') as persons, complexity, greatest(5, least(floor(5 * (1 + complexity)), 15))::bigint as k from analyzed")
 SQL = {
     "tokenize_query": with_views("queries", body=_PARSED + "\nselect query_id, array_to_string(words, ' ') as words from parsed"),
