@@ -4,7 +4,7 @@ Element subtrees outside the article get a hash of their tags and text. Spark co
 hash stands; a subtree that recurs on many of them is template and is deleted, wherever it stands on a page. Rules on
 tags, roles and class words delete what is never article text (scripts, forms, menus, adverts, reader comments),
 also where a host has too few pages to show its template. What stands in an article or main element is never deleted for
-recurring, so a text that many pages share stays.
+recurring, so a text that many pages share stays. A form or a class or id word around an article doesn't delete it.
 """
 
 from __future__ import annotations
@@ -27,10 +27,10 @@ BROADCAST_HOSTS = 20_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Never text, or never the article.
-DROPPED = frozenset("head script style noscript template iframe object embed svg math canvas audio video map select option datalist button input textarea form fieldset dialog nav aside menu footer title".split())
+DROPPED = frozenset("head script style noscript template iframe object embed svg math canvas audio video map select option datalist button input textarea fieldset dialog nav aside menu footer title".split())
 #: Inside an article a header holds its title; elsewhere it is the site's.
 OUTSIDE = frozenset(["header"])
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
 #: Words of a class or id that mark what isn't the article.
 WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner nav navbar navigation menu breadcrumb breadcrumbs "
@@ -38,6 +38,7 @@ WORDS = frozenset(
     "related recommended recommendations comment comments commentlist respond reply replies disqus discussion pagination pager skip toolbar masthead copyright disclaimer".split()
 )
 MAIN = frozenset(["article", "main"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that end an open paragraph, and items that end one of their kind.
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -45,22 +46,37 @@ _NAME = re.compile(r"[A-Za-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+def marks(tag: str, known: dict[str, str], inside: bool) -> bool:
+    """Whether a class or id says that an element isn't the article: all letter runs of a token are marker words (so
+    has-sidebar is none); in an article the token itself is one, and ids of headings, which repeat their text, say nothing."""
+    if tag in MAIN or tag in ("html", "body"):
+        return False
+    tokens = f"{known.get('class', '')} {known.get('id', '') if not (inside and tag in HEADINGS) else ''}".lower().split()
+    if inside:
+        return not WORDS.isdisjoint(tokens)
+    return any(runs and WORDS.issuperset(runs) for runs in map(_NAME.findall, tokens))
+
+
 class _Page(HTMLParser):
     """Blocks of text of one page with what is known of where they stand; hashes of the subtrees outside the article."""
 
+    top = ["", False, False, 0, None, None, None]
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, bool, tuple[int, ...]]] = []  # text, in the article, the subtrees around it
+        self.blocks: list[tuple[str, int | None, tuple[int, ...]]] = []  # text, level of its article, the subtrees around it
         self.hashes: dict[int, int] = {}  # subtree -> hash
-        self.open: list[list] = []  # tag, dropped, in the article, subtree or None, its hasher
+        # tag, dropped for good, in a form, marked elements around, those around its article (None: no article), subtree or None, its hasher
+        self.open: list[list] = []
         self.now: list[str] = []
         self.subtrees = 0
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.now)).strip()
         self.now = []
-        if text and not (self.open and self.open[-1][1]):
-            self.blocks.append((text, bool(self.open and self.open[-1][2]), tuple(x[3] for x in self.open if x[3] is not None)))
+        _, dropped, form, marked, level, _, _ = self.open[-1] if self.open else self.top
+        if text and not (dropped or form or marked > (level or 0)):
+            self.blocks.append((text, level, tuple(x[5] for x in self.open if x[5] is not None)))
 
     def handle_starttag(self, tag, attrs):
         if tag not in INLINE:
@@ -72,19 +88,24 @@ class _Page(HTMLParser):
                 self.close_to(x, {"ul", "ol", "dl", "table", "select", "menu"})
         if tag in VOID:
             return
-        up = self.open[-1] if self.open else ["", False, False, None, None]
+        up = self.open[-1] if self.open else self.top
         known = {k: v or "" for k, v in attrs}
-        inside = up[2] or tag in MAIN or known.get("role") == "main"
-        marked = tag not in ("html", "body") and tag not in MAIN and not WORDS.isdisjoint(x.lower() for x in _NAME.findall(f"{known.get('class', '')} {known.get('id', '')}"))
-        dropped = up[1] or tag in DROPPED or (tag in OUTSIDE and not inside) or known.get("role", "") in ROLES or marked or "hidden" in known or known.get("aria-hidden") == "true"
+        _, dropped, form, marked, level, _, _ = up
+        # An article in a form, or in what a class or id marks, may be the page's: done() tells by the number of marks.
+        if tag in MAIN or known.get("role") == "main":
+            form, level = False, marked
+        inside = level is not None
+        marked += marks(tag, known, inside)
+        form = form or tag == "form" or known.get("role") == "form"
+        dropped = dropped or tag in DROPPED or (tag in OUTSIDE and not inside) or known.get("role", "") in ROLES or "hidden" in known or known.get("aria-hidden") == "true"
         subtree = None
         if not inside and tag not in INLINE and tag not in ("html", "body", "head", "script", "style"):
             subtree, self.subtrees = self.subtrees, self.subtrees + 1
         hasher = xxhash.xxh3_64() if subtree is not None else None
         for x in self.open:
-            if x[4] is not None:
-                x[4].update(f"<{tag}>")
-        self.open.append([tag, dropped, inside, subtree, hasher])
+            if x[6] is not None:
+                x[6].update(f"<{tag}>")
+        self.open.append([tag, dropped, form, marked, level, subtree, hasher])
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -92,7 +113,7 @@ class _Page(HTMLParser):
             self.handle_endtag(tag)
 
     def pop(self) -> None:
-        tag, _, _, subtree, hasher = self.open[-1]
+        tag, subtree, hasher = self.open[-1][0], *self.open[-1][5:]
         if tag not in INLINE:
             self.flush()
         self.open.pop()
@@ -118,8 +139,8 @@ class _Page(HTMLParser):
     def handle_data(self, data):
         self.now.append(data)
         for x in self.open:
-            if x[4] is not None:
-                x[4].update(data.encode("utf-8", "surrogatepass"))
+            if x[6] is not None:
+                x[6].update(data.encode("utf-8", "surrogatepass"))
 
     def unknown_decl(self, data):
         pass
@@ -129,6 +150,9 @@ class _Page(HTMLParser):
         while self.open:
             self.pop()
         self.flush()
+        # Articles in more marked elements than others of the page are readers' comments, teasers and the like.
+        least = min((level for _, level, _ in self.blocks if level is not None), default=None)
+        self.blocks = [(text, level is not None, around) for text, level, around in self.blocks if level is None or level == least]
         return self
 
 

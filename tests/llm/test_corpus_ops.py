@@ -250,6 +250,23 @@ def test_extract_by_hand(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_extract_keeps_articles_in_marked_wraps():
+    text = lambda body: " ".join(t for t, inside, _ in html_text.parse(page(body)).blocks if inside)
+    article = "<article><h1>Head</h1><p>own text</article>"
+    assert text(f"<div class='content has-sidebar'>{article}</div>") == "Head own text"
+    assert text(f"<div id='sidebar'>{article}</div>") == "Head own text"
+    assert text(f"<form id='page'><main><form>{article}</form></main></form>") == "Head own text"
+    assert text(f"<div class='advert'>Buy{article}") == "Head own text"
+    assert text("<article><h2 id='related-work'>Related work</h2><h2 id='discussion'>Discussion</h2><section id='advertising-history'><p>Old adverts</section></article>") == "Related work Discussion Old adverts"
+    # what is marked stays out: comments in and beside an article, also as articles of their own
+    comments = "<div class='comments'><article>reader</article></div>"
+    assert text(f"{article}{comments}") == text(f"<main>{article}{comments}</main>") == "Head own text"
+    assert text(f"<div class='sidebar'>{article}{comments}</div>") == "Head own text"
+    assert text("<article><p>x</p><section class='comments'><p>reader</section></article>") == "x"
+    blocks = [t for t, _, _ in html_text.parse(page("<div class='has-sidebar'><p>no article</p><div id='cookie-notice'>c</div><form>f</form></div>")).blocks]
+    assert blocks == ["no article"]
+
+
 def test_op2_query(spark):
     got = {r["page_id"]: r["text"] for r in queries.op2_html_text(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
