@@ -101,19 +101,27 @@ def vector() -> list[Column]:
     ]
 
 
-def with_cells(rows: DataFrame, lang: Column, source: Column) -> DataFrame:
-    """Add the cell whose estimate judges a row: its language and source; if that has too few rows, what is left of its
-    language; else what is left of all; null where even that is too few. Null languages and sources are values."""
+def with_cells(rows: DataFrame, lang: Column, source: Column) -> tuple[DataFrame, DataFrame]:
+    """Add the cell whose estimate judges a row: its language and source; if that has too few rows, its whole language; else
+    all rows; null only where the whole table has too few. Null languages and sources are values.
+
+    Also (__key, cell) for each language and source and each cell that judges some row and whose estimate it takes part in:
+    large cells take part in the estimates of their language and of all, too, where a small cell needs those.
+    """
     fine, coarse = F.to_json(F.struct(lang.alias("lang"), source.alias("source"))), F.to_json(F.struct(lang.alias("lang")))
     rows = rows.withColumns({"__fine": fine, "__coarse": coarse})
     counts = rows.where("not base_failed").groupBy("__fine", "__coarse").agg(F.count("*").alias("n"))
-    left = F.when(F.col("n") < LEAST_ROWS, F.col("n"))
-    counts = counts.withColumn("n2", F.sum(left).over(W.partitionBy("__coarse")))
-    rest = counts.where((F.col("n") < LEAST_ROWS) & (F.col("n2") < LEAST_ROWS)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n3"))
-    counts = counts.crossJoin(F.broadcast(rest))  # one row
-    cell = F.when(F.col("n") >= LEAST_ROWS, F.concat(F.lit("1"), F.col("__fine"))).when(F.col("n2") >= LEAST_ROWS, F.concat(F.lit("2"), F.col("__coarse"))).when(F.col("n3") >= LEAST_ROWS, F.lit("3"))
-    cells = written(counts.select(F.col("__fine").alias("__key"), cell.alias("cell")), "quality-cells")
-    return bounded_join(rows, cells, F.col("__fine") == F.col("__key"), "left", BROADCAST_GROUPS).drop("__fine", "__coarse", "__key")
+    by_lang = written(counts.groupBy("__coarse").agg(F.sum("n").alias("n2")).withColumnRenamed("__coarse", "__lang"), "quality-languages")
+    total = by_lang.agg(F.coalesce(F.sum("n2"), F.lit(0)).alias("n3"))
+    counts = bounded_join(counts, by_lang, F.col("__coarse") == F.col("__lang"), "left", BROADCAST_GROUPS).crossJoin(F.broadcast(total))  # one row
+    own, whole, every = F.concat(F.lit("1"), F.col("__fine")), F.concat(F.lit("2"), F.col("__coarse")), F.lit("3")
+    cell = F.when(F.col("n") >= LEAST_ROWS, own).when(F.col("n2") >= LEAST_ROWS, whole).when(F.col("n3") >= LEAST_ROWS, every)
+    cells = written(counts.select(F.col("__fine").alias("__key"), whole.alias("whole"), cell.alias("cell")), "quality-cells")
+    out = bounded_join(rows, cells.drop("whole"), F.col("__fine") == F.col("__key"), "left", BROADCAST_GROUPS).drop("__coarse", "__key")
+    used = cells.where("cell is not null").select("cell").distinct()
+    levels = cells.select("__key", F.explode(F.array(F.concat(F.lit("1"), F.col("__key")), F.col("whole"), every)).alias("__cell"))
+    members = bounded_join(levels, used, F.col("__cell") == F.col("cell"), "inner", BROADCAST_GROUPS).select("__key", "cell")
+    return out, written(members, "quality-members")
 
 
 def estimates(rows: DataFrame, keys: list[str], factor: float) -> DataFrame:
@@ -170,15 +178,17 @@ def quality(docs: DataFrame, lang_col: str = "lang", source_col: str = "source",
     """Judge every row: (row struct, the five counts, base_failed, distance, kept), a row for each row.
 
     `row` holds the columns named (all by default), so names can't clash. Rows that fail the base rules aren't kept
-    and have no distance. Cells of fewer than LEAST_ROWS rows are pooled (see with_cells); where the whole table is
-    too small the base rules alone decide. Null text: no words, so base_failed. Repeated rows are judged alike.
+    and have no distance. Cells of fewer than LEAST_ROWS rows are judged by the estimate of their whole language, or of all
+    rows (see with_cells); only where the whole table is too small the base rules alone decide. Null text: no words, so
+    base_failed. Repeated rows are judged alike.
     """
     columns = columns or docs.columns
     rows = text_statistics(docs, text_col, columns, [F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source")])
     rows = rows.withColumn("base_failed", base_failed())
     rows = written(rows.withColumns({f"x{i}": F.when(~F.col("base_failed"), x) for i, x in enumerate(vector())}), "quality-statistics")
-    rows = with_cells(rows, F.col("group.lang"), F.col("group.source"))
-    found = covariance_determinants(rows.where("not base_failed and cell is not null").drop("row", "group"))
-    out = with_distance(rows, found, ["cell"]).drop(*[f"x{i}" for i in range(P)], "cell", "group")
+    rows, members = with_cells(rows, F.col("group.lang"), F.col("group.source"))
+    good = rows.where("not base_failed").select("__fine", *[f"x{i}" for i in range(P)])
+    found = covariance_determinants(bounded_join(good, members, F.col("__fine") == F.col("__key"), "inner", 3 * BROADCAST_GROUPS).drop("__fine", "__key"))
+    out = with_distance(rows, found, ["cell"]).drop(*[f"x{i}" for i in range(P)], "cell", "group", "__fine")
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True))
     return out.withColumn("kept", kept).withColumnRenamed("d2", "distance")

@@ -174,6 +174,21 @@ def test_quality_estimates_equal_numpy(spark):
     assert min(out) > 5 * np.median(d)  # the planted group lies far out though it is 15 % of the rows
 
 
+def test_quality_judges_rare_cells(spark):
+    rnd = random.Random(5)
+    clean = lambda: " ".join("".join(rnd.choices("abcdefghij", k=rnd.randint(3, 9))) for _ in range(120))
+    junk = lambda: " ".join(w + "###$$$" for w in clean().split())
+    cells = [("en", "web", 150, 0), ("en", "rare", 9, 1), ("xx", "web", 4, 1), (None, None, 3, 1)]
+    rows = [(make(), lang, source) for lang, source, good, bad in cells for make in [clean] * good + [junk] * bad]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    judged = {r["row"]["doc_id"]: r for r in quality.quality(docs).collect()}
+    for i, (text, _, _) in enumerate(rows):
+        assert not judged[i]["base_failed"] and judged[i]["distance"] is not None
+        assert judged[i]["kept"] == ("#" not in text)
+    few = quality.quality(docs.where("doc_id >= 150")).collect()  # a whole table of under 60 rows
+    assert len(few) == 19 and all(r["kept"] and r["distance"] is None for r in few)
+
+
 def test_op7_rejects_junk_and_keeps_clean(spark):
     sf = SF.replace("0.001", "0.01")
     rows = queries.op7_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("not base_failed").collect()
