@@ -171,25 +171,27 @@ BLOCKS = "array<struct<text:string,inside:boolean,around:array<long>>>"
 
 
 def parsed(rows: DataFrame) -> DataFrame:
-    """(row, host, blocks, hashes) of rows (row, host, html): each page is parsed once."""
+    """(row, host, blocks, hashes, content) of rows (row, host, html): each page is parsed once; content is a hash of its blocks."""
     kind = pa.list_(pa.struct([("text", pa.string()), ("inside", pa.bool_()), ("around", pa.list_(pa.int64()))]))
 
     def run(batches):
         for batch in batches:
-            blocks, hashes = [], []
+            blocks, hashes, content = [], [], []
             for html in batch.column(2).to_pylist():
                 page = parse(html)
                 blocks.append([{"text": text, "inside": inside, "around": [page.hashes[x] for x in around]} for text, inside, around in page.blocks])
-                hashes.append(list({*page.hashes.values()}))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blocks, kind), pa.array(hashes, pa.list_(pa.int64()))], ["row", "host", "blocks", "hashes"])
+                hashes.append(sorted({*page.hashes.values()}))
+                content.append(xxhash.xxh3_64_intdigest("\n".join(text for text, _, _ in page.blocks).encode("utf-8", "surrogatepass")) - (1 << 63))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blocks, kind), pa.array(hashes, pa.list_(pa.int64())), pa.array(content, pa.int64())], ["row", "host", "blocks", "hashes", "content"])
 
-    out = small_batches(rows).mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, host string, blocks {BLOCKS}, hashes array<long>")
+    out = small_batches(rows).mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, host string, blocks {BLOCKS}, hashes array<long>, content long")
     return written(out, "parsed-pages")
 
 
 def host_templates(pages: DataFrame) -> DataFrame:
-    """(host, template array<long>) of pages (host, hashes): the subtrees that recur on many pages of a host."""
-    known = pages.where("host <> ''")
+    """(host, template array<long>) of pages (host, hashes, content): the subtrees that recur on many pages of a host. Pages of
+    equal content count once, so that copies of a page don't make its text a template."""
+    known = pages.where("host <> ''").groupBy("host", "content").agg(F.min("hashes").alias("hashes"))
     sizes = known.groupBy("host").agg(F.count("*").alias("pages"))
     counts = known.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
     many = written(counts, "subtree-counts").join(written(sizes, "host-sizes").hint("merge"), "host").where(F.col("n") >= LEAST_SHARE * F.col("pages"))
@@ -202,7 +204,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", colu
 
     The text is the blocks of the article or main element in page order; of a page without one, all blocks that neither
     rules nor template delete. Null and empty pages have an empty text. Pages without a host (or a null address) have
-    only the rules applied. Repeated rows are pages of their host like others. An empty table gives an empty table.
+    only the rules applied. Repeated rows all get their text, and count as one page of their host. An empty table gives an empty table.
     """
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in columns or pages.columns]).alias("row"), host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     found = parsed(rows)

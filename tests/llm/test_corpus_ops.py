@@ -267,6 +267,13 @@ def test_extract_keeps_articles_in_marked_wraps():
     assert blocks == ["no article"]
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    rows = [(i, f"http://c.example/{i}", page("<p>Ring of sites</p><p>The same text</p>")) for i in range(4)]
+    rows += [(i, f"http://c.example/{i}", page(f"<p>Ring of sites</p><p>Own {i}</p>")) for i in range(4, 7)]
+    got = {r["row"]["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "The same text" if i < 4 else f"Own {i}" for i in range(7)}
+
+
 def test_op2_query(spark):
     got = {r["page_id"]: r["text"] for r in queries.op2_html_text(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
