@@ -21,13 +21,13 @@ from tokenizers import Regex as TokenRegex
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import Split
 
-from recollect.llm.shared import small_batches
+from recollect.llm.shared import pieces
 
 # Fixed values of the vocabulary file: its pattern and special tokens are read from it; the byte alphabet is the
 # usual one (printable Latin-1 bytes stand for themselves, the others for code points from 256 on).
 _SPLIT = regex.compile(r"\s+")
 #: Code points that str.split() takes as white space and the tokenizer doesn't.
-_ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Most entries of a worker's cache.
 CACHE = 400_000
 
@@ -45,7 +45,7 @@ def byte_alphabet() -> list[str]:
 
 def chunks(text: str) -> list[str]:
     """The pieces of a text between Unicode white space."""
-    if any(c in text for c in _ODD):
+    if any(c in text for c in ODD):
         return [x for x in _SPLIT.split(text) if x]
     return text.split()
 
@@ -182,11 +182,11 @@ def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches):
         c = codec(path)
-        for batch in batches:
+        for batch in pieces(batches, 1):
             lists = [c.encode(t) if t else [] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), id_arrays(lists), pa.array([c.decode(x) for x in lists], pa.string())], ["id", "ids", "decoded"])
 
-    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, ids array<int>, decoded string").withColumnRenamed("id", id_col)
 
 

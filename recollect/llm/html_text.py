@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.shared import bounded_join, small_batches, written
+from recollect.llm.shared import bounded_join, pieces, written
 
 #: A subtree is template if it stands on so many pages of its host, and on this share of them.
 LEAST_PAGES, LEAST_SHARE = 3, 0.2
@@ -175,7 +175,7 @@ def parsed(rows: DataFrame) -> DataFrame:
     kind = pa.list_(pa.struct([("text", pa.string()), ("inside", pa.bool_()), ("around", pa.list_(pa.int64()))]))
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, 2):
             blocks, hashes, content = [], [], []
             for html in batch.column(2).to_pylist():
                 page = parse(html)
@@ -184,7 +184,7 @@ def parsed(rows: DataFrame) -> DataFrame:
                 content.append(xxhash.xxh3_64_intdigest("\n".join(text for text, _, _ in page.blocks).encode("utf-8", "surrogatepass")) - (1 << 63))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blocks, kind), pa.array(hashes, pa.list_(pa.int64())), pa.array(content, pa.int64())], ["row", "host", "blocks", "hashes", "content"])
 
-    out = small_batches(rows).mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, host string, blocks {BLOCKS}, hashes array<long>, content long")
+    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, host string, blocks {BLOCKS}, hashes array<long>, content long")
     return written(out, "parsed-pages")
 
 

@@ -4,30 +4,59 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word of the quality, substring and near-duplicate operators: ASCII white space separates.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows in one Arrow batch: long documents are common, so batches stay small.
-BATCH_ROWS = 256
+#: Rows, and bytes of texts, that a Python stage works on at once; a longer text stands alone.
+PIECE_ROWS, PIECE_BYTES = 256, 1 << 22
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; only if unset (tests) a folder made here."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local session gets a folder made
+    here; on a cluster that is an error, as executors wouldn't see it."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="recollect-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Paths made in each open temporary() scope, innermost last.
+_SCOPES: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/recollect/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/recollect/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """A scope whose written tables are deleted at its end, but for those that result() has made.
+
+    What leaves the scope must be a result, or not read the tables of the scope.
+    """
+    mine: list[str] = []
+    _SCOPES.append(mine)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(mine)
+        for path in mine:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -38,10 +67,30 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """Bound the Arrow batches of the Python stages that follow in this session."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return df
+def result(df: DataFrame, name: str) -> DataFrame:
+    """written(), but the table outlives the innermost temporary() scope."""
+    mine = _SCOPES.pop() if _SCOPES else None
+    try:
+        return written(df, name)
+    finally:
+        if mine is not None:
+            _SCOPES.append(mine)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: int, rows: int = PIECE_ROWS, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to at most so many rows and about so many bytes of the (string or binary) column."""
+    for batch in batches:
+        if batch.num_rows <= 1:
+            yield batch
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        begin, held = 0, 0
+        for k, n in enumerate(sizes):
+            if k > begin and (k - begin >= rows or held + n > size):
+                yield batch.slice(begin, k - begin)
+                begin, held = k, 0
+            held += n
+        yield batch.slice(begin)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.shared import small_batches
+from recollect.llm.shared import pieces
 
 #: Stands before each pre-token, as in the vocabulary file.
 MARK = "▁"
@@ -106,7 +106,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         t = trie(path)
-        for batch in batches:
+        for batch in pieces(batches, 1):
             words, tokens, chars = [], [], []
             get, miss = t.counts.get, t.count
             for text in batch.column(1).to_pylist():
@@ -116,5 +116,5 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 chars.append(len(text) if text else 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64()), pa.array(chars, pa.int64())], ["id", "n_pretokens", "n_tokens", "n_chars"])
 
-    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, n_pretokens long, n_tokens long, n_chars long").withColumnRenamed("id", id_col)

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -72,8 +73,9 @@ def test_op9_query(spark, library):
 
 
 def expected_files(library, docs):
+    """docs: (id, text, hash of the text), which is the order of the files."""
     out, start = [], 0
-    for key, text in sorted(docs, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or "")):
+    for key, text, _ in sorted(docs, key=lambda x: (x[0] is not None, x[0] or 0, x[2])):
         ids = [*ids_of(library, text), 2]
         out.append((key, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
@@ -84,7 +86,7 @@ def test_token_files(spark, library, tmp_path):
     docs = odd_docs(spark)
     token_files.write_token_files(docs, f"{tmp_path}/f", PATH)
     got = sorted(map(tuple, token_files.file_digests(spark, f"{tmp_path}/f").collect()), key=lambda r: r[1])
-    assert got == expected_files(library, [tuple(r) for r in docs.select("doc_id", "text").collect()])
+    assert got == expected_files(library, [tuple(r) for r in docs.select("doc_id", "text", F.xxhash64("text")).collect()])
     few = token_files.read_token_files(spark, f"{tmp_path}/f", [4, 99]).collect()
     assert [r["id"] for r in few] == [4] and np.frombuffer(few[0]["data"], "<u4").tolist() == [*ids_of(library, ODD[4]), 2]
     token_files.write_token_files(docs.limit(0), f"{tmp_path}/empty", PATH)
@@ -92,10 +94,29 @@ def test_token_files(spark, library, tmp_path):
 
 
 def test_op3_query(spark, library):
-    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", F.xxhash64("text")).collect()]
     assert sorted(map(tuple, queries.op3_token_files(spark, SF).collect()), key=lambda r: r[1]) == expected_files(library, docs)
 
 
+def test_token_files_random_texts(library, monkeypatch):
+    """Latin and other letters, contractions, symbols, special tokens, white space of all kinds; a cache that overflows."""
+    monkeypatch.setattr(token_files, "CACHE", 50)
+    e, rnd = token_files.Encoder(PATH), random.Random(6)
+    latin = [*map(chr, range(1, 0x250)), "'s", "'T", "'", " ", " ", "<|endoftext|>"]
+    some = [*map(chr, range(32, 127)), *" " * 20, "\u0301", "\u2003", "\u03a3", "\U0001f642", "'re", "\x1c", "\x85", "\xa0"]
+    texts = ["".join(rnd.choice(latin if k % 2 else some) for _ in range(rnd.randrange(60))) for k in range(4000)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.serialized(pa.array(texts), b"")] == [ids_of(library, t) for t in texts]
+    assert e.serialized(pa.array([None, "a" * 300_000, "b " * 300_000]).slice(1), b"\2\0\0\0")[0] == np.array([*ids_of(library, "a" * 300_000), 2], "<u4").tobytes()
+
+
+def test_rows_of_one_id_are_split(spark, tmp_path):
+    for k, key in enumerate((5, None)):
+        docs = spark.createDataFrame([(key, f"text number {i % 100}") for i in range(4000)], "doc_id long, text string")
+        token_files.write_token_files(docs, f"{tmp_path}/{k}", PATH)
+        parts = spark.read.parquet(f"{tmp_path}/{k}/blocks").groupBy("part").agg(F.sum(F.size("ids")).alias("n")).collect()
+        assert len(parts) == 4 and max(r["n"] for r in parts) < 2500
+
+
 def test_dictionary_helps_and_is_named(spark, tmp_path):
     token_files.write_token_files(spark.read.parquet(f"{SF}/documents.parquet"), f"{tmp_path}/f", PATH)
     d = spark.read.parquet(f"{tmp_path}/f/dictionary").first()
