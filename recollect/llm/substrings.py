@@ -19,12 +19,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.shared import bounded_join, small_batches, written
+from recollect.llm.shared import bounded_join, pieces, result, temporary, written
 
 WINDOW = 50
 #: Rounds of pairs, and the words at which a symbol is left as it is.
 ROUNDS, FULL = 7, 8
 FAR = 1 << 40
+#: Bytes of zstandard frames of texts that a stage works on at once.
+FRAMES = 1 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)  # odd: has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -139,11 +141,11 @@ def packed(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         made = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in pieces(batches, len(columns)):
             data = [None if t is None else made.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(len(columns)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(columns))), pa.array(data, pa.binary())], [*columns, "data"])
 
-    return small_batches(rows).mapInArrow(run, ", ".join([*kinds, "data binary"]))
+    return rows.mapInArrow(run, ", ".join([*kinds, "data binary"]))
 
 
 def unpacked(column: pa.Array) -> list[str | None]:
@@ -155,11 +157,11 @@ def stand_ins(rows: DataFrame) -> DataFrame:
     """(id, key, symbols) of the rows (id, key, text) that have a window."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, 2):
             doc, _, symbol, first, _, _ = windows(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(symbol[first].view(np.int64), doc[first], batch.num_rows)], ["id", "key", "symbols"])
 
-    return small_batches(rows).mapInArrow(run, "id long, key long, symbols array<long>").where("size(symbols) > 0")
+    return rows.mapInArrow(run, "id long, key long, symbols array<long>").where("size(symbols) > 0")
 
 
 def revealed_runs(rows: DataFrame) -> DataFrame:
@@ -167,7 +169,7 @@ def revealed_runs(rows: DataFrame) -> DataFrame:
     stands for. run is the hash of all words of the run, hashes those of its windows, from place on."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, 2, size=FRAMES):
             doc, place, symbol, fresh, begin, spans = windows(unpacked(batch.column(2)))
             ends = batch.column(3).offsets.to_numpy()
             wanted = batch.column(3).flatten().to_numpy().view(np.uint64)
@@ -195,7 +197,7 @@ def revealed_runs(rows: DataFrame) -> DataFrame:
                 ["id", "key", "symbol", "run", "place", "hashes"],
             )
 
-    return small_batches(rows).mapInArrow(run, "id long, key long, symbol long, run long, place int, hashes array<long>")
+    return rows.mapInArrow(run, "id long, key long, symbol long, run long, place int, hashes array<long>")
 
 
 #: So many keys are broadcast at most; more are joined by sort-merge.
@@ -203,18 +205,19 @@ BROADCAST_ROWS = 1_000_000
 
 
 def repeated_windows(rows: DataFrame) -> DataFrame:
-    """(id, key, places array<struct<place, n>>): of rows (id, key, text), the windows (n from place on) that also start
+    """(id, key, places array<struct<place, n>>), once for equal rows: of rows (id, key, text), the windows (n from place on) that also start
     in a row with a smaller id.
 
     Runs of windows with equal words are compared as a whole. Where a symbol stands for runs of different words (at an
     edit, or at the end of a passage), one run of each content is compared window by window.
     """
     rows = rows.where("id is not null and text is not null")
+    once = packed(rows.select("id", "key", "text")).groupBy("id", "key").agg(F.min("data").alias("data"))  # equal rows count once
     found = written(stand_ins(rows), "substring-symbols")
     each = found.select("id", "key", F.explode(F.array_distinct("symbols")).alias("symbol"))
     shared = each.groupBy("symbol").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("symbol")
-    revealing = each.join(shared.hint("merge"), "symbol").groupBy("id", "key").agg(F.collect_list("symbol").alias("symbols"))
-    told = written(revealed_runs(packed(rows.select("id", "key", "text")).join(revealing.hint("merge"), ["id", "key"]).select("id", "key", "data", "symbols")), "substring-runs")
+    revealing = each.join(shared.hint("merge"), "symbol").groupBy("id", "key").agg(F.collect_set("symbol").alias("symbols"))
+    told = written(revealed_runs(once.join(revealing.hint("merge"), ["id", "key"]).select("id", "key", "data", "symbols")), "substring-runs")
 
     runs = told.select("id", "key", "symbol", "run", "place", F.size("hashes").alias("n"))
     contents = written(runs.groupBy("symbol", "run").agg(F.min("id").alias("low")), "substring-contents")
@@ -224,9 +227,10 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     unclear = bounded_join(contents, several, "symbol", "left_semi", BROADCAST_ROWS)
     # only a content's first document can lose single windows of it: the others lose the whole run
     single = bounded_join(told, several, "symbol", "left_semi", BROADCAST_ROWS).join(written(unclear, "substring-unclear").hint("merge"), ["symbol", "run"]).where("id = low")
-    single = written(single.select("id", "key", "place", F.posexplode("hashes").alias("at", "hash")), "substring-singles")
-    first = written(single.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("hash", "low"), "substring-firsts")
-    parts = single.join(first.hint("merge"), "hash").where("low < id").select("id", "key", (F.col("place") + F.col("at")).alias("place"), F.lit(1).alias("n"))
+    single = written(single.select("id", "key", "symbol", "place", F.posexplode("hashes").alias("at", "hash")), "substring-singles")
+    # equal windows have equal stand-ins, so that windows, as runs, are compared by two hashes of different making
+    first = written(single.groupBy("symbol", "hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("symbol", "hash", "low"), "substring-firsts")
+    parts = single.join(first.hint("merge"), ["symbol", "hash"]).where("low < id").select("id", "key", (F.col("place") + F.col("at")).alias("place"), F.lit(1).alias("n"))
     return whole.unionByName(parts).groupBy("id", "key").agg(F.collect_list(F.struct("place", "n")).alias("places"))
 
 
@@ -240,14 +244,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     key = F.xxhash64(F.col("text"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).select("id", key.alias("key"), "text")
-    places = written(repeated_windows(rows).withColumnsRenamed({"id": "__id", "key": "__key"}), "substring-places")
+    with temporary(docs.sparkSession):
+        places = result(repeated_windows(rows).withColumnsRenamed({"id": "__id", "key": "__key"}), "substring-places")
     kept_columns = F.struct(*[F.col(f"`{c}`") for c in columns or docs.columns]).alias("row")
     all_rows = packed(docs.select(kept_columns, F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text")))
     joined = all_rows.join(places.hint("merge"), (F.col("id") == F.col("__id")) & (F.col("key") == F.col("__key")), "left").select("row", "data", "places")
     kind = joined.schema["row"].dataType
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, 1, size=FRAMES):
             n_words, n_removed, kept = [], [], []
             for text, at in zip(unpacked(batch.column(1)), batch.column(2)):
                 words = words_of(text)
@@ -265,4 +270,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept.append(text if unchanged and len(left) == len(words) else b" ".join(left).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["row", "n_words", "n_removed", "kept"])
 
-    return small_batches(joined).mapInArrow(run, f"row {kind.simpleString()}, n_words long, n_removed long, kept string")
+    return joined.mapInArrow(run, f"row {kind.simpleString()}, n_words long, n_removed long, kept string")
