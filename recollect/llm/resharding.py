@@ -1,8 +1,9 @@
 """Minimum-cost-flow resharding: new shards of near equal bytes with the fewest bytes moved.
 
-Three sizes are at work. Documents of a share of 1 / (64 new shards) of all bytes or more are few by arithmetic, and each is
-a block of its own. All other documents lie in blocks by size class and hash, and only the blocks' totals are
-gathered. The flow is solved between old and new shards, on as many nodes as there are shards.
+The flow is solved between old and new shards, on as many nodes as there are shards, over the bytes of all documents. It
+can't split a document, and that tells only for large ones: documents of a share of 1 / (64 new shards) of all bytes or more,
+few by arithmetic, each follow the first flow whole, and a second flow between the room that they leave and the other
+documents makes up for it. These lie in blocks by size class and hash, and only the blocks' totals are gathered.
 
 An old shard's blocks stand in a line, large documents first. The bytes that stay are taken from its front, and what
 each new shard gets is a stretch of the rest; a document goes where its middle byte lies. So cuts fall among small
@@ -17,12 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from recollect.llm.shared import new_path, written
+from recollect.llm.shared import bounded_join, new_path, result, temporary, written
 
 #: A document is large from total / (LARGE x new shards) bytes on; so there are LARGE x new shards of them at most.
 LARGE = 64
-#: Hash parts of each size class of an old shard.
-PARTS = 64
+#: Hash parts of each size class of an old shard: at least so many, and one for so many rows of the table.
+PARTS, PART_ROWS = 64, 4_000_000
+#: More blocks than this are joined by sort-merge and not broadcast.
+BROADCAST_BLOCKS = 100_000
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost) -> list[list[int]]:
@@ -98,23 +101,43 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
 
 
+def follow(flow: list[list[int]], names: list[int], n_new: int, large: list[tuple[int, int, int]]) -> list[int]:
+    """New shards of large documents (old, place, size; largest first) by the flow: a document stays home if it has room in
+    what stays there, or if it has room nowhere and not less than elsewhere; else it takes the most room in what is moved to a shard."""
+    stay = {old: row[old] for old, row in zip(names, flow) if old < n_new}
+    come = [sum(row[j] for old, row in zip(names, flow) if old != j) for j in range(n_new)]
+    out = []
+    for old, _, size in large:
+        most = max(range(n_new), key=lambda j: (come[j], -j))
+        room = stay.get(old, 0)
+        if old < n_new and (room >= size or (room >= come[most] and size > come[most])):
+            out.append(old)
+            stay[old] -= size
+        else:
+            out.append(most)
+            come[most] -= size
+    return out
+
+
 def plan(rows: DataFrame, n_new: int) -> tuple[DataFrame, DataFrame, list[list[int]]]:
-    """Large documents' shards, stretches (old, low, high, shard) of the old shards' lines, and the flow.
+    """Large documents' shards, stretches (old, low, high, shard) of the old shards' lines of other documents, and their flow.
 
-    rows: (old, place, size). Gathers the large documents, at most LARGE x n_new, and a total for each old shard.
+    rows: (old, place, size). Gathers the large documents, at most LARGE x n_new, and totals for each old shard.
     """
     spark = rows.sparkSession
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     large_from = total // (LARGE * n_new) + 1
+    small = F.when(F.col("size") < large_from, F.col("size")).otherwise(0)
+    sums = rows.groupBy("old").agg(F.sum("size").alias("n"), F.sum(small).alias("small")).orderBy("old").collect()  # a row for each old shard
+    names, price = [r["old"] for r in sums], lambda i, j: 0 if names[i] == j else 1
+    first = min_cost_flow([r["n"] for r in sums], level([0] * n_new, total), price) if sums else []
     large = [tuple(r) for r in rows.where(F.col("size") >= large_from).select("old", "place", "size").orderBy(F.desc("size"), "place", "old").collect()]
-    loads, mean, where = [0] * n_new, total / n_new, []
-    for old, place, size in large:
-        home = old if old < n_new and loads[old] + size <= mean else min(range(n_new), key=lambda j: (loads[j], j))
-        loads[home] += size
-        where.append((old, place, size, home))
-    sums = rows.where(F.col("size") < large_from).groupBy("old").agg(F.sum("size").alias("n")).orderBy("old").collect()  # a row for each old shard
-    supply, names = [r["n"] for r in sums], [r["old"] for r in sums]
-    flow = min_cost_flow(supply, level(loads, sum(supply)), lambda i, j: 0 if names[i] == j else 1) if supply else []
+    where = [(*doc, shard) for doc, shard in zip(large, follow(first, names, n_new, large))]
+    loads = [0] * n_new
+    for _, _, size, shard in where:
+        loads[shard] += size
+    supply = [r["small"] for r in sums]
+    flow = min_cost_flow(supply, level(loads, sum(supply)), price) if supply else []
     stretches = []
     for i, old in enumerate(names):
         low = 0
@@ -155,7 +178,8 @@ def reshard(rows: DataFrame, n_new: int) -> DataFrame:
     rows = rows.select("place", "size", "old")
     large, stretches, _ = plan(rows, n_new)
     size_class = 63 - F.floor(F.log2(F.col("size").cast("double"))).cast("int")
-    blocks = rows.withColumn("block", size_class * PARTS + F.pmod(F.xxhash64("place"), F.lit(PARTS)).cast("int"))
+    parts = max(PARTS, rows.count() // PART_ROWS)
+    blocks = rows.withColumn("block", size_class.cast("long") * parts + F.pmod(F.xxhash64("place"), F.lit(parts)))
     large = F.broadcast(large.select(F.col("place").alias("__place"), F.col("shard").alias("large")))  # LARGE x n_new rows at most
     blocks = written(blocks.join(large, F.col("place") == F.col("__place"), "left").drop("__place"), "reshard-blocks")
     small = blocks.where("large is null")
@@ -164,7 +188,7 @@ def reshard(rows: DataFrame, n_new: int) -> DataFrame:
     starts = written(totals.select("old", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "reshard-starts")
     inside = W.partitionBy("old", "block").orderBy(F.desc("size"), "place").rowsBetween(W.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("size").over(inside), F.lit(0))
-    placed = small.withColumn("offset", offset).join(F.broadcast(starts), ["old", "block"])  # 64 x PARTS rows for each old shard at most
+    placed = bounded_join(small.withColumn("offset", offset), starts, ["old", "block"], "inner", BROADCAST_BLOCKS)
     middle = F.col("base") + F.col("offset") + F.floor(F.col("size") / 2)
     stretches = F.broadcast(stretches.withColumnRenamed("old", "__old"))  # a row for each transfer between two shards
     moved = placed.join(stretches, (F.col("old") == F.col("__old")) & (middle >= F.col("low")) & (middle < F.col("high")))
@@ -197,7 +221,8 @@ def reshard_files(docs: DataFrame, n_new: int, old: Column) -> DataFrame:
     """Lay the rows out as old gives, reshard, rewrite: (row, size, text_crc32, slot, shard) of all files then in use."""
     spark = docs.sparkSession
     rows = lay_out(docs, old, new_path(spark, "old-shards"))
-    assigned = written(reshard(rows, n_new), "resharded")
+    with temporary(spark):
+        assigned = result(reshard(rows, n_new), "resharded")
     new = rewrite(rows, assigned, new_path(spark, "new-shards"))
     moved = assigned.where("old <> shard")
     touched = [r[0] for r in moved.select("shard").unionByName(moved.select(F.col("old").alias("shard"))).distinct().collect()]  # a row for each shard
