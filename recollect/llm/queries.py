@@ -84,7 +84,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recollect.llm.warc import fixity
 
-    return fixity(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
+    # files and offsets hang on how the table is split among tasks; the tests check them against the bytes
+    return fixity(table(spark, sf_dir, "pages"), new_path(spark, "warc")).select("page_id", "url", "length", "sha256", "status")
 
 
 QUERIES = {
@@ -103,17 +104,14 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op10_warc": """
 with r as (
-  select page_id, url, coalesce(page_id // 1000, -1) as file,
-    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::varchar, '')
-    || '>' || chr(13) || chr(10) || 'WARC-Date: 2020-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+  select page_id, url, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::varchar, '')
+    || '>' || chr(13) || chr(10) || 'WARC-Date: 2020-01-01T00:00:00Z' || coalesce(chr(13) || chr(10) || 'WARC-Target-URI: ' || url, '')
     || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || coalesce(octet_length(encode(html)), 0)::varchar
     || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) as record
-  from pages),
-l as (select *, octet_length(encode(record))::bigint as length from r)
-select page_id, url, file, coalesce(sum(length) over (partition by file order by page_id nulls first, record rows between unbounded preceding and 1 preceding), 0)::bigint as offset,
-  length, sha256(record) as sha256,
+  from pages)
+select page_id, url, octet_length(encode(record))::bigint as length, sha256(record) as sha256,
   case page_id % 61 when 0 then 'changed' when 1 then 'changed' when 2 then 'missing' else 'ok' end as status
-from l""",
+from r""",
     "op6_decontamination": """
 with d as (select doc_id, row_number() over () as r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
 b as (select coalesce(item_id::varchar, '') as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),

@@ -1,4 +1,8 @@
-"""WARC records and a Merkle fixity audit of their replicas.
+"""WARC files and a Merkle fixity audit of their replicas.
+
+An archive is a folder of WARC files, written by Spark's text writer with the end of a record as its line separator, so that a
+lost executor's files are written again and never twice. Each task writes its own rows in their order, a new file for each
+FILE_BYTES: no key decides where a row goes. The index of an archive is read from its bytes.
 
 Records get hashes; the records of an ordered range of offsets of a file make a leaf; FANOUT leaves, in order, make
 a node, and so on up to a file's root; FANOUT files make a node, up to one root for the archive. An audit compares the
@@ -8,47 +12,116 @@ where it ends, records are compared.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+import hashlib
+import re
+
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm.shared import written
+from recollect.llm.shared import pieces, written
 
-#: Ids of a file, bytes of a leaf's range, and children of a node.
-FILE_IDS, RANGE_BYTES, FANOUT = 1000, 1 << 16, 16
+#: Bytes at which a file ends, files that a task may write, bytes of a leaf's range, and children of a node.
+FILE_BYTES, TASK_FILES, RANGE_BYTES, FANOUT = 1 << 23, 4096, 1 << 16, 16
 DATE = "2020-01-01T00:00:00Z"
+END = "\r\n\r\n"
+_ID = re.compile(rb"\r\nWARC-Record-ID: <urn:page:(-?[0-9]*)>")
+_URL = re.compile(rb"\r\nWARC-Target-URI: ([^\r\n]*)")
+_LENGTH = re.compile(rb"\r\nContent-Length: ([0-9]+)")
+INDEX = "file long, offset long, length long, page_id long, url string, sha256 string"
 
 
 def record_of(page_id: Column, url: Column, html: Column) -> Column:
-    """A WARC resource record; null values count as empty."""
-    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    """A WARC resource record without the END that follows it. A null id is empty, a null address has no header, a null html
+    is an empty body; line ends in an address are percent-encoded."""
+    address = F.replace(F.replace(url, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     return F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), text(page_id),
-        F.lit(f">\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "), text(url),
+        F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")),
+        F.lit(f">\r\nWARC-Date: {DATE}"), F.coalesce(F.concat(F.lit("\r\nWARC-Target-URI: "), address), F.lit("")),
         F.lit("\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.coalesce(F.octet_length(html), F.lit(0)).cast("string"),
-        F.lit("\r\n\r\n"), text(html), F.lit("\r\n\r\n"),
+        F.lit(END), F.coalesce(html, F.lit("")),
     )
 
 
-def archive(pages: DataFrame, path: str) -> DataFrame:
-    """Write pages (page_id, url, html) as records in order of their ids: (file, offset, length, page_id, url, record).
+def _write(rows: DataFrame, path: str) -> None:
+    """Write rows (file, value), those of a file in order, as WARC files."""
+    rows.write.partitionBy("file").option("lineSep", END).text(path)
+
+
+def archive(pages: DataFrame, path: str) -> None:
+    """Write pages (page_id, url, html) as WARC files, a record for each row; no shuffle. An empty table makes no file."""
+
+    def run(batches):
+        file, size, at = TaskContext.get().partitionId() * TASK_FILES, 0, 0
+        for batch in pieces(batches, 0):
+            files, places = [], []
+            for n in batch.column(0).to_pylist():
+                if size and size + len(n) > FILE_BYTES:
+                    file, size = file + 1, 0
+                size, at = size + len(n) + len(END), at + 1
+                files.append(file)
+                places.append(at)
+            yield pa.RecordBatch.from_arrays([pa.array(files, pa.int64()), pa.array(places, pa.int64()), batch.column(0)], ["file", "place", "value"])
+
+    rows = pages.select(record_of(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html")).cast("binary").alias("value"))
+    placed = rows.mapInArrow(run, "file long, place long, value binary")
+    _write(placed.sortWithinPartitions("file", "place").select("file", F.col("value").cast("string").alias("value")), path)
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """(file, content) of the WARC files of a folder, of about FILE_BYTES or one record each."""
+    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)
+    return files.select(F.regexp_extract("path", r"/file=(\d+)/", 1).cast("long").alias("file"), "content")
 
-    A file holds FILE_IDS successive ids (a null id: file -1); offsets are those of the records one after another.
-    Rows with the same id stand in the order of their records, equal rows as often as they occur.
-    """
-    spark = pages.sparkSession
-    file = F.coalesce(F.floor(F.col("page_id") / FILE_IDS), F.lit(-1)).cast("long")
-    rows = pages.select(file.alias("file"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), record_of(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
-    before = W.partitionBy("file").orderBy("page_id", "record").rowsBetween(W.unboundedPreceding, -1)
-    length = F.octet_length("record").cast("long")
-    rows = rows.withColumn("offset", F.coalesce(F.sum(length).over(before), F.lit(0)).cast("long")).withColumn("length", length)
-    rows.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
 
+def records_of(content: bytes) -> list[tuple[int, int, int | None, str | None]]:
+    """(offset, length, page id, address) of the records of a file, by the lengths in their headers."""
+    out, at = [], 0
+    while at < len(content):
+        body = content.index(b"\r\n\r\n", at) + 4
+        header = content[at:body]
+        end = body + int(_LENGTH.search(header)[1]) + 4
+        key, url = _ID.search(header)[1], _URL.search(header)
+        out.append((at, end - at, int(key) if key else None, url[1].decode("utf-8") if url else None))
+        at = end
+    return out
 
-def digests(records: DataFrame) -> DataFrame:
-    """(file, offset, length, sha256) of the records of a replica as they are read now."""
-    return records.select("file", "offset", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("sha256"))
+
+def index(spark: SparkSession, path: str) -> DataFrame:
+    """(file, offset, length, page_id, url, sha256) of the records of an archive, read from its files."""
+
+    def run(batches):
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                content = content.as_py()
+                found = records_of(content)
+                digests = [hashlib.sha256(content[a : a + n]).hexdigest() for a, n, _, _ in found]
+                rows = [[file] * len(found), *zip(*found), digests] if found else [[]] * 6
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], [x.split()[0] for x in INDEX.split(", ")])
+
+    return stored(spark, path).mapInArrow(run, INDEX)
+
+
+def digests(spark: SparkSession, path: str, known: DataFrame) -> DataFrame:
+    """(file, offset, length, sha256) of the records that a replica holds at the places of an index; those whose bytes aren't
+    there, or don't begin as a record, are left out."""
+    places = known.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("places"))  # of one file
+    both = stored(spark, path).join(places.withColumnRenamed("file", "__file").hint("merge"), F.col("file") == F.col("__file")).select("file", "content", "places")
+
+    def run(batches):
+        for batch in batches:
+            for file, content, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                content = content.as_py()
+                cut = [(x["offset"], content[x["offset"] : x["offset"] + x["length"]]) for x in at]
+                cut = [(a, c) for a, c in cut if c.startswith(b"WARC/")]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([file] * len(cut), pa.int64()), pa.array([a for a, _ in cut], pa.int64()), pa.array([len(c) for _, c in cut], pa.int64()), pa.array([hashlib.sha256(c).hexdigest() for _, c in cut], pa.string())],
+                    ["file", "offset", "length", "sha256"],
+                )
+
+    return both.mapInArrow(run, "file long, offset long, length long, sha256 string")
 
 
 def _hash_of(parts: Column) -> Column:
@@ -86,13 +159,12 @@ def shape(*found: DataFrame) -> tuple[int, int]:
     return depth, height
 
 
-def audit(one: DataFrame, other: DataFrame) -> DataFrame:
-    """(file, offset, status) of the records in which two replicas (file, offset, record) differ.
+def audit(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(file, offset, status) of the records in which two replicas (file, offset, length, sha256) differ.
 
-    status: changed, missing (not in the other), extra (only in the other). Equal replicas, and two empty ones, give no
+    status: changed, missing (not in the second), extra (only in the second). Equal replicas, and two empty ones, give no
     row. A file or range that one replica hasn't got differs, down to its records.
     """
-    first, second = written(digests(one), "digests"), written(digests(other), "digests")
     depth, height = shape(first, second)
     a, b = tree(first, depth, height), tree(second, depth, height)
     wrong: DataFrame | None = None
@@ -118,22 +190,36 @@ def audit(one: DataFrame, other: DataFrame) -> DataFrame:
     return left.join(right.hint("merge"), ["file", "offset"], "full").where(~F.col("x").eqNullSafe(F.col("y"))).select("file", "offset", status.alias("status"))
 
 
-def damaged(records: DataFrame, path: str) -> DataFrame:
-    """A replica for a drill, with known damage by id: every 61st loses half of its bytes, the next one's last byte is
-    another, the one after is not there."""
-    part = F.coalesce(F.pmod("page_id", F.lit(61)), F.lit(-1))
-    half = F.expr("substring(record, 1, int(char_length(record) / 2))")
-    other = F.concat(F.expr("substring(record, 1, char_length(record) - 1)"), F.lit("?"))
-    rows = records.where(part != 2).withColumn("record", F.when(part == 0, half).when(part == 1, other).otherwise(F.col("record")))
-    rows.write.option("compression", "zstd").parquet(path)
-    return records.sparkSession.read.schema(rows.schema).parquet(path)
+def damaged(spark: SparkSession, path: str, to: str) -> None:
+    """Write a replica of an archive for a drill, with known damage by id: every 61st record has its second half overwritten,
+    the next one's last byte of text, the one after is blank."""
+
+    def run(batches):
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = bytearray(content.as_py())
+                for at, n, key, _ in records_of(bytes(data)):
+                    part = None if key is None else key % 61
+                    if part == 0:
+                        data[at + n // 2 : at + n - 4] = b"?" * (n - 4 - n // 2)
+                    elif part == 1:
+                        data[at + n - 5] ^= 1
+                    elif part == 2:
+                        data[at : at + n - 4] = b" " * (n - 4)
+                yield pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([bytes(data[:-4])], pa.binary())], ["file", "value"])
+
+    copied = stored(spark, path).mapInArrow(run, "file long, value binary")
+    _write(copied.select("file", F.col("value").cast("string").alias("value")), to)
 
 
 def fixity(pages: DataFrame, path: str) -> DataFrame:
-    """Archive the pages, damage a replica, audit it: (page_id, url, file, offset, length, sha256, status) of every page."""
-    records = archive(pages, f"{path}/first")
-    found = audit(records, damaged(records, f"{path}/second"))
+    """Archive the pages, damage a replica, audit it: (page_id, url, file, offset, length, sha256, status) of every record."""
+    spark = pages.sparkSession
+    archive(pages, f"{path}/first")
+    known = written(index(spark, f"{path}/first"), "warc-index")
+    damaged(spark, f"{path}/first", f"{path}/second")
+    second = written(digests(spark, f"{path}/second", known), "digests")
+    found = audit(known.select("file", "offset", "length", "sha256"), second)
     right = written(found, "damage").select(F.col("file").alias("__file"), F.col("offset").alias("__offset"), "status")
-    own = records.select("page_id", "url", "file", "offset", "length", F.sha2("record", 256).alias("sha256"))
-    joined = own.join(right.hint("merge"), (F.col("file") == F.col("__file")) & (F.col("offset") == F.col("__offset")), "left")
-    return joined.select(*own.columns, F.coalesce("status", F.lit("ok")).alias("status"))
+    joined = known.join(right.hint("merge"), (F.col("file") == F.col("__file")) & (F.col("offset") == F.col("__offset")), "left")
+    return joined.select("page_id", "url", "file", "offset", "length", "sha256", F.coalesce("status", F.lit("ok")).alias("status"))

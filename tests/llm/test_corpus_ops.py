@@ -142,9 +142,26 @@ def test_op5_query(spark):
     assert got == brute_classes([tuple(r) for r in docs.select("doc_id", "text").collect()])
 
 
+def test_near_dups_of_repeated_ids(spark):
+    """Each text of an id counts: 3 is like the first text of 1, and 2 like the second; 9 has very many rows of one id."""
+    rnd = random.Random(11)
+    a, b = (random_words(rnd, 60, 10**6) for _ in range(2))
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(edited(rnd, b, 1))), (3, " ".join(edited(rnd, a, 1))), (4, "quite another text of several words")]
+    rows += [(9, " ".join(random_words(rnd, 30, 10**6))) for _ in range(300)]
+    got = {r["id"]: r["class_id"] for r in near_dups.classes(docs_of(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 9: 9}
+    assert sorted(r[0] for r in near_dups.one_of_each(docs_of(spark, rows)).select("doc_id").collect()) == [1, 4, 9]
+
+
+def test_long_documents_have_few_common_shingles(spark):
+    rnd = random.Random(12)
+    rows = spark.createDataFrame([(" ".join(random_words(rnd, 2000, 10**6)),) for _ in range(80)], "text string")
+    assert len(near_dups.common_shingles(rows)[0]) == 0
+
+
 def test_common_shingles_are_exact(spark, monkeypatch):
     monkeypatch.setattr(near_dups, "UNIT", 300)  # many units
-    monkeypatch.setattr(near_dups, "PASS", 7)
+    monkeypatch.setattr(near_dups, "LEAST_DF", 1)
     rnd = random.Random(4)
     common = "one two three four five six"
     texts = [" ".join([*random_words(rnd, 20, 10**6), *(common.split() if i % 9 == 0 else [])]) for i in range(300)]
@@ -173,6 +190,29 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
 
 
+def test_substrings_of_repeated_rows_grow_in_proportion(spark):
+    """300 equal rows of one id beside a document that has their passage: places are kept once."""
+    rnd = random.Random(21)
+    text = " ".join(random_words(rnd, 300, 10**6))
+    rows = [(1, text)] + [(2, text + " end")] * 300
+    once = substrings.repeated_windows(docs_of(spark, rows).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), "text")).collect()
+    assert len(once) == 1 and sum(p["n"] for p in once[0]["places"]) == 251
+    got = substrings.remove_repeats(docs_of(spark, rows), columns=["doc_id"]).groupBy("row.doc_id", "n_removed", "kept").count().collect()
+    assert sorted((r["doc_id"], r["n_removed"], r["kept"], r["count"]) for r in got) == [(1, 0, text, 1), (2, 300, "end", 300)]
+
+
+def test_long_texts(spark):
+    """A text of megabytes goes through near-duplicates, substrings and the index beside short ones."""
+    rnd = random.Random(22)
+    long = random_words(rnd, 400_000, 10**6)
+    rows = [(1, " ".join(long)), (2, " ".join(edited(rnd, long, 30))), (3, "a few words"), (4, "x" * 2_000_000)]
+    assert {r["id"]: r["class_id"] for r in near_dups.classes(docs_of(spark, rows)).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    got = substrings.remove_repeats(docs_of(spark, rows), columns=["doc_id"]).select("row.doc_id", "n_words", "n_removed", "kept").collect()
+    assert sorted(map(tuple, got), key=str) == removed(rows)
+    items = spark.createDataFrame([(7, " ".join(long[300_000:300_010]))], "item_id long, text string")
+    assert {r["id"]: r["n_hit"] for r in decontaminate.contamination(docs_of(spark, rows), items).collect()} == {1: 10, 2: 10, 3: 0, 4: 0}
+
+
 # ---- decontamination
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -325,6 +365,23 @@ def test_resharding(spark):
     assert resharding.reshard_files(docs.limit(0), 6, F.lit(0)).count() == 0
 
 
+def test_documents_move_few_bytes(spark):
+    """Against all assignments of a few documents, large ones among them, whose loads are as near or nearer: what moves is the
+    least, give or take a document."""
+    rnd = random.Random(16)
+    for _ in range(6):
+        n = rnd.choice([2, 3])
+        docs = [(rnd.randrange(3), k, rnd.choice([20, 50, 100, 400])) for k in range(7)]
+        rows = spark.createDataFrame([(old, k, size) for old, k, size in docs], "old int, place long, size long")
+        got = {r["place"]: r["shard"] for r in resharding.reshard(rows, n).collect()}
+        spread = lambda to: (lambda sums: max(sums) - min(sums))([sum(d[2] for d, s in zip(docs, to) if s == k) for k in range(n)])  # noqa: B023, E731
+        moved = lambda to: sum(size for (old, _, size), s in zip(docs, to) if old != s)  # noqa: B023, E731
+        ours = [got[k] for _, k, _ in docs]
+        best = min(moved(to) for to in itertools.product(range(n), repeat=len(docs)) if spread(to) <= spread(ours))
+        largest = max(size for _, _, size in docs)
+        assert moved(ours) <= best + largest and spread(ours) <= 2 * largest
+
+
 def test_op4_query(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     rows = queries.op4_resharding(spark, SF).collect()
@@ -339,24 +396,30 @@ def test_op4_query(spark):
 # ---- archive
 
 
-def test_audit_finds_all_damage_and_only_that(spark, tmp_path):
-    rows = [(i, f"http://x/{i}", "<p>" + "y" * (i % 700)) for i in range(3000)] + [(None, None, None), (5, "http://x/5", ""), (5, "http://x/5", "")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("offset", F.lit(1)).withColumn("file", F.lit(1))
-    got = warc.fixity(pages, f"{tmp_path}/w").collect()
-    assert len(got) == len(rows)
+def test_audit_finds_all_damage_and_only_that(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 100_000)
+    rows = [(i, f"http://x/{i}", "<p>" + "é" * (i % 700)) for i in range(3000)] + [(None, None, None), (5, "http://x/5", ""), (5, "http://x/5", ""), (-3, "http://x/\r\n", "\r\n\r\nWARC/1.1"), (4, "", "y" * 3_000_000)]
+    rows += [(None, "http://n/", "same")] * 500
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("offset", "file", "value", "place")})
+    got = warc.fixity(pages, f"file://{tmp_path}/w").collect()
+    assert len(got) == len(rows) and Counter((r["page_id"], r["url"]) for r in got) == Counter((i, u and u.replace("\r", "%0D").replace("\n", "%0A")) for i, u, _ in rows)
     kinds = {0: "changed", 1: "changed", 2: "missing"}
     assert all(r["status"] == ("ok" if r["page_id"] is None else kinds.get(r["page_id"] % 61, "ok")) for r in got)
-    for file in {r["file"] for r in got}:
-        own = sorted((r["offset"], r["length"]) for r in got if r["file"] == file)
-        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:]))
-    records = spark.read.parquet(f"{tmp_path}/w/first")
-    assert warc.audit(records, records).count() == 0
-    extra = warc.audit(records.where("page_id <> 77"), records).collect()
-    assert [r["status"] for r in extra] == ["extra"] * (1 + 1)  # the row without an id isn't in the first either
-    record = records.where("page_id = 9").first()["record"]
-    body = record.split("\r\n\r\n", 1)[1]
-    assert record.startswith("WARC/1.1\r\n") and "Content-Length: 12\r\n" in record and body == "<p>" + "y" * 9 + "\r\n\r\n"
-    assert warc.fixity(pages.limit(0), f"{tmp_path}/e").count() == 0
+    # the bytes of each file, cut at the offsets, are its records
+    files = {r["file"]: bytes(r["content"]) for r in warc.stored(spark, f"file://{tmp_path}/w/first").collect()}
+    assert len(files) > 15 and all(len(c) <= 100_000 or c.count(b"WARC/1.1\r\n") == 1 for c in files.values())
+    for file, content in files.items():
+        own = sorted((r["offset"], r["length"], r["sha256"]) for r in got if r["file"] == file)
+        assert own[0][0] == 0 and all(a + n == b for (a, n, _), (b, _, _) in zip(own, own[1:])) and own[-1][0] + own[-1][1] == len(content)
+        assert all(hashlib.sha256(content[a : a + n]).hexdigest() == h for a, n, h in own)
+    known = warc.index(spark, f"file://{tmp_path}/w/first")
+    assert warc.audit(known, known).count() == 0
+    extra = warc.audit(known.where("page_id <> 77"), known).collect()
+    assert [r["status"] for r in extra] == ["extra"] * (1 + 501)  # the rows without an id aren't in the first either
+    nine = known.where("page_id = 9").first()
+    record = files[nine["file"]][nine["offset"] : nine["offset"] + nine["length"]].decode()
+    assert record.startswith("WARC/1.1\r\n") and "Content-Length: 21\r\n" in record and record.split("\r\n\r\n", 1)[1] == "<p>" + "é" * 9 + "\r\n\r\n"
+    assert warc.fixity(pages.limit(0), f"file://{tmp_path}/e").count() == 0
 
 
 # ---- pipeline
