@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir (set to a folder made here only where it is unset, as in tests)."""
+    """A new path under spark.checkpoint.dir. Where it is unset, a local session gets a folder made here; on a cluster
+    that is an error, as executors wouldn't see it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="recollect-")
         spark.sparkContext.setCheckpointDir(found)
     return f"{found.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"

@@ -1,5 +1,11 @@
 """Each registered query against its SQL on the smallest tables, and the shape of the driver's entry points."""
 
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pandas as pd
 import pytest
@@ -40,6 +46,16 @@ def test_every_query_has_sql_but_for_those_named():
     assert set(registry.QUERIES) <= set(entry_points.queries())
 
 
+def test_library_stands_without_the_corpus_subpackage(tmp_path):
+    """A copy without recollect/llm and tests/llm, with and without the pipeline's file, imports and gives its queries."""
+    top = Path(__file__).resolve().parents[1]
+    shutil.copytree(top, tmp_path / "copy", ignore=lambda folder, names: [n for n in names if n in ("llm", ".git", "__pycache__", ".pytest_cache")])
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q) and 'retrieve' in q and not any(n.startswith('op') and n[2].isdigit() or n == 'pipeline' for n in q)"
+    for _ in range(2):
+        subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path / "copy", env=os.environ | {"PYTHONPATH": ""}, check=True)
+        (tmp_path / "copy" / "corpus_pipeline.py").unlink(missing_ok=True)
+
+
 def test_entry(spark):
     assert entry_points.entry(spark).count() > 0
 
