@@ -1,15 +1,17 @@
 """Main text of web pages by removing each host's template.
 
-Element subtrees outside the article get a hash of their tags and text. Spark counts on how many pages of a host each
-hash stands; a subtree that recurs on many of them is template and is deleted, wherever it stands on a page. Rules on
-tags, roles and class words delete what is never article text (scripts, forms, menus, adverts, reader comments),
-also where a host has too few pages to show its template. What stands in an article or main element is never deleted for
-recurring, so a text that many pages share stays. A form or a class or id word around an article doesn't delete it.
+Element subtrees get a hash of their tags and text, made from those of their children. Spark counts on how many pages of a
+host each hash stands; subtrees that recur on many of them are template and are deleted, wherever they stand on a page. (What
+lies in a recurring subtree recurs too, so a block of text is judged by the subtree right around it.) Inside an article
+more recurrence is asked for, and only small parts of an article are deleted so: pages may share most of a text. Rules on
+tags, roles and class words delete what is never article text (scripts, forms, menus, adverts, reader comments), also
+where a host has too few pages to show its template. A form or a class or id word around an article doesn't delete it.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -17,12 +19,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.shared import bounded_join, pieces, written
+from recollect.llm.shared import pieces, written
 
 #: A subtree is template if it stands on so many pages of its host, and on this share of them.
 LEAST_PAGES, LEAST_SHARE = 3, 0.2
+#: The same inside an article, and the share of its text that is deleted so at most (if more recurs, nothing is).
+INSIDE_PAGES, INSIDE_PAGE_SHARE, INSIDE_TEXT_SHARE = 20, 0.5, 0.2
 #: More template subtrees than this are joined by sort-merge and not broadcast.
-BROADCAST_HOSTS = 20_000
+BROADCAST_SUBTREES = 200_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -57,55 +61,64 @@ def marks(tag: str, known: dict[str, str], inside: bool) -> bool:
     return any(runs and WORDS.issuperset(runs) for runs in map(_NAME.findall, tokens))
 
 
-class _Page(HTMLParser):
-    """Blocks of text of one page with what is known of where they stand; hashes of the subtrees outside the article."""
+#: Nothing is open: tag, dropped for good, in a form, marks around, marks around its article (None: none), in an article element, subtree.
+_TOP = ("", False, False, 0, None, False, -1)
+
 
-    top = ["", False, False, 0, None, None, None]
+class _Page(HTMLParser):
+    """Blocks of text of one page with what is known of where they stand; hashes of its subtrees. Work and memory go with the
+    length of the page, however deep its elements lie."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, int | None, tuple[int, ...]]] = []  # text, level of its article, the subtrees around it
-        self.hashes: dict[int, int] = {}  # subtree -> hash
-        # tag, dropped for good, in a form, marked elements around, those around its article (None: no article), subtree or None, its hasher
-        self.open: list[list] = []
+        self.blocks: list[tuple] = []  # text, marks around its article, in an article element, a main heading, the subtree right around it
+        self.hashes: list[int] = []  # of each subtree
+        self.hashers: list = []  # of each subtree; None when it has ended
+        self.open: list[tuple] = []
+        self.count: Counter = Counter()  # open elements of a tag
         self.now: list[str] = []
-        self.subtrees = 0
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.now)).strip()
         self.now = []
-        _, dropped, form, marked, level, _, _ = self.open[-1] if self.open else self.top
+        tag, dropped, form, marked, level, article, subtree = self.open[-1] if self.open else _TOP
         if text and not (dropped or form or marked > (level or 0)):
-            self.blocks.append((text, level, tuple(x[5] for x in self.open if x[5] is not None)))
+            self.blocks.append((text, level, article, tag == "h1", subtree))
+
+    def tell(self, data: bytes) -> None:
+        """Add to the hash of the subtree that is open."""
+        subtree = self.open[-1][6] if self.open else -1
+        if subtree >= 0:
+            self.hashers[subtree].update(data)
 
     def handle_starttag(self, tag, attrs):
         if tag not in INLINE:
             self.flush()
-        if tag in CLOSES_P and any(x[0] == "p" for x in self.open):
+        if tag in CLOSES_P and self.count["p"]:
             self.close_to("p", MAIN | {"div", "section", "td", "table"})
         if tag in SIBLINGS:
             for x in SIBLINGS[tag]:
                 self.close_to(x, {"ul", "ol", "dl", "table", "select", "menu"})
+        self.tell(f"<{tag}>".encode())
         if tag in VOID:
             return
-        up = self.open[-1] if self.open else self.top
         known = {k: v or "" for k, v in attrs}
-        _, dropped, form, marked, level, _, _ = up
+        _, dropped, form, marked, level, article, subtree = self.open[-1] if self.open else _TOP
         # An article in a form, or in what a class or id marks, may be the page's: done() tells by the number of marks.
         if tag in MAIN or known.get("role") == "main":
-            form, level = False, marked
+            form, article = False, article or tag == "article"
+            marked += tag == "article" and not WORDS.isdisjoint(known.get("class", "").lower().split())  # a reader's comment, a teaser
+            level = marked
         inside = level is not None
         marked += marks(tag, known, inside)
         form = form or tag == "form" or known.get("role") == "form"
         dropped = dropped or tag in DROPPED or (tag in OUTSIDE and not inside) or known.get("role", "") in ROLES or "hidden" in known or known.get("aria-hidden") == "true"
-        subtree = None
-        if not inside and tag not in INLINE and tag not in ("html", "body", "head", "script", "style"):
-            subtree, self.subtrees = self.subtrees, self.subtrees + 1
-        hasher = xxhash.xxh3_64() if subtree is not None else None
-        for x in self.open:
-            if x[6] is not None:
-                x[6].update(f"<{tag}>")
-        self.open.append([tag, dropped, form, marked, level, subtree, hasher])
+        if tag not in INLINE and tag not in ("html", "body"):
+            subtree = len(self.hashers)
+            self.hashers.append(xxhash.xxh3_64(tag.encode()))
+            self.hashes.append(0)
+        self.open.append((tag, dropped, form, marked, level, article, subtree))
+        self.count[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -113,14 +126,19 @@ class _Page(HTMLParser):
             self.handle_endtag(tag)
 
     def pop(self) -> None:
-        tag, subtree, hasher = self.open[-1][0], *self.open[-1][5:]
+        tag, subtree = self.open[-1][0], self.open[-1][6]
         if tag not in INLINE:
             self.flush()
         self.open.pop()
-        if hasher is not None:
-            self.hashes[subtree] = hasher.intdigest() - (1 << 63)
+        self.count[tag] -= 1
+        if subtree >= 0 and (not self.open or self.open[-1][6] != subtree):
+            self.hashes[subtree] = self.hashers[subtree].intdigest() - (1 << 63)
+            self.tell(self.hashers[subtree].digest())
+            self.hashers[subtree] = None
 
     def close_to(self, tag: str, stops) -> None:
+        if not self.count[tag]:
+            return
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
                 while len(self.open) > k:
@@ -132,15 +150,11 @@ class _Page(HTMLParser):
     def handle_endtag(self, tag):
         if tag not in INLINE:
             self.flush()
-        if tag == "p" and not any(x[0] == "p" for x in self.open):
-            return
         self.close_to(tag, MAIN if tag in INLINE or tag == "p" else ())
 
     def handle_data(self, data):
         self.now.append(data)
-        for x in self.open:
-            if x[6] is not None:
-                x[6].update(data.encode("utf-8", "surrogatepass"))
+        self.tell(data.encode("utf-8", "surrogatepass"))
 
     def unknown_decl(self, data):
         pass
@@ -151,8 +165,13 @@ class _Page(HTMLParser):
             self.pop()
         self.flush()
         # Articles in more marked elements than others of the page are readers' comments, teasers and the like.
-        least = min((level for _, level, _ in self.blocks if level is not None), default=None)
-        self.blocks = [(text, level is not None, around) for text, level, around in self.blocks if level is None or level == least]
+        least = min((level for _, level, *_ in self.blocks if level is not None), default=None)
+        blocks = [x for x in self.blocks if x[1] is None or x[1] == least]
+        # What stands beside the article in a main element isn't article, but for its heading.
+        inside = [x for x in blocks if x[1] is not None]
+        if 2 * sum(len(x[0]) for x in inside if x[2]) >= sum(len(x[0]) for x in inside):
+            blocks = [x for x in blocks if x[1] is None or x[2] or x[3]]
+        self.blocks = [(text, level is not None, self.hashes[subtree] if subtree >= 0 else None) for text, level, _, _, subtree in blocks]
         return self
 
 
@@ -167,36 +186,38 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-BLOCKS = "array<struct<text:string,inside:boolean,around:array<long>>>"
+BLOCKS = "array<struct<text:string,inside:boolean,subtree:long>>"
 
 
 def parsed(rows: DataFrame) -> DataFrame:
-    """(row, host, blocks, hashes, content) of rows (row, host, html): each page is parsed once; content is a hash of its blocks."""
-    kind = pa.list_(pa.struct([("text", pa.string()), ("inside", pa.bool_()), ("around", pa.list_(pa.int64()))]))
+    """(row, host, blocks, content) of rows (row, host, html): each page is parsed once; content is a hash of its blocks."""
+    kind = pa.list_(pa.struct([("text", pa.string()), ("inside", pa.bool_()), ("subtree", pa.int64())]))
 
     def run(batches):
         for batch in pieces(batches, 2):
-            blocks, hashes, content = [], [], []
+            blocks, content = [], []
             for html in batch.column(2).to_pylist():
                 page = parse(html)
-                blocks.append([{"text": text, "inside": inside, "around": [page.hashes[x] for x in around]} for text, inside, around in page.blocks])
-                hashes.append(sorted({*page.hashes.values()}))
+                blocks.append([dict(zip(("text", "inside", "subtree"), x)) for x in page.blocks])
                 content.append(xxhash.xxh3_64_intdigest("\n".join(text for text, _, _ in page.blocks).encode("utf-8", "surrogatepass")) - (1 << 63))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blocks, kind), pa.array(hashes, pa.list_(pa.int64())), pa.array(content, pa.int64())], ["row", "host", "blocks", "hashes", "content"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blocks, kind), pa.array(content, pa.int64())], ["row", "host", "blocks", "content"])
 
-    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, host string, blocks {BLOCKS}, hashes array<long>, content long")
+    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, host string, blocks {BLOCKS}, content long")
     return written(out, "parsed-pages")
 
 
 def host_templates(pages: DataFrame) -> DataFrame:
-    """(host, template array<long>) of pages (host, hashes, content): the subtrees that recur on many pages of a host. Pages of
-    equal content count once, so that copies of a page don't make its text a template."""
-    known = pages.where("host <> ''").groupBy("host", "content").agg(F.min("hashes").alias("hashes"))
+    """(host, template array<struct<hash, inside>>) of pages (host, blocks, content): the subtrees that recur on many pages of a
+    host; inside: on so many that they are template in articles too. Pages of equal content count once, so that copies of a
+    page don't make its text a template."""
+    hashes = F.array_distinct(F.filter(F.transform("blocks", lambda b: b["subtree"]), lambda h: h.isNotNull()))
+    known = pages.where("host <> ''").select("host", "content", hashes.alias("hashes")).groupBy("host", "content").agg(F.min("hashes").alias("hashes"))
     sizes = known.groupBy("host").agg(F.count("*").alias("pages"))
     counts = known.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
     many = written(counts, "subtree-counts").join(written(sizes, "host-sizes").hint("merge"), "host").where(F.col("n") >= LEAST_SHARE * F.col("pages"))
-    # a host has at most (mean subtrees of a page) / LEAST_SHARE of these
-    return written(many.groupBy("host").agg(F.collect_list("hash").alias("template")), "templates")
+    # a host has at most (mean blocks of a page) / LEAST_SHARE of these
+    inside = (F.col("n") >= INSIDE_PAGES) & (F.col("n") >= INSIDE_PAGE_SHARE * F.col("pages"))
+    return written(many.groupBy("host").agg(F.collect_list(F.struct("hash", inside.alias("inside"))).alias("template")), "templates")
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", columns: list[str] | None = None) -> DataFrame:
@@ -206,11 +227,17 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", colu
     rules nor template delete. Null and empty pages have an empty text. Pages without a host (or a null address) have
     only the rules applied. Repeated rows all get their text, and count as one page of their host. An empty table gives an empty table.
     """
-    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in columns or pages.columns]).alias("row"), host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in columns or pages.columns]).alias("row"), host(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
     found = parsed(rows)
     templates = host_templates(found).withColumnRenamed("host", "__host")
-    joined = bounded_join(found.select("row", "host", "blocks"), templates, F.col("host") == F.col("__host"), "left", BROADCAST_HOSTS)
-    none = F.array().cast("array<long>")
-    left = F.filter("blocks", lambda b: b["inside"] | ~F.arrays_overlap(b["around"], F.coalesce(F.col("template"), none)))
-    article = F.filter("blocks", lambda b: b["inside"])
-    return joined.select("row", F.array_join(F.transform(F.when(F.size(article) > 0, article).otherwise(left), lambda b: b["text"]), " ").alias("text"))
+    total = templates.agg(F.sum(F.size("template"))).first()[0] or 0
+    joined = found.select("row", "host", "blocks").join(F.broadcast(templates) if total <= BROADCAST_SUBTREES else templates.hint("merge"), F.col("host") == F.col("__host"), "left")
+    some = F.coalesce("template", F.array().cast("array<struct<hash:long,inside:boolean>>"))
+    outside = F.transform(some, lambda t: t["hash"])
+    strong = F.transform(F.filter(some, lambda t: t["inside"]), lambda t: t["hash"])
+    not_in = lambda b, hashes: b["subtree"].isNull() | ~F.array_contains(hashes, b["subtree"])
+    left = joined.select("row", F.filter("blocks", lambda b: ~b["inside"] & not_in(b, outside)).alias("left"), F.filter("blocks", lambda b: b["inside"]).alias("article"), strong.alias("strong"))
+    left = left.withColumn("own", F.filter("article", lambda b: not_in(b, F.col("strong"))))
+    chars = lambda c: F.aggregate(c, F.lit(0), lambda n, b: n + F.length(b["text"]))
+    article = F.when(chars("own") >= (1 - INSIDE_TEXT_SHARE) * chars("article"), F.col("own")).otherwise(F.col("article"))
+    return left.select("row", F.array_join(F.transform(F.when(F.size("article") > 0, article).otherwise(F.col("left")), lambda b: b["text"]), " ").alias("text"))
