@@ -20,6 +20,8 @@ MARK = "▁"
 NODES = 1_500_000
 #: Most stored terminal counts, likewise.
 TERMINALS = 400_000
+#: Characters from which a word is scored without nodes, as no other word will share it.
+LONG = 64
 
 
 def unigram_scores(path: str) -> tuple[dict[str, int], int]:
@@ -52,33 +54,47 @@ class Trie:
         """Tokens of a pre-token; forward scores are computed only for prefixes that no earlier word had."""
         if len(self.best) > NODES:
             self.clear()
-        child, best, get = self.child, self.best, self.scores.get
+        child, best = self.child, self.best
         text, path, node = MARK + word, [0], 0
         for d, c in enumerate(text, 1):
             key = node << 21 | ord(c)
             node = child.get(key)
             if node is None:
-                score, count = best[path[-1]]
-                width = len(c.encode("utf-8", "surrogatepass"))
-                top = (score + width * self.byte_score, -(count + width))
-                for start in range(max(0, d - self.longest), d):
-                    if (s := get(text[start:d])) is not None:
-                        score, count = best[path[start]]
-                        top = max(top, (score + s, -(count + 1)))
+                top = self.step(text, d, lambda k: best[path[k]])
                 node = child[key] = len(best)
-                best.append((top[0], -top[1]))
+                best.append(top)
             path.append(node)
         return best[node][1]
 
+    def step(self, text: str, d: int, best) -> tuple[int, int]:
+        """The forward score of the first d characters of a text; best gives that of a shorter prefix."""
+        score, count = best(d - 1)
+        width = len(text[d - 1].encode("utf-8", "surrogatepass"))
+        top = (score + width * self.byte_score, -(count + width))
+        for start in range(max(0, d - self.longest), d):
+            if (s := self.scores.get(text[start:d])) is not None:
+                score, count = best(start)
+                top = max(top, (score + s, -(count + 1)))
+        return top[0], -top[1]
+
+    def long(self, word: str) -> int:
+        """Tokens of a long word: only the scores of the last prefixes are kept, in a ring."""
+        text, size = MARK + word, self.longest + 1
+        ring = [(0, 0)] * size
+        for d in range(1, len(text) + 1):
+            ring[d % size] = self.step(text, d, lambda k: ring[k % size])
+        return ring[len(text) % size][1]
+
     def count(self, word: str) -> int:
         """The stored terminal count, or insert."""
         n = self.counts.get(word)
         if n is None:
+            if len(word) >= LONG:
+                return self.long(word)
             n = self.insert(word)
             if len(self.counts) >= TERMINALS:
                 self.counts.clear()
-            if len(word) < 64:
-                self.counts[word] = n
+            self.counts[word] = n
         return n
 
 
