@@ -59,11 +59,16 @@ def temporary(spark: SparkSession):
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = path or new_path(spark, name)
-    df.write.mode("errorifexists").parquet(path)
+def written(df: DataFrame, name: str, path: str | None = None, rows: int = PIECE_ROWS) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors. While it is written, Arrow
+    batches hold so many rows at most."""
+    spark, setting = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path, before = path or new_path(spark, name), spark.conf.get(setting)
+    spark.conf.set(setting, rows)
+    try:
+        df.write.mode("errorifexists").parquet(path)
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

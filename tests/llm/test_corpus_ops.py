@@ -5,6 +5,7 @@ import html as html_module
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -314,6 +315,62 @@ def test_copies_of_a_page_are_no_template(spark):
     assert got == {i: "The same text" if i < 4 else f"Own {i}" for i in range(7)}
 
 
+def site(rnd, host, n, wrap):
+    """Pages of a host: its own blocks between template blocks, some of them on only a part of the pages."""
+    template = [(f"<div><p>{' '.join(random_words(rnd, 6, 10**6))}</p></div>", share) for share in (1.0, 0.9, 0.5, 0.3, 0.1)]
+    out = []
+    for i in range(n):
+        own = [f"<p>{' '.join(random_words(rnd, 30, 10**6))}</p>" for _ in range(3)]
+        parts = own + [t for t, share in template if rnd.random() < share]
+        rnd.shuffle(parts)
+        out.append((i, f"http://{host}/{i}", page(wrap.format("".join(parts)))))
+    return out
+
+
+def brute_texts(rows):
+    """Main texts of pages made of paragraphs: counts of all paragraphs over all distinct pages of a host, in plain Python."""
+    blocks = {i: re.findall(r"<p>(.*?)</p>", h) for i, _, h in rows}
+    count = Counter(b for found in {tuple(v) for v in blocks.values()} for b in set(found))
+    pages = len({tuple(v) for v in blocks.values()})
+    inside = "<article>" in rows[0][2]
+    template = {b for b, n in count.items() if (n >= 20 and n >= 0.5 * pages if inside else n >= 3 and n >= 0.2 * pages)}
+    return {i: " ".join(b for b in v if b not in template) for i, v in blocks.items()}
+
+
+@pytest.mark.parametrize("wrap", ["<div>{}</div>", "<article>{}</article>", "{}"])
+def test_templates_equal_brute_force(spark, wrap):
+    rows = site(random.Random(31), "t.example", 60, wrap)
+    got = {r["row"]["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == brute_texts(rows)
+    assert any(len(re.findall("<p>", h)) > len(re.findall(r"(?:\S+ ){29}\S+", got[i])) for i, _, h in rows)  # the counts have deleted something
+
+
+def test_near_copies_of_an_article_stay(spark):
+    rnd = random.Random(32)
+    same = [f"<p>{' '.join(random_words(rnd, 30, 10**6))}</p>" for _ in range(4)]
+    rows = [(i, f"http://n.example/{i}", page(f"<article>{''.join(same)}<p>edit {i}</p></article>")) for i in range(40)]
+    got = {r["row"]["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: re.sub(r"</?p>", " ", "".join(same) + f"edit {i}").replace("  ", " ").strip() for i in range(40)}
+
+
+def test_comments_and_what_stands_beside_the_article():
+    text = lambda body: " ".join(t for t, inside, _ in html_text.parse(page(body)).blocks if inside)
+    article = "<article><p>the text of the page</p></article>"
+    assert text(f"<main><h1>Title</h1><div>crumbs</div>{article}<div>below</div></main>") == "Title the text of the page"
+    assert text(f"<main>{article}<article class='comment'>reader</article></main>") == "the text of the page"
+    assert text("<main><p>a long text that is the page's own, and a short teaser beside it</p><article>teaser</article></main>").startswith("a long text")
+    assert text("<article class='comment featured'><p>alone</p></article>") == "alone"
+
+
+def test_deep_and_long_pages():
+    began = time.process_time()
+    deep = html_text.parse("<div>x" * 100_000)
+    assert len(deep.blocks) == 100_000 and len({h for _, _, h in deep.blocks}) == 100_000
+    assert len(html_text.parse("<article>" + "<p>word <b>bold</b>" * 100_000).blocks) == 100_000
+    assert html_text.parse("<p>" + "long " * 400_000).blocks[0][0] == "long " * 399_999 + "long"
+    assert time.process_time() - began < 30
+
+
 def test_op2_query(spark):
     got = {r["page_id"]: r["text"] for r in queries.op2_html_text(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():

@@ -156,6 +156,15 @@ def test_trie_computes_shared_prefixes_once():
     assert t.count("abd") == 2 and len(t.best) == 6
 
 
+def test_long_words_make_no_nodes():
+    scores, byte_score = token_counts.unigram_scores(public_tokenizers.path("piece_bpe_32k.model"))
+    t, rnd = token_counts.Trie(scores, byte_score), random.Random(9)
+    for n in (64, 200, 3000):
+        word = "".join(rnd.choice("aeinorst_é日") for _ in range(n))
+        assert t.count(word) == best_tokens(word, scores, byte_score)
+    assert t.count("word" * 100_000) > 0 and len(t.best) == 1
+
+
 def base(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     seen, dup = set(), 0
@@ -195,6 +204,60 @@ def test_quality_estimates_equal_numpy(spark):
     assert min(out) > 5 * np.median(d)  # the planted group lies far out though it is 15 % of the rows
 
 
+def numpy_verdicts(docs):
+    """(kept, distance) of each (text, lang, source): minimum covariance determinants of its cell, in numpy."""
+    stats = [base(t) for t, _, _ in docs]
+    good = [n >= 50 and 100 * k <= 50 * n for n, _, _, _, k in stats]
+    x = {i: np.array([math.log(c / n), math.log1p(100 * s / c), math.log1p(100 * d / n), math.asin(math.sqrt(k / n))]) for i, (n, c, s, d, k) in enumerate(stats) if good[i]}
+    fine, coarse = Counter(docs[i][1:] for i in x), Counter(docs[i][1] for i in x)
+    cell = {i: docs[i][1:] if fine[docs[i][1:]] >= 60 else docs[i][1] if coarse[docs[i][1]] >= 60 else 0 for i in x}
+    members = {c: np.array([x[i] for i in x if c == 0 or c == docs[i][1:] or c == docs[i][1]]) for c in set(cell.values())}
+    if len(x) < 60:
+        return [(g, None) for g in good]
+    floors = np.array(quality.FLOORS)
+
+    def estimate(rows, factor):
+        return rows.mean(0), np.cov(rows.T, bias=True) * factor + np.diag(floors**2)
+
+    def distance(rows, found):
+        return np.round(np.einsum("ij,jk,ik->i", rows - found[0], np.linalg.inv(found[1]), rows - found[0]), 6)
+
+    def nearest(rows, d, share):
+        bins = np.floor(32 * np.log2(1 + d))
+        order = np.sort(bins)
+        return rows[bins <= order[math.ceil(share * len(rows)) - 1]]
+
+    now = {}
+    for c, rows in members.items():
+        for start in (0, 1):
+            d = np.round(np.square(rows[:, 1:] / floors[1:]).sum(1), 6) if start else np.zeros(len(rows))
+            now[c, start] = estimate(nearest(rows, d, 0.5), 1.0)
+    before, logdet = None, lambda found: np.linalg.slogdet(found[1])[1]
+    for _ in range(quality.STEPS):
+        total = sum(round(logdet(f), 6) for f in now.values())
+        if before is not None and abs(total - before) < 1e-7:
+            break
+        before = total
+        now = {(c, k): estimate(nearest(members[c], distance(members[c], f), quality.H), quality.CONSISTENT) for (c, k), f in now.items()}
+    final = {}
+    for c, rows in members.items():
+        best = min((now[c, k] for k in (0, 1)), key=logdet)
+        final[c] = estimate(rows[distance(rows, best) <= quality.REWEIGHT], quality.CONSISTENT_REWEIGHT)
+    d = {i: float(distance(v[None], final[cell[i]])[0]) for i, v in x.items()}
+    return [(g and d[i] <= quality.CUTOFF, d.get(i)) for i, g in enumerate(good)]
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_quality_verdicts_equal_numpy(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet").select("doc_id", "text", "lang", "source")
+    rows = {r["row"]["doc_id"]: r for r in quality.quality(docs).collect()}
+    docs = docs.collect()
+    for r, (kept, distance) in zip(docs, numpy_verdicts([(r["text"], r["lang"], r["source"]) for r in docs])):
+        got = rows[r["doc_id"]]
+        assert got["kept"] == kept and (got["distance"] is None) == (distance is None)
+        assert distance is None or math.isclose(got["distance"], distance, rel_tol=1e-4, abs_tol=1e-4)
+
+
 def test_quality_judges_rare_cells(spark):
     rnd = random.Random(5)
     clean = lambda: " ".join("".join(rnd.choices("abcdefghij", k=rnd.randint(3, 9))) for _ in range(120))
