@@ -133,7 +133,8 @@ def bulk_add(spark, sf_dir):
     return good.select("id", F.lit("added").alias("state")).unionByName(bad.select("id", F.lit("rejected").alias("state")))
 
 
-def _vectors(spark, sf_dir):
+def _some_vectors(spark, sf_dir):
+    """The vectors of two thirds of the memories: the others are to be made, or to be added."""
     return dd.vectors(spark, sf_dir).where("cast(id as long) % 3 <> 0")
 
 
@@ -145,32 +146,32 @@ def _embed(df):
 
 
 def embed_missing(spark, sf_dir):
-    v = mt.embed_missing(dd.memories(spark, sf_dir), _vectors(spark, sf_dir), _embed)
+    v = mt.embed_missing(dd.memories(spark, sf_dir), _some_vectors(spark, sf_dir), _embed)
     return v.select("id", F.size("embedding").alias("dimension"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("total"))
 
 
 def upsert_vector(spark, sf_dir):
-    v = _vectors(spark, sf_dir)
+    v = _some_vectors(spark, sf_dir)
     new = dd.vectors(spark, sf_dir).where("cast(id as long) % 2 = 0").withColumn("embedding", F.slice("embedding", 1, 8))
     return mt.upsert_vectors(v, new).select("id", F.size("embedding").alias("dimension"))
 
 
 def delete_vectors(spark, sf_dir):
-    return mt.delete_rows(_vectors(spark, sf_dir), dd.memories(spark, sf_dir).where("topic = 'user'")).select("id")
+    return mt.delete_rows(dd.vectors(spark, sf_dir), dd.memories(spark, sf_dir).where("topic = 'user'")).select("id")
 
 
 def get_vectors_batch(spark, sf_dir):
     wanted = dd.memories(spark, sf_dir).where("topic = 'assistant'").select("id")
-    return _vectors(spark, sf_dir).join(wanted.hint("merge"), "id", "left_semi").select("id", F.element_at("embedding", 1).cast("double").alias("first"))
+    return dd.vectors(spark, sf_dir).join(wanted.hint("merge"), "id", "left_semi").select("id", F.element_at("embedding", 1).cast("double").alias("first"))
 
 
 def vector_stats(spark, sf_dir):
-    v = _vectors(spark, sf_dir).join(dd.memories(spark, sf_dir).select("id", "agent_id").hint("merge"), "id")
+    v = dd.vectors(spark, sf_dir).join(dd.memories(spark, sf_dir).select("id", "agent_id").hint("merge"), "id")
     return mt.vector_stats(v)
 
 
 def orphan_vectors(spark, sf_dir):
-    return mt.orphan_vectors(_vectors(spark, sf_dir), dd.memories(spark, sf_dir).where("memory_type <> 'working'")).select("id")
+    return mt.orphan_vectors(dd.vectors(spark, sf_dir), dd.memories(spark, sf_dir).where("memory_type <> 'working'")).select("id")
 
 
 def _states(spark, sf_dir):
@@ -247,7 +248,7 @@ _STORED = """stored as (select file_path, 'id-' || file_path as id, sha256(conte
 fresh as (select file_path, 'new-' || file_path as id, sha256(content) as content_hash from snap_b)"""
 _SHAS = "sa as (select file_path, sha256(content) as sha from snap_a), sb as (select file_path, sha256(content) as sha from snap_b)"
 _HASHED = "h as (select ord, ord // 1000 as doc, file_path, sha256(trim(regexp_replace(content, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) as hash_id from chunks)".replace("\\\\", "\\")
-_HELD = "held as (select v.*, ord, agent_id, topic, memory_type from vectors v join memories using (id) where ord % 3 <> 0)"
+_HELD = "held as (select v.*, ord, agent_id, topic, memory_type from vectors v join memories using (id))"
 _LOG = """log as (select 1 as seq, file_path, sha, false as deleted from sa
 union all select 2, coalesce(sa.file_path, sb.file_path), coalesce(sb.sha, sa.sha), sb.sha is null from sa full join sb using (file_path) where sa.sha is distinct from sb.sha
 union all select 3, coalesce(sa.file_path, sb.file_path), coalesce(sa.sha, sb.sha), sa.sha is null from sa full join sb using (file_path) where sa.sha is distinct from sb.sha)"""
@@ -283,7 +284,7 @@ select file_path, access_count + coalesce(n, 0) as access_count, greatest(create
     "bulk_add": with_views("memories", body="""n as (select *, case when ord % 9 = 0 then '  ' else content end as c from memories)
 select id, 'rejected' as state from n where trim(c) = '' union all
 select arg_min(id, ord), 'added' from n where trim(c) <> '' and not exists (select 1 from memories m where m.ord % 2 = 0 and m.agent_id = n.agent_id and m.content = n.c and m.memory_type = n.memory_type) group by agent_id, c, memory_type"""),
-    "embed_missing": with_views("vectors", body=_HELD + """,
+    "embed_missing": with_views("vectors", body=_HELD.replace("using (id)", "using (id) where ord % 3 <> 0") + """,
 w as (select id, unnest(regexp_extract_all(lower(content), '[a-z]+')) as w from memories where ord % 3 = 0)
 select id, len(embedding)::int as dimension, round(list_sum(list_transform(embedding, lambda x: x::double)), 4) as total from held union all select id, 16, count(*)::double from w group by 1"""),
     "upsert_vector": with_views("vectors", body="select id, case when ord % 2 = 0 then 8 else len(embedding) end::int as dimension from vectors join memories using (id) where ord % 3 <> 0 or ord % 2 = 0"),

@@ -26,8 +26,8 @@ def _vectors(spark, sf_dir):
 
 
 def _queries(spark, sf_dir):
-    """Benchmark words with a line, a broad word, a file or a route by item."""
-    q = dd.queries(spark, sf_dir)
+    """Whole benchmark texts with a line, a broad word, a file or a route by item."""
+    q = dd.questions(spark, sf_dir)
     kind = F.pmod("query_id", F.lit(4))
     text = F.when(kind == 0, F.concat("query", F.lit(" line 3"))).when(kind == 1, F.concat(F.lit("list "), "query")).when(kind == 2, F.concat("query", F.lit(" d12.md"))).otherwise(F.concat(F.lit("tion/of "), "query"))
     return q.withColumn("query", text)
@@ -61,7 +61,7 @@ def trace_calls(spark, sf_dir):
 
 def symbol_references(spark, sf_dir):
     c = _chunks(spark, sf_dir)
-    symbols = dd.queries(spark, sf_dir).select(F.element_at(F.split("query", " "), -1).alias("symbol"))
+    symbols = dd.questions(spark, sf_dir).select(F.explode(F.regexp_extract_all(F.lower("query"), F.lit("([a-z]{9,})"), F.lit(1))).alias("symbol"))
     r = cs.symbol_references(c, ch.build_symbol_index(c), symbols)
     return r.select("symbol", "ord", "reason", F.sha2("context", 256).alias("context_sha256"))
 
@@ -83,7 +83,7 @@ QUERIES |= {n: parse_code_query for n in ("broad_intent", "detect_intent", "extr
 
 _SW = "[" + ", ".join(f"'{w}'" for w in CODE_STOPWORDS) + "]"
 _DEC = "list_distinct(list_concat(list_transform(list_filter(list_concat(regexp_extract_all({0}, '[a-z]+'), regexp_split_to_array({0}, '[_.]')), lambda p: len(p) > 1), lambda p: lower(p)), [lower({0})]))"
-_PARSED = rf"""cq as (select query_id, embedding, case query_id % 4 when 0 then query || ' line 3' when 1 then 'list ' || query when 2 then query || ' d12.md' else 'tion/of ' || query end as query, query_id % 4 as kind from queries),
+_PARSED = rf"""cq as (select query_id, embedding, case query_id % 4 when 0 then query || ' line 3' when 1 then 'list ' || query when 2 then query || ' d12.md' else 'tion/of ' || query end as query, query_id % 4 as kind from questions),
 ct as (select *, case when kind = 2 then trim(replace(query, 'd12.md', '')) else query end as text, case when kind = 2 then 'd12.md' end as file_filter, case when kind = 3 then ['tion/of'] else []::varchar[] end as routes from cq),
 cw as (select *, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda w: w <> '') as ws from ct),
 cb as (select *, list_filter(list_transform(ws, lambda w: regexp_replace(w, '^[!-/:-@\[-`{{-~]+|[!-/:-@\[-`{{-~]+$', '', 'g')), lambda w: w <> '' and not list_contains({_SW}, w)) as plain, list_filter(ws, lambda w: not list_contains({_SW}, w)) as words from cw),
@@ -106,9 +106,9 @@ idf as (select q.query_id, q.term, ln((greatest(coalesce(n, 0), 1) + 1)::double
 idfs as (select query_id, sum(idf) as total from idf group by 1),
 hits as (select query_id, ord, coalesce(sum(idf) filter (original), 0) as hit_idf, count(*) as n_hits, count(*) filter (not original) as n_extra, count(*) filter (original and in_summary) as n_summary,
  count(*) filter (original and in_content) as n_content, count(*) filter (in_name) as n_name from met left join idf using (query_id, term) group by 1, 2)"""
-_PARSE_SQL = with_views("memories", "vectors", "queries", body=_PARSED + f"""
+_PARSE_SQL = with_views("questions", body=_PARSED + f"""
 select query_id, text, file_filter, array_to_string(routes, ' ') as routes, array_to_string(terms, ' ') as terms, array_to_string(list_sort(wanted), ' ') as wanted, array_to_string(lines, ' ') as lines, intent, {_ALPHA} as alpha, depth from code_queries""")
-_SEARCH_SQL = with_views("queries", "chunks", body=_PARSED + ",\n" + _BAGS + ",\n" + _IDF + f""",
+_SEARCH_SQL = with_views("questions", "chunks", body=_PARSED + ",\n" + _BAGS + ",\n" + _IDF + f""",
 n as (select count(*) as n from embeddings),
 pairs as (select q.query_id, b.ord, file_path, name, depth, {_ALPHA} as alpha,
  round(greatest(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 0), 6) as close,
@@ -124,13 +124,13 @@ scored as (select *, round(close * alpha + least(1.0, signals) * (1 - alpha) + l
 select query_id, ord, file_path, name, score, rank from (select *, row_number() over (partition by query_id order by score desc, ord) as rank from scored where close * alpha + least(1.0, signals) * (1 - alpha) + line > 0.01::double + 1e-9::double) where rank <= depth""")
 SQL = {n: _PARSE_SQL for n in ("parse_code_query", "broad_intent", "detect_intent", "extract_line_numbers", "expand_concepts")}
 SQL |= {
-    "term_idf": with_views("queries", "chunks", body=_PARSED + ",\n" + _BAGS + ",\n" + _IDF + "\nselect query_id, term, round(idf, 6) as idf from idf"),
+    "term_idf": with_views("questions", "chunks", body=_PARSED + ",\n" + _BAGS + ",\n" + _IDF + "\nselect query_id, term, round(idf, 6) as idf from idf"),
     "code_hybrid_search": _SEARCH_SQL,
     "line_proximity": with_views("code_chunks", body="""s as (select ord, start_line as a, start_line + 3 as b, unnest([3, 40, 75]) as n from code_chunks)
 select ord, round(max(case when n between a and b then 0.5::double + 0.4::double * least(1.0, 20.0::double / greatest(b - a, 1)) when abs(n - a) <= 10 or abs(n - b) <= 10 then 0.3::double else 0 end), 6) as boost from s group by 1"""),
     "trace_calls": with_views("code_chunks", body="select ord % 40 as query_id, ord // 40 as rank, 0 as place, name as what from code_chunks union all select ord % 40, ord // 40, 1, target from code_chunks"),
-    "symbol_references": with_views("queries", "chunks", body="""idx as (select distinct symbol as key, file_path from (select lower(name) as symbol, file_path from chunks union all select unnest(keywords), file_path from chunks) where len(symbol) > 1),
-s as (select distinct symbol from (select lower(trim(string_split(query, ' ')[-1])) as symbol from queries) where symbol <> ''),
+    "symbol_references": with_views("questions", "chunks", body="""idx as (select distinct symbol as key, file_path from (select lower(name) as symbol, file_path from chunks union all select unnest(keywords), file_path from chunks) where len(symbol) > 1),
+s as (select distinct unnest(regexp_extract_all(lower(query), '[a-z]{9,}')) as symbol from questions),
 f as (select distinct symbol, file_path from idx join s on contains(key, symbol) or contains(symbol, key))
 select s.symbol, ord, case when lower(name) = s.symbol then 'definition' when list_contains(keywords, s.symbol) then 'keyword' else 'usage' end as reason, sha256(case when len(content) > 200 then substr(content, 1, 200) || '...' else content end) as context_sha256
 from chunks c join s on contains(lower(name), s.symbol) or list_contains(keywords, s.symbol) or (contains(lower(content), s.symbol) and (s.symbol, c.file_path) in (select symbol, file_path from f))"""),

@@ -110,7 +110,7 @@ SQL = {
     "import_memories": with_views("memories", body="select id, case when ord % 8 = 0 or trim(content) = '' then 'rejected' else 'imported' end as state from memories"),
     "load_dialogues": "select conv_id, turn, role as speaker, text as content, timestamp '2024-01-01' + turn * interval 1 minute as ts from conversations where trim(coalesce(text, '')) <> ''",
     "chunk_definitions": with_views("code_chunks", body="select file_path, name, 'function' as kind, 'a,b' as parameters, 'self.db.query,' || target as calls, 4 as lines from code_chunks"),
-    "file_scope_filter": with_views("queries", "chunks", body=_PARSED + ",\n" + _BAGS + ",\n" + _IDF + "\nselect query_id, n from tn"),
+    "file_scope_filter": with_views("questions", "chunks", body=_PARSED + ",\n" + _BAGS + ",\n" + _IDF + "\nselect query_id, n from tn"),
     "stream_activity": "select time_bucket(interval 1 day, ts, timestamp '1970-01-01') as start, event_type as action, count(*) as n from events group by 1, 2",
     "stream_sessions": """with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 1 hour then 0 else 1 end as fresh from events),
 s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as n_ from g)

@@ -139,12 +139,11 @@ def context_answer(spark, sf_dir):
 
 
 def cosine(spark, sf_dir):
-    """Cosine of every vector with that of vec_id 0."""
-    from recollect.functions.vectors import cosine as cos
-
+    """Cosine of every vector with those whose number is divisible by 20."""
     e = dd.table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    return e.join(F.broadcast(q)).select("vec_id", F.round(cos(F.col("embedding"), F.col("q")), 6).alias("cosine"))  # one row
+    rows, asked = e.select("vec_id", "embedding"), e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = ms.semantic_matches(rows.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("ord")), rows.withColumnRenamed("vec_id", "id"), asked, threshold=-1.0)
+    return found.select(F.col("id").alias("vec_id"), "query_id", F.col("score").alias("cosine"))
 
 
 def normalise_vector(spark, sf_dir):
@@ -188,7 +187,7 @@ boosted as (""" + _BOOST + " from deep d join analyzed a using (query_id) join m
 firsts as (select content, min({'query_id': query_id, 'rank': rank, 'id': id}) as f from top join memories using (id) group by content)
 select * from (select row_number() over (order by f.query_id, f.rank, f.id) as place, f.id as id, content from firsts) where place <= 20"""),
     "context_answer": with_views("memories", "queries", body=_KEYWORD + ",\ntop as (" + _top("keyword", 10) + ")\nselect query_id, rank, id, content, substr(content, 1, 100) as source from top join memories using (id)"),
-    "cosine": "select e.vec_id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) as cosine from embeddings e, embeddings q where q.vec_id = 0",
+    "cosine": "select e.vec_id, q.vec_id as query_id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) as cosine from embeddings e, embeddings q where q.vec_id % 20 = 0",
     "normalise_vector": """select vec_id, round(embedding[1]::double / sqrt(s), 6) as first, round(list_sum(list_transform(embedding, lambda x: (x::double / sqrt(s)) * (x::double / sqrt(s)))), 6) as length
 from (select *, list_sum(list_transform(embedding, lambda x: x::double * x::double)) as s from embeddings)""",
     "hash_embed": with_views("memories", body="w as (select id, unnest(regexp_extract_all(lower(content), '[a-z]+')) as w from memories)\nselect id, (('0x' || substr(md5(w), 1, 8))::bigint % 64)::int as bucket, count(*) as n from w group by 1, 2"),

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.functions.text import split_words
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -40,11 +38,17 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, query, embedding): the first six words of each benchmark item, and a vector by item_id."""
+    """(query_id, query, embedding): the whole text and the vector of each memory of a conversation whose number is divisible by 20."""
+    asked = memories(spark, sf_dir).where(F.floor(F.col("ord") / 1000) % 20 == 0).select(F.col("ord").alias("query_id"), "id", F.col("content").alias("query"))
+    return asked.join(vectors(spark, sf_dir).hint("merge"), "id").select("query_id", "query", "embedding")
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, query, embedding): the whole text of each benchmark item, and a vector by item_id."""
     e = table(spark, sf_dir, "embeddings")
     n = e.agg(F.count("*").alias("n"))
     b = table(spark, sf_dir, "benchmark").crossJoin(F.broadcast(n))  # one row
-    q = b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(split_words(F.coalesce("text", F.lit(""))), 1, 6), " ").alias("query"), (F.col("item_id") % F.col("n")).alias("vec_id"))
+    q = b.select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("query"), (F.col("item_id") % F.col("n")).alias("vec_id"))
     return q.join(e.select("vec_id", "embedding").hint("merge"), "vec_id").drop("vec_id")
 
 
@@ -130,8 +134,8 @@ SQL_VIEWS = {
  case when regexp_matches(coalesce(text, ''), '^[A-Z][a-z]+') then [regexp_extract(text, '^([A-Z][a-z]+)', 1)] else []::varchar[] end as persons,
  role as topic, (conv_id % 10) / 10.0::double as importance, timestamp '2024-01-01' + (conv_id * 60 + turn) * interval 1 minute as created_at from conversations)""",
     "vectors": """vectors as (select m.id, e.embedding from memories m, (select count(*) as n from embeddings) c, embeddings e where e.vec_id = m.ord % c.n)""",
-    "queries": r"""queries as (select item_id as query_id, array_to_string(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')[1:6], ' ') as query, e.embedding
- from benchmark b, (select count(*) as n from embeddings) c, embeddings e where e.vec_id = b.item_id % c.n)""",
+    "queries": "queries as (select ord as query_id, content as query, embedding from memories join vectors using (id) where ord // 1000 % 20 = 0)",
+    "questions": "questions as (select item_id as query_id, coalesce(text, '') as query, e.embedding from benchmark b, (select count(*) as n from embeddings) c, embeddings e where e.vec_id = b.item_id % c.n)",
     "chunks": r"""chunk_parts as (select doc_id, lang, w, string_split(coalesce(text, ''), chr(10))[w * 5 + 1:w * 5 + 5] as part from documents, unnest(range(0, (len(string_split(coalesce(text, ''), chr(10))) - 1) // 5 + 1)) as t(w)),
 chunks as (select doc_id * 1000 + w as ord, lang || '/d' || doc_id || '.md' as file_path, doc_id || ':' || w as name, 'block' as type, array_to_string(part, chr(10)) as content, part[1] as summary,
  list_sort(list_distinct(regexp_extract_all(lower(array_to_string(part, chr(10))), '[a-z]{9,}'))) as keywords, w * 5 + 1 as start_line, w * 5 + len(part) as end_line, lang as language from chunk_parts)""",
@@ -147,12 +151,10 @@ code_chunks as (select p_partkey as ord, 'm' || a || '.py' as file_path, 'part_'
 snap_a as (select file_path, content from files where doc_id % 7 <> 0),
 snap_b as (select file_path, content || case when doc_id % 11 = 0 then ' changed' else '' end as content from files where doc_id % 5 <> 0)""",
 }
-_NEEDS = {"vectors": ["memories"]}
+_NEEDS = {"vectors": ["memories"], "queries": ["memories", "vectors"]}
 
 
 def with_views(*names: str, body: str) -> str:
     """SQL text with the views named (and what they need) before the body, which may begin with more of the list."""
-    order: list[str] = []
-    for n in names:
-        order += [x for x in [*_NEEDS.get(n, []), n] if x not in order]
+    order = list(dict.fromkeys(x for n in names for x in [*_NEEDS.get(n, []), n]))
     return "with " + ",\n".join(SQL_VIEWS[n] for n in order) + ("\n" if body.lstrip().lower().startswith("select") else ",\n") + body
