@@ -142,19 +142,33 @@ def refresh_symbol_index(index: DataFrame, chunks: DataFrame) -> DataFrame:
     return index.join(chunks.select("file_path").distinct().hint("merge"), "file_path", "left_anti").select("symbol", "file_path").unionByName(build_symbol_index(chunks))
 
 
+def label_of(width: int) -> Column:
+    """What an outline says of a chunk: its summary, else its first characters."""
+    return F.when(F.length("summary") > 0, F.col("summary")).otherwise(F.substring("content", 1, width))
+
+
 def build_skeleton(chunks: DataFrame, width: int = 60) -> DataFrame:
     """Nodes of each file's outline: a start, one for each chunk in order (its summary, else its first characters), an end."""
     files = chunks.groupBy("file_path").agg(F.count("*").cast("int").alias("n"))
     start = files.select("file_path", F.lit(0).alias("node"), F.lit("start").alias("kind"), F.lit("").alias("label"))
     end = files.select("file_path", (F.col("n") + 1).alias("node"), F.lit("end").alias("kind"), F.lit("").alias("label"))
     order = F.row_number().over(W.partitionBy("file_path").orderBy("ord"))
-    label = F.when(F.length("summary") > 0, F.col("summary")).otherwise(F.substring("content", 1, width))
-    return start.unionByName(chunks.select("file_path", order.alias("node"), F.lit("processing").alias("kind"), label.alias("label"))).unionByName(end)
+    return start.unionByName(chunks.select("file_path", order.alias("node"), F.lit("processing").alias("kind"), label_of(width).alias("label"))).unionByName(end)
+
+
+def skeleton_json(chunks: DataFrame, width: int = 60) -> DataFrame:
+    """(file_path, outline): each file's outline as nested JSON: a start node with a child for each chunk, in order, and the end."""
+    node = lambda kind, label, line: F.struct(F.lit(kind).alias("type"), label.alias("content"), line.cast("long").alias("line"))
+    base = F.regexp_extract("file_path", r"([^/]*)$", 1)
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct(label_of(width).alias("content"), F.col("start_line").alias("line"), F.col("end_line").alias("end")).alias("x")))), lambda c: c["x"])
+    files = chunks.groupBy("file_path").agg(parts.alias("parts"))
+    children = F.concat(F.transform("parts", lambda c: node("processing", c["content"], c["line"])), F.array(node("end", F.lit("End of File"), F.element_at("parts", -1)["end"])))
+    return files.select("file_path", F.to_json(F.struct(F.lit("start").alias("type"), F.concat(F.lit("File: "), base).alias("content"), F.lit(1).alias("line"), children.alias("children"))).alias("outline"))
 
 
-def compression_ratio(chunks: DataFrame) -> DataFrame:
-    """Of each file: tokens of its chunks and of its outline, and 1 - outline / text, to 4 places (0 if no token)."""
-    own = chunks.groupBy("file_path").agg(F.sum(estimate_tokens(F.col("content"))).alias("original"), F.sum(estimate_tokens(F.coalesce("summary", F.lit("")))).alias("skeleton"))
+def compression_ratio(chunks: DataFrame, width: int = 60) -> DataFrame:
+    """Of each file: tokens of its chunks and of the labels of its outline, and 1 - outline / text, to 4 places (0 if no token)."""
+    own = chunks.groupBy("file_path").agg(F.sum(estimate_tokens(F.col("content"))).alias("original"), F.sum(estimate_tokens(label_of(width))).alias("skeleton"))
     return own.withColumn("ratio", F.when(F.col("original") > 0, F.round(1 - F.col("skeleton") / F.col("original"), 4)).otherwise(0.0))
 
 
@@ -165,3 +179,15 @@ def summarize_file(chunks: DataFrame, names: int = 8) -> DataFrame:
     first = top_rows(chunks.select("file_path", "ord", "name"), ["file_path"], [F.col("ord")], names)
     first = first.groupBy("file_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]), ",").alias("names"))
     return types.join(first.hint("merge"), "file_path", "left")
+
+
+def summarize_file_normal(chunks: DataFrame, freshness: DataFrame) -> DataFrame:
+    """(file_path, outline, freshness) of each file; unknown where freshness (file_path, freshness) says nothing."""
+    return skeleton_json(chunks).join(freshness.select("file_path", "freshness").hint("merge"), "file_path", "left").withColumn("freshness", F.coalesce("freshness", F.lit("unknown")))
+
+
+def summarize_file_detailed(chunks: DataFrame) -> DataFrame:
+    """(file_path, total_chunks, chunks): each file's chunks in order, whole, as JSON."""
+    one = F.struct(*[F.coalesce(c, F.lit("")).alias(c) for c in ("name", "type", "content", "summary")], F.coalesce("keywords", strings([])).alias("keywords"))
+    files = chunks.groupBy("file_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", one.alias("x")))), lambda c: c["x"]).alias("x"))
+    return files.select("file_path", F.size("x").cast("long").alias("total_chunks"), F.to_json("x").alias("chunks"))

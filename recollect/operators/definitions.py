@@ -14,9 +14,9 @@ ROWS = "hash string, name string, kind string, start_line int, end_line int, par
 def definitions_of(text: str) -> list[tuple]:
     """(name, kind, first line, last line, parameters, calls of the body) of a file; the whole file if it can't be parsed."""
     try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError):
-        return [("", "file", 1, text.count("\n") + 1, [], [])]
+        tree = ast.parse(text or "")
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return [("", "file", 1, (text or "").count("\n") + 1, [], [])]
     out: list[tuple] = []
 
     def visit(node: ast.AST, parents: list[str]) -> None:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions.tables import written
+from recollect.functions.text import split_words
 
 
 def module_of(file_path: str = "file_path"):
@@ -22,11 +25,16 @@ def extract_imports(chunks: DataFrame) -> DataFrame:
 
 def find_importers(chunks: DataFrame, modules: DataFrame) -> DataFrame:
     """(module, file_path, line): files with a chunk that holds `import ` and the module's last segment as a substring, by
-    design also where it is part of another word. The modules are a call's few."""
+    design also where it is part of another word. Distinct tokens meet the segments by their first characters, and are compared
+    then; blank modules match nothing."""
     text = F.lower("content")
-    holding = chunks.where(F.contains(text, F.lit("import "))).select("file_path", "start_line", text.alias("t"))
-    wanted = modules.select("module", F.lower(F.element_at(F.split("module", r"\."), -1)).alias("tail"))
-    return holding.join(F.broadcast(wanted), F.contains("t", F.col("tail"))).groupBy("module", "file_path").agg(F.min("start_line").alias("line"))
+    holding = chunks.where(F.contains(text, F.lit("import "))).select("file_path", "start_line", F.explode(F.array_distinct(split_words(text))).alias("token"))
+    first = holding.groupBy("token", "file_path").agg(F.min("start_line").alias("line"))
+    wanted = modules.select("module", F.lower(F.element_at(F.split("module", r"\."), -1)).alias("tail")).where("tail <> ''").withColumn("gram", F.substring("tail", 1, 2))
+    places = F.sequence(F.lit(1), F.length("token"))
+    tokens = first.select("token").distinct().withColumn("gram", F.explode(F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(F.substring("token", i, 1), F.substring("token", i, 2)))))))
+    met = tokens.join(wanted.hint("merge"), "gram").where(F.contains("token", F.col("tail"))).select("token", "module").distinct()
+    return first.join(met.hint("merge"), "token").groupBy("module", "file_path").agg(F.min("line").alias("line"))
 
 
 def call_edges(chunks: DataFrame) -> DataFrame:
@@ -42,17 +50,20 @@ def called_by(chunks: DataFrame) -> DataFrame:
 
 
 def dependency_graph(chunks: DataFrame) -> DataFrame:
-    """Of each file: modules imported, files that import it, calls out, calls in, functions that nothing calls."""
+    """Of each file: modules imported, those of them that are no file's (external), files that import it, targets called, callers
+    from other files, functions that nothing calls; and the numbers of calls and of these functions."""
     files = chunks.select("file_path", module_of().alias("module")).distinct()
     text = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     i = extract_imports(chunks)
+    own = files.select("module").distinct()
+    outside = i.join(own.hint("merge"), "module", "left_anti").groupBy("file_path").agg(text("module").alias("external"))
     imports = i.groupBy("file_path").agg(text("module").alias("imports"))
     back = i.groupBy("module").agg(text("file_path").alias("imported_by"))
-    out = call_edges(chunks).groupBy("file_path").agg(F.count("*").alias("calls_to"))
-    into = called_by(chunks).groupBy("module").agg(F.count("*").alias("called_by"))
-    unused = unused_functions(chunks).groupBy("file_path").agg(F.count("*").alias("unused"))
-    joined = files.join(imports.hint("merge"), "file_path", "left").join(back.hint("merge"), "module", "left").join(out.hint("merge"), "file_path", "left").join(into.hint("merge"), "module", "left").join(unused.hint("merge"), "file_path", "left")
-    return joined.select("file_path", *[F.coalesce(c, F.lit("")).alias(c) for c in ("imports", "imported_by")], *[F.coalesce(c, F.lit(0)).alias(c) for c in ("calls_to", "called_by", "unused")])
+    out = call_edges(chunks).groupBy("file_path").agg(F.count("*").alias("calls_to"), text("target").alias("callees"))
+    into = called_by(chunks).groupBy("module").agg(F.count("*").alias("called_by"), text(F.concat_ws(":", "file_path", "caller")).alias("callers"))
+    unused = unused_functions(chunks).groupBy("file_path").agg(F.count("*").alias("unused"), text("name").alias("unused_names"))
+    joined = files.join(imports.hint("merge"), "file_path", "left").join(back.hint("merge"), "module", "left").join(out.hint("merge"), "file_path", "left").join(into.hint("merge"), "module", "left").join(unused.hint("merge"), "file_path", "left").join(outside.hint("merge"), "file_path", "left")
+    return joined.select("file_path", *[F.coalesce(c, F.lit("")).alias(c) for c in ("imports", "external", "imported_by", "callees", "callers", "unused_names")], *[F.coalesce(c, F.lit(0)).alias(c) for c in ("calls_to", "called_by", "unused")])
 
 
 def unused_functions(chunks: DataFrame) -> DataFrame:
@@ -71,6 +82,17 @@ def usage_analysis(chunks: DataFrame) -> DataFrame:
     return p.where(~F.regexp_like(body, word)).select("file_path", "name", "parameter")
 
 
+def defined_and_used(chunks: DataFrame) -> DataFrame:
+    """(file_path, kind, name): of each file the functions defined, those that other files call (external), those that nothing
+    calls (unused)."""
+    own = chunks.where(F.col("type").isin("function", "method")).select("file_path", "name")
+    calls = called_by(chunks).select("module", F.element_at(F.split("target", r"\."), -1).alias("name")).distinct()
+    files = chunks.select("file_path", module_of().alias("module")).distinct()
+    outside = calls.join(files.hint("merge"), "module").select("file_path", "name")
+    kinds = {"defined": own, "external": outside, "unused": unused_functions(chunks)}
+    return reduce(DataFrame.unionByName, [rows.select("file_path", F.lit(kind).alias("kind"), "name").distinct() for kind, rows in kinds.items()])
+
+
 def transitive_imports(edges: DataFrame) -> DataFrame:
     """(u, v): edges and one more hop."""
     more = edges.select("u", F.col("v").alias("w")).join(edges.select(F.col("u").alias("w"), F.col("v")).hint("merge"), "w").select("u", "v")
@@ -105,9 +127,58 @@ def trimmed(edges: DataFrame) -> DataFrame:
     return edges
 
 
+def spread(start: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, color): the least color that reaches a node along edges (u, v), from (node, color) of all nodes. A round hands
+    colors on by one edge, and only the last of them that have changed."""
+    now, fresh = written(start, "colors"), None
+    while fresh is None or not fresh.isEmpty():
+        sent = (now if fresh is None else fresh).join(edges.hint("merge"), F.col("node") == F.col("u")).groupBy(F.col("v").alias("__n")).agg(F.min("color").alias("__c"))
+        both = now.join(sent.hint("merge"), F.col("node") == F.col("__n"), "left")
+        both = written(both.select("node", F.least("color", "__c").alias("color"), (F.col("__c").isNotNull() & (F.col("color").isNull() | (F.col("__c") < F.col("color")))).alias("changed")), "colors")
+        now, fresh = both.select("node", "color"), both.where("changed").select("node", "color")
+    return now
+
+
+#: Nodes on cycles up to which pairs of them are listed, as that takes fewer rounds; with more, colors are spread.
+PAIRED = 1000
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, cycle, size) of the nodes on a cycle of edges (u, v): cycle is the least node of a strongly connected component.
+
+    Nodes that can't be on a cycle are trimmed off. Of a few nodes that are left all paths are listed. Of more, each node takes the least node that reaches it as its color; what reaches
+    that node back within its color is a component, which is taken out; and again, until no edge is left: tables have a
+    row for each node or edge. Both give the same rows.
+    """
+    found: list[DataFrame] = []
+    edges = trimmed(edges)
+    if edges.select("u").distinct().limit(PAIRED + 1).count() <= PAIRED:
+        reach = reachable(edges)
+        both = reach.join(reach.select(F.col("v").alias("u"), F.col("u").alias("v")).hint("merge"), ["u", "v"])
+        return both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("cycle"), F.count("*").alias("size"))
+    while not edges.isEmpty():
+        nodes = edges.select(F.col("u").alias("node")).distinct()
+        colors = spread(nodes.withColumn("color", F.col("node")), edges)
+        ends = edges.join(colors.toDF("u", "cu").hint("merge"), "u").join(colors.toDF("v", "cv").hint("merge"), "v")
+        inside = written(ends.where("cu = cv").select(F.col("v").alias("u"), F.col("u").alias("v")), "same-color")  # turned round
+        # backwards from each color's own node: it is the least of its color, so it spreads to all that reach it
+        back = spread(colors.select("node", F.when(F.col("node") == F.col("color"), F.col("color")).alias("color")), inside)
+        part = written(back.where("color is not null").join(colors.toDF("node", "own").hint("merge"), "node").where("color = own").select("node", F.col("own").alias("cycle")), "component")
+        found.append(part)
+        gone = part.select("node")
+        left = edges.join(gone.hint("merge"), F.col("u") == F.col("node"), "left_anti").join(gone.hint("merge"), F.col("v") == F.col("node"), "left_anti")
+        edges = trimmed(left)
+    every = written(reduce(DataFrame.unionByName, found), "components")
+    return every.join(every.groupBy("cycle").agg(F.count("*").alias("size")).hint("merge"), "cycle").select("node", "cycle", "size")
+
+
 def circular_dependencies(edges: DataFrame) -> DataFrame:
     """(node, cycle, size) of nodes on a cycle: cycle is the least node of the strongly connected component."""
-    reach = reachable(trimmed(edges))
-    both = reach.join(reach.select(F.col("v").alias("u"), F.col("u").alias("v")).hint("merge"), ["u", "v"])
-    own = both.groupBy("u").agg(F.min("v").alias("cycle"), F.count("*").alias("size"))
-    return own.select(F.col("u").alias("node"), "cycle", "size")
+    return strong_components(edges)
+
+
+def dependency_kind(modules: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: modules (module), those of them on a cycle, and whether the graph is a DAG or a DCG."""
+    on = strong_components(edges).agg(F.count("*").alias("on_cycles"))
+    kind = F.when(F.col("on_cycles") > 0, "DCG").otherwise("DAG")
+    return modules.agg(F.countDistinct("module").alias("modules")).crossJoin(F.broadcast(on)).withColumn("kind", kind)  # one row each

@@ -6,11 +6,14 @@ the next version.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions.tables import latest, top_rows
 from recollect.functions.text import normalise_hash
+from recollect.functions.vectors import bucket_of, normalise
 
 
 def upsert_file(stored: DataFrame, new: DataFrame, now: Column) -> DataFrame:
@@ -43,10 +46,22 @@ def touch(stored: DataFrame, accesses: DataFrame) -> DataFrame:
     return out.withColumns({"access_count": F.col("access_count") + F.coalesce("n", F.lit(0)), "last_accessed_at": F.greatest("last_accessed_at", "ts")}).drop("n", "ts")
 
 
-def invalidate(keys: DataFrame, **tables: DataFrame) -> dict[str, DataFrame]:
-    """Each table without the rows of the keys' file paths."""
-    gone = keys.select("file_path").distinct()
-    return {name: t.join(gone.hint("merge"), "file_path", "left_anti") for name, t in tables.items()}
+def invalidate(keys: DataFrame | None, **tables: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Each table without the rows of the keys' file paths (None: of all), and how many rows each loses (name, removed).
+
+    The keys of one file, those that `freshness` calls stale or missing, or None are the scopes of a call. Vectors have no
+    path: they lose those of the chunks (file_path, hash_id) that go, by their id."""
+    if keys is None:
+        out = {name: t.limit(0) for name, t in tables.items()}
+    else:
+        gone = keys.select("file_path").distinct()
+        out = {name: t.join(gone.hint("merge"), "file_path", "left_anti") for name, t in tables.items() if name != "vectors"}
+        if "vectors" in tables:
+            hashes = tables["chunks"].join(gone.hint("merge"), "file_path", "left_semi").select(F.col("hash_id").alias("id")).distinct()
+            still = out["chunks"].select(F.col("hash_id").alias("id")).distinct()
+            out["vectors"] = tables["vectors"].join(hashes.join(still.hint("merge"), "id", "left_anti").hint("merge"), "id", "left_anti")
+    counts = [tables[n].agg(F.count("*").alias("n")).crossJoin(F.broadcast(out[n].agg(F.count("*").alias("left")))).select(F.lit(n).alias("name"), (F.col("n") - F.col("left")).alias("removed")) for n in out]  # one row each
+    return out, reduce(DataFrame.unionByName, counts)
 
 
 def evict_idle(stored: DataFrame, now: Column, days: int = 30) -> DataFrame:
@@ -87,6 +102,14 @@ def bulk_add(memories: DataFrame, new: DataFrame, skip_duplicates: bool = False)
     return good, bad
 
 
+def hash_embed(items: DataFrame, dim: int) -> DataFrame:
+    """(id, embedding) of items (id, content): counts of hashed words, divided by their L2 norm. Items without a word have no row."""
+    words = items.select("id", F.explode(F.regexp_extract_all(F.lower("content"), F.lit("([a-z]+)"), F.lit(1))).alias("w")).groupBy("id", bucket_of(F.col("w"), dim).alias("b")).agg(F.count("*").alias("n"))
+    maps = words.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0)).cast("double"))
+    return maps.select("id", normalise(counts).alias("embedding"))
+
+
 def embed_missing(items: DataFrame, vectors: DataFrame, embed) -> DataFrame:
     """Vectors of the items (id, content) that have none and have text; embed is DataFrame (id, content) -> (id, embedding)."""
     missing = items.select("id", "content").where(F.length(F.trim("content")) > 0).join(vectors.select("id").hint("merge"), "id", "left_anti")

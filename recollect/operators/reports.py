@@ -19,22 +19,38 @@ def memory_counts(memories: DataFrame) -> DataFrame:
     return memories.groupingSets([["agent_id"], ["agent_id", "memory_type"]], "agent_id", "memory_type").agg(F.count("*").alias("n"))
 
 
-def agent_stats(memories: DataFrame) -> DataFrame:
-    """Of each agent: memories, topics with counts, distinct persons."""
+def names_in(rows: DataFrame, column: str = "persons") -> Column:
+    """Names as an array, also where the column is a string with commas."""
+    if rows.schema[column].dataType.simpleString() == "string":
+        return F.filter(F.transform(F.split(column, ","), lambda p: F.trim(p)), lambda p: p != "")
+    return F.col(column)
+
+
+def agent_stats(memories: DataFrame, documents: DataFrame) -> DataFrame:
+    """Of each agent: memories, topics with counts, distinct persons and locations, documents (agent_id)."""
     topic = F.coalesce("topic", F.lit("uncategorized"))
     topics = memories.groupBy("agent_id", topic.alias("topic")).agg(F.count("*").alias("n"))
     topics = topics.groupBy("agent_id").agg(F.sum("n").alias("memories"), joined(F.collect_list(F.concat_ws("=", "topic", F.col("n").cast("string")))).alias("topics"))
-    persons = memories.select("agent_id", F.explode("persons").alias("p")).groupBy("agent_id").agg(F.countDistinct("p").alias("persons"))
-    return topics.join(persons.hint("merge"), "agent_id", "left").select("agent_id", "memories", "topics", F.coalesce("persons", F.lit(0)).alias("persons"))
+    persons = memories.select("agent_id", F.explode(names_in(memories)).alias("p")).groupBy("agent_id").agg(F.countDistinct("p").alias("persons"))
+    places = memories.where("location <> ''").groupBy("agent_id").agg(F.countDistinct("location").alias("locations"))
+    files = documents.groupBy("agent_id").agg(F.count("*").alias("documents"))
+    for more in (persons, places, files):
+        topics = topics.join(more.hint("merge"), "agent_id", "left")
+    return topics.select("agent_id", "memories", "topics", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("persons", "locations", "documents")])
 
 
 def newest(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
     return top_rows(rows, keys, [F.col("created_at").desc(), F.col("ord").desc()], n)
 
 
-def memory_summary(memories: DataFrame, n: int = 100, each: int = 3, width: int = 100) -> DataFrame:
-    """Of each agent's newest memories: topics with their number and first contents."""
-    recent = newest(memories, ["agent_id"], n).select("agent_id", "topic", "content", F.col("rank").alias("age"))
+def memory_summary(memories: DataFrame, n: int = 100, each: int = 3, width: int = 100, focus: str | None = None) -> DataFrame:
+    """Of each agent's newest memories, those of them that mention the focus anywhere if one is given: topics with their number
+    and first contents."""
+    recent = newest(memories, ["agent_id"], n)
+    if focus is not None:
+        said = F.concat_ws(" ", "content", "topic", F.array_join("keywords", " "), F.array_join(names_in(memories), " "))
+        recent = recent.where(F.contains(F.lower(said), F.lit(focus.lower())))
+    recent = recent.select("agent_id", "topic", "content", F.col("rank").alias("age"))
     counts = recent.groupBy("agent_id", "topic").agg(F.count("*").alias("n"))
     first = top_rows(recent, ["agent_id", "topic"], [F.col("age")], each).groupBy("agent_id", "topic").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.substring("content", 1, width).alias("c")))), lambda x: x["c"]), " | ").alias("samples")
@@ -42,6 +58,14 @@ def memory_summary(memories: DataFrame, n: int = 100, each: int = 3, width: int
     return counts.join(first.hint("merge"), ["agent_id", "topic"])
 
 
+def summary_metadata(memories: DataFrame, focus: str | None = None) -> DataFrame:
+    """Of each agent, of all memories or of those whose topic is the focus: memories, topics covered, persons mentioned."""
+    rows = memories if focus is None else memories.where(F.col("topic") == focus)
+    own = rows.groupBy("agent_id").agg(F.count("*").alias("memories"), joined(F.collect_set(F.when(F.col("topic") != "", F.col("topic")))).alias("topics"))
+    persons = rows.select("agent_id", F.explode(names_in(memories)).alias("p")).groupBy("agent_id").agg(joined(F.collect_set("p")).alias("persons"))
+    return own.join(persons.hint("merge"), "agent_id", "left").withColumn("persons", F.coalesce("persons", F.lit("")))
+
+
 def what_do_i_know(memories: DataFrame, n: int = 50, recent: int = 5) -> DataFrame:
     """Of each agent's newest memories: distinct topics and persons, and the ids of the most recent."""
     rows = newest(memories, ["agent_id"], n)
@@ -93,11 +117,20 @@ def session_rollup(events: DataFrame) -> DataFrame:
     )
 
 
-def token_savings(events: DataFrame) -> DataFrame:
-    """Of each agent: tokens, hits and misses, hit rate in % (0 if none), files, sessions."""
+def token_savings(events: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Of each agent: tokens, hits and misses, hit rate in % (0 if none), files, sessions; files in its cache and their tokens
+    (contexts: agent_id, file_path, tokens)."""
+    held = contexts.groupBy("agent_id").agg(F.count("*").alias("cached_files"), F.sum("tokens").alias("cached_tokens"))
     hits, misses = F.count_if(F.col("action") == "hit"), F.count_if(F.col("action") == "miss")
     rate = F.when(hits + misses > 0, F.round(100.0 * hits / (hits + misses), 2)).otherwise(0.0)
-    return events.groupBy("agent_id").agg(F.sum("tokens").alias("tokens"), hits.alias("hits"), misses.alias("misses"), rate.alias("hit_rate"), F.countDistinct("file_path").alias("files"), F.countDistinct("session_id").alias("sessions"))
+    out = events.groupBy("agent_id").agg(F.sum("tokens").alias("tokens"), hits.alias("hits"), misses.alias("misses"), rate.alias("hit_rate"), F.countDistinct("file_path").alias("files"), F.countDistinct("session_id").alias("sessions"))
+    return out.join(held.hint("merge"), "agent_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("cached_files", "cached_tokens")})
+
+
+def indexing_activity(chunks: DataFrame) -> DataFrame:
+    """By language, and in all (null): files, chunks, chunks in a file to one place."""
+    files = chunks.groupBy("language", "file_path").agg(F.count("*").alias("n"))
+    return files.groupingSets([[], ["language"]], "language").agg(F.count("*").alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"), F.coalesce(F.round(F.avg("n"), 1), F.lit(0.0)).alias("mean_chunks"))
 
 
 def usage_report(events: DataFrame, n: int = 10) -> DataFrame:
@@ -111,6 +144,19 @@ def cache_stats(contexts: DataFrame, current: DataFrame) -> DataFrame:
     return freshness(contexts, current).groupBy("freshness").agg(F.count("*").alias("files"), F.sum("tokens").alias("tokens"))
 
 
+def cache_files(contexts: DataFrame, current: DataFrame) -> DataFrame:
+    """Stored files with their freshness, largest first. Ranges of tokens are sorted apart, so no task takes all files."""
+    return freshness(contexts, current).select("file_path", "tokens", "freshness").orderBy(F.desc("tokens"), "file_path")
+
+
+def cache_recommendations(contexts: DataFrame, current: DataFrame, hits: DataFrame) -> DataFrame:
+    """(advice, n): what to do about stale and missing files, and about a cache without hits (hits: a row for each)."""
+    states = freshness(contexts, current).where(F.col("freshness").isin("stale", "missing")).groupBy("freshness").agg(F.count("*").alias("n"))
+    about = states.select(F.when(F.col("freshness") == "stale", "update the files").otherwise("remove the files from the index").alias("advice"), "n")
+    none = contexts.agg(F.count("*").alias("n")).crossJoin(F.broadcast(hits.agg(F.count("*").alias("hits")))).where("n > 0 and hits = 0")  # one row each
+    return about.unionByName(none.select(F.lit("read summaries before files").alias("advice"), "n"))
+
+
 def freshness(stored: DataFrame, current: DataFrame) -> DataFrame:
     """Stored files with fresh, stale, missing (not there now) or unknown (stored without a hash)."""
     now = current.select("file_path", F.col("content_hash").alias("__now"), F.lit(True).alias("__there"))
@@ -136,8 +182,10 @@ def page_of(rows: DataFrame, keys: list[str], order: list[Column], offset: int,
 
 
 def lookup_prefix(rows: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """For each prefix the first row whose id equals it or begins with it (the prefixes are a call's few)."""
-    hits = rows.select("id", "ord").join(F.broadcast(prefixes), F.col("id").startswith(F.col("prefix")))
+    """For each prefix the first row whose id equals it or begins with it: ids are cut to the lengths that occur."""
+    lengths = [r[0] for r in prefixes.select(F.length("prefix")).distinct().orderBy(F.length("prefix")).collect()]  # a row for each length
+    cuts = F.explode(F.array(*[F.substring("id", 1, n) for n in lengths]) if lengths else F.array().cast("array<string>"))
+    hits = rows.select("id", "ord", cuts.alias("prefix")).join(prefixes.select("prefix").distinct().hint("merge"), "prefix")
     return hits.groupBy("prefix").agg(F.min_by("id", "ord").alias("id"))
 
 

@@ -18,11 +18,17 @@ def blob_hash(*columns: str, parity: bool = False, created: str = "created_at")
     return F.sha2(F.to_json(F.struct(*sorted([*columns, created] if parity else columns))), 256)
 
 
-def tree_hash(entries: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, tree_sha) of entries (keys, sha): the hashes of 256 sorted buckets by first byte, hashed in order."""
-    buckets = entries.groupBy(*keys, F.substring("sha", 1, 2).alias("bucket")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("sha")), ""), 256).alias("h"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda x: F.concat_ws(":", x["bucket"], x["h"])), ",")
-    return buckets.groupBy(*keys).agg(F.sha2(whole, 256).alias("tree_sha"))
+def tree_hash(entries: DataFrame, keys: list[str], digits: int = 8) -> DataFrame:
+    """(keys, tree_sha) of entries (keys, sha): a trie over the first digits of the hashes, two at a level, so that a node
+    gathers 256 children at most. A leaf holds each of its hashes with how often it stands there, counted before the shuffle."""
+    count = entries.groupBy(*keys, "sha").agg(F.count("*").alias("n"))
+    name, value = F.substring("sha", 1, digits), F.concat_ws("x", "sha", F.col("n").cast("string"))
+    nodes = count.select(*keys, name.alias("node"), value.alias("child"), value.alias("h"))
+    for left in range(digits - 2, -3, -2):
+        hashed = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("child", "h"))), lambda x: F.concat_ws(":", x["child"], x["h"])), ","), 256)
+        up = nodes.groupBy(*keys, "node").agg(hashed.alias("h"))
+        nodes = up.select(*keys, F.substring("node", 1, max(left, 0)).alias("node"), F.col("node").alias("child"), "h") if left >= 0 else up
+    return nodes.select(*keys, F.col("h").alias("tree_sha"))
 
 
 def diff_snapshots(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -44,11 +50,33 @@ def as_of(log: DataFrame, seq: int) -> DataFrame:
     return latest(log.where(F.col("seq") <= seq), ["file_path"], ["seq"]).where(~F.col("deleted")).select("file_path", "sha")
 
 
+def commit(log: DataFrame, refs: DataFrame, staged: DataFrame, name: str, seq: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(log, refs, stats) after a commit of staged rows (file_path, sha) on a branch: the log with what they add to the state
+    before, the refs with the branch's new target (a hash of its number and name), and (added, total). Nothing staged is an error."""
+    if staged.isEmpty():
+        raise ValueError("nothing to commit")
+    before = as_of(log, seq - 1)
+    new = staged.select("file_path", "sha").join(before.hint("merge"), ["file_path", "sha"], "left_anti")
+    after = log.unionByName(new.select(F.lit(seq).cast(log.schema["seq"].dataType).alias("seq"), "file_path", "sha", F.lit(False).alias("deleted")))
+    head = log.sparkSession.range(1).select(F.lit("branch").alias("kind"), F.lit(name).alias("name"), F.sha2(F.lit(f"{name}:{seq}"), 256).alias("sha"), F.lit(seq).cast(refs.schema["seq"].dataType).alias("seq"))
+    stats = staged.agg(F.count("*").alias("added")).crossJoin(F.broadcast(as_of(after, seq).agg(F.count("*").alias("total"))))  # one row each
+    return after, refs.select("kind", "name", "sha", "seq").unionByName(head), stats
+
+
 def history(log: DataFrame) -> DataFrame:
     """Of each commit: paths set and removed."""
     return log.groupBy("seq").agg(F.count_if(~F.col("deleted")).alias("written"), F.count_if("deleted").alias("deleted"))
 
 
+def walk(commits: DataFrame, heads: DataFrame, limit: int = 10) -> DataFrame:
+    """(name, sha, depth): from each head (name, sha) along first parents, of commits (sha, parent), `limit` commits at most."""
+    text = f"""with recursive walk(name, sha, parent, depth) as (
+select h.name, c.sha, c.parent, 0 from {{heads}} h join {{commits}} c on c.sha = h.sha
+union all select w.name, c.sha, c.parent, w.depth + 1 from walk w join {{commits}} c on c.sha = w.parent where w.depth + 1 < {int(limit)})
+select name, sha, depth from walk"""
+    return commits.sparkSession.sql(text, heads=heads, commits=commits)
+
+
 def list_refs(refs: DataFrame) -> DataFrame:
     """The last target (sha) of each (kind, name) by seq: branches, tags, and an agent's place after a checkout or rollback."""
     return latest(refs.select("kind", "name", "sha", "seq"), ["kind", "name"], ["seq"])
@@ -60,8 +88,9 @@ def checkpoint_counts(memories: DataFrame) -> DataFrame:
     return n.groupBy("agent_id").agg(F.sum("n").alias("memories"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("memory_type", "n")))).alias("counts"))
 
 
-def snapshot_text_search(state: DataFrame, blobs: DataFrame, text: str, k: int = 10) -> DataFrame:
-    """Best k blobs of a state by occurrences / length of a text, case folded: (file_path, score)."""
+def snapshot_text_search(state: DataFrame, blobs: DataFrame, text: str, k: int = 10, kind: str | None = None) -> DataFrame:
+    """Best k blobs of a state by occurrences / length of a text, case folded: (file_path, score). kind: only entries of that mode."""
+    state = state if kind is None else state.where(F.col("mode") == kind)
     held = state.select("file_path", "sha").join(blobs.select("sha", F.lower("content").alias("c")).hint("merge"), "sha")
     count = (F.length("c") - F.length(F.replace(F.col("c"), F.lit(text.lower()), F.lit("")))) / len(text)
     return held.where(F.contains("c", F.lit(text.lower()))).select("file_path", F.round(count / F.length("c"), 6).alias("score")).orderBy(F.desc("score"), "file_path").limit(k)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from recollect.functions.vectors import bucket_of
 from recollect.operators import graph as gr
 from recollect.operators import maintain as mt
 from recollect.operators import versions as vs
@@ -48,6 +48,14 @@ def unused_functions(spark, sf_dir):
     return gr.unused_functions(dd.code_chunks(spark, sf_dir))
 
 
+def functions_used(spark, sf_dir):
+    return gr.defined_and_used(dd.code_chunks(spark, sf_dir))
+
+
+def dependency_kind(spark, sf_dir):
+    return gr.dependency_kind(dd.code_chunks(spark, sf_dir).select(gr.module_of().alias("module")), _edges(spark, sf_dir))
+
+
 def usage_analysis(spark, sf_dir):
     c = dd.code_chunks(spark, sf_dir)
     return gr.usage_analysis(c.withColumn("parameters", F.array(F.lit("self"), F.lit("a"), F.lit("b"), F.lit("row"))))
@@ -99,7 +107,18 @@ def invalidate(spark, sf_dir):
 
     stored, now = _stored(spark, sf_dir)
     stale = freshness(stored, now).where("freshness <> 'fresh'")
-    return mt.invalidate(stale, files=stored)["files"].select("file_path", "content_hash")
+    return mt.invalidate(stale, files=stored)[0]["files"].select("file_path", "content_hash")
+
+
+def invalidate_counts(spark, sf_dir):
+    """What chunks, vectors of chunks and index lose in each scope: one file, the stale ones (every 4th document), all."""
+    from recollect.operators.chunks import build_symbol_index
+
+    c = mt.hashed_chunks(dd.chunks(spark, sf_dir)).withColumn("doc", F.floor(F.col("ord") / 1000))
+    tables = {"chunks": c, "vectors": c.select(F.col("hash_id").alias("id")).distinct(), "index": build_symbol_index(c)}
+    scopes = {"file": c.where("doc = 7"), "stale": c.where("doc % 4 = 0"), "all": None}
+    counts = [mt.invalidate(keys, **tables)[1].select(F.lit(scope).alias("scope"), "name", "removed") for scope, keys in scopes.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
 def evict_idle(spark, sf_dir):
@@ -139,10 +158,7 @@ def _some_vectors(spark, sf_dir):
 
 
 def _embed(df):
-    """Hashed words, 16 places."""
-    words = df.select("id", F.explode(F.regexp_extract_all(F.lower("content"), F.lit("([a-z]+)"), F.lit(1))).alias("w")).groupBy("id", bucket_of(F.col("w"), 16).alias("b")).agg(F.count("*").cast("float").alias("n"))
-    maps = words.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
-    return maps.select("id", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0).cast("float"))).alias("embedding"))
+    return mt.hash_embed(df, 16).select("id", F.col("embedding").cast("array<float>").alias("embedding"))
 
 
 def embed_missing(spark, sf_dir):
@@ -206,6 +222,23 @@ def as_of(spark, sf_dir):
     return vs.as_of(_log(spark, sf_dir), 2)
 
 
+def commit_staged(spark, sf_dir):
+    """A fourth commit of staged files: what it adds and how many there are, and the branch's target after it."""
+    a, b = _states(spark, sf_dir)
+    refs = spark.createDataFrame([("branch", "main", "0", 3)], "kind string, name string, sha string, seq int")
+    _, after, stats = vs.commit(_log(spark, sf_dir), refs, b.where("file_path like '%1.md'").withColumn("file_path", F.concat(F.lit("new-"), "file_path")), "main", 4)
+    return stats.crossJoin(F.broadcast(vs.list_refs(after).select("name", "sha", "seq")))  # one row each
+
+
+def history_walk(spark, sf_dir):
+    """Each agent's stores as commits in order: the last three, from its head back."""
+    e = dd.session_events(spark, sf_dir).where("action = 'store'").select("agent_id", "event_id")
+    sha = F.sha2(F.col("event_id").cast("string"), 256)
+    c = e.withColumn("before", F.lag("event_id").over(W.partitionBy("agent_id").orderBy("event_id"))).select("agent_id", "event_id", sha.alias("sha"), F.sha2(F.col("before").cast("string"), 256).alias("parent"))
+    heads = c.groupBy(F.col("agent_id").alias("name")).agg(F.max_by("sha", "event_id").alias("sha"))
+    return vs.walk(c.select("sha", "parent"), heads, 3)
+
+
 def history(spark, sf_dir):
     return vs.history(_log(spark, sf_dir))
 
@@ -231,10 +264,17 @@ def snapshot_text_search(spark, sf_dir):
     return vs.snapshot_text_search(_states(spark, sf_dir)[0], blobs, "tion", 25)
 
 
+def snapshot_text_search_typed(spark, sf_dir):
+    """Memories as a state: entries have the memory's type as their mode."""
+    m = dd.memories(spark, sf_dir).withColumn("sha", F.sha2("content", 256))
+    state = m.select(F.concat_ws("/", "memory_type", "id").alias("file_path"), "sha", F.col("memory_type").alias("mode"))
+    return vs.snapshot_text_search(state, m.groupBy("sha").agg(F.min("content").alias("content")), "tion", 25, "semantic")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        extract_imports, find_importers, call_edges, called_by, dependency_graph, unused_functions, usage_analysis, transitive_imports, reachable, circular_dependencies, upsert_file, delta_chunks, touch, invalidate, evict_idle,
+        extract_imports, find_importers, call_edges, called_by, dependency_graph, unused_functions, usage_analysis, functions_used, dependency_kind, invalidate_counts, commit_staged, history_walk, snapshot_text_search_typed, transitive_imports, reachable, circular_dependencies, upsert_file, delta_chunks, touch, invalidate, evict_idle,
         retain_last_n, update_rows, delete_rows, delete_agent, bulk_add, embed_missing, upsert_vector, delete_vectors, get_vectors_batch, vector_stats, orphan_vectors, blob_hash, tree_hash, diff_snapshots, commit, as_of, history,
         rollback, list_refs, checkpoint, snapshot_text_search,
     )
@@ -259,10 +299,23 @@ SQL = {
     "called_by": with_views("code_chunks", body=_MODULES + "\nselect head as module, file_path, name as caller, target from fn where head in (select module from fn) and head <> module"),
     "dependency_graph": with_views("code_chunks", body=_EDGES + ",\n" + _MODULES + ",\n" + _UNUSED + """,
 f as (select distinct file_path, module from fn)
-select file_path, coalesce((select string_agg(v, ',' order by v) from edges where u = f.module), '') as imports, coalesce((select string_agg(u || '.py', ',' order by u || '.py') from edges where v = f.module), '') as imported_by,
+select file_path, coalesce((select string_agg(v, ',' order by v) from edges where u = f.module), '') as imports, coalesce((select string_agg(v, ',' order by v) from edges where u = f.module and v not in (select module from fn)), '') as external,
+coalesce((select string_agg(distinct target, ',' order by target) from fn g where g.file_path = f.file_path), '') as callees, coalesce((select string_agg(distinct g.file_path || ':' || g.name, ',' order by g.file_path || ':' || g.name) from fn g where g.head = f.module and g.module <> f.module), '') as callers,
+coalesce((select string_agg(name, ',' order by name) from unused g where g.file_path = f.file_path), '') as unused_names, coalesce((select string_agg(u || '.py', ',' order by u || '.py') from edges where v = f.module), '') as imported_by,
 (select count(*) from fn g where g.file_path = f.file_path) as calls_to, (select count(*) from fn g where g.head = f.module and g.module <> f.module) as called_by, (select count(*) from unused g where g.file_path = f.file_path) as unused from f"""),
     "unused_functions": with_views("code_chunks", body=_MODULES + ",\n" + _UNUSED + "\nselect * from unused"),
     "usage_analysis": with_views("code_chunks", body="select file_path, name, p as parameter from code_chunks, (values ('b'), ('row')) t(p)"),
+    "functions_used": with_views("code_chunks", body=_MODULES + ",\n" + _UNUSED + """,
+x as (select distinct f.file_path, coalesce(g.tail, g.head) as name from fn g join (select distinct file_path, module from fn) f on g.head = f.module where g.file_path <> f.file_path)
+select file_path, 'defined' as kind, name from fn union all select file_path, 'external', name from x union all select file_path, 'unused', name from unused"""),
+    "dependency_kind": with_views("code_chunks", body=_EDGES + ",\n" + _REACH + "\nselect (select count(distinct file_path) from code_chunks) as modules, count(distinct u) as on_cycles, case when count(*) > 0 then 'DCG' else 'DAG' end as kind from reach where u = v").replace("with ", "with recursive ", 1),
+    "invalidate_counts": with_views("chunks", body=_HASHED + """,
+idx as (select distinct symbol, file_path, doc from (select lower(name) as symbol, file_path, ord // 1000 as doc from chunks union all select unnest(keywords), file_path, ord // 1000 from chunks) where len(symbol) > 1),
+scopes as (select 'file' as scope, doc from (select distinct doc from h) where doc = 7 union all select 'stale', doc from (select distinct doc from h) where doc % 4 = 0 union all select 'all', doc from (select distinct doc from h)),
+s(scope) as (values ('file'), ('stale'), ('all'))
+select scope, 'chunks' as name, (select count(*) from h where doc in (select doc from scopes t where t.scope = s.scope)) as removed from s
+union all select scope, 'index', (select count(*) from idx where doc in (select doc from scopes t where t.scope = s.scope)) from s
+union all select scope, 'vectors', (select count(distinct hash_id) from h) - (select count(distinct hash_id) from h where doc not in (select doc from scopes t where t.scope = s.scope)) from s"""),
     "transitive_imports": with_views("code_chunks", body=_EDGES + "\nselect u, v from edges union select a.u, b.v from edges a join edges b on a.v = b.u"),
     "reachable": with_views("code_chunks", body=_EDGES + ",\n" + _REACH + "\nselect u, v from reach").replace("with ", "with recursive ", 1),
     "circular_dependencies": with_views("code_chunks", body=_EDGES + ",\n" + _REACH + "\nselect a.u as node, min(a.v) as cycle, count(*) as size from reach a join reach b on a.u = b.v and a.v = b.u group by 1").replace("with ", "with recursive ", 1),
@@ -285,19 +338,25 @@ select file_path, access_count + coalesce(n, 0) as access_count, greatest(create
 select id, 'rejected' as state from n where trim(c) = '' union all
 select arg_min(id, ord), 'added' from n where trim(c) <> '' and not exists (select 1 from memories m where m.ord % 2 = 0 and m.agent_id = n.agent_id and m.content = n.c and m.memory_type = n.memory_type) group by agent_id, c, memory_type"""),
     "embed_missing": with_views("vectors", body=_HELD.replace("using (id)", "using (id) where ord % 3 <> 0") + """,
-w as (select id, unnest(regexp_extract_all(lower(content), '[a-z]+')) as w from memories where ord % 3 = 0)
-select id, len(embedding)::int as dimension, round(list_sum(list_transform(embedding, lambda x: x::double)), 4) as total from held union all select id, 16, count(*)::double from w group by 1"""),
+w as (select id, unnest(regexp_extract_all(lower(content), '[a-z]+')) as w from memories where ord % 3 = 0),
+n as (select id, ('0x' || substr(md5(w), 1, 8))::bigint % 16 as b, count(*) as n from w group by 1, 2)
+select id, len(embedding)::int as dimension, round(list_sum(list_transform(embedding, lambda x: x::double)), 4) as total from held union all select id, 16, round(sum(n) / sqrt(sum(n * n)), 4) from n group by 1"""),
     "upsert_vector": with_views("vectors", body="select id, case when ord % 2 = 0 then 8 else len(embedding) end::int as dimension from vectors join memories using (id) where ord % 3 <> 0 or ord % 2 = 0"),
     "delete_vectors": with_views("vectors", body=_HELD + "\nselect id from held where topic <> 'user'"),
     "get_vectors_batch": with_views("vectors", body=_HELD + "\nselect id, embedding[1]::double as first from held where topic = 'assistant'"),
     "vector_stats": with_views("vectors", body=_HELD + "\nselect agent_id, count(*) as n, max(len(embedding))::int as dimension from held group by 1"),
     "orphan_vectors": with_views("vectors", body=_HELD + "\nselect id from held where memory_type = 'working'"),
     "blob_hash": with_views("memories", body="""select id, sha256('{"agent_id":"' || agent_id || '","memory_type":"' || memory_type || '","topic":"' || topic || '"}') as sha from memories"""),
-    "tree_hash": """with s as (select source, sha256(coalesce(text, '')) as sha from documents), b as (select source, substr(sha, 1, 2) as bucket, sha256(string_agg(sha, '' order by sha)) as h from s group by 1, 2)
-select source, sha256(string_agg(bucket || ':' || h, ',' order by bucket)) as tree_sha from b group by 1""",
+    "tree_hash": "with s as (select source, sha256(coalesce(text, '')) as sha from documents), c as (select source, sha, sha || 'x' || count(*) as v from s group by 1, 2),\nn8 as (select source, substr(sha, 1, 8) as node, sha256(string_agg(v || ':' || v, ',' order by v)) as h from c group by 1, 2),\n"
+    + ",\n".join(f"n{k} as (select source, up as node, sha256(string_agg(node || ':' || h, ',' order by node)) as h from (select *, substr(node, 1, {k}) as up from n{k + 2}) group by 1, 2)" for k in (6, 4, 2, 0))
+    + "\nselect source, h as tree_sha from n0",
     "diff_snapshots": with_views("snapshots", body=_SHAS + "\nselect 'added' as change, file_path, sha from (select * from sb except select * from sa) union all select 'removed', file_path, sha from (select * from sa except select * from sb)"),
     "commit": with_views("snapshots", body=_SHAS + ",\n" + _LOG + "\nselect * from log"),
     "as_of": with_views("snapshots", body=_SHAS + "\nselect * from sb"),
+    "commit_staged": with_views("snapshots", body=_SHAS + """
+select (select count(*) from sb where file_path like '%1.md') as added, (select count(*) from sa) + (select count(*) from sb where file_path like '%1.md') as total, 'main' as name, sha256('main:4') as sha, 4 as seq"""),
+    "history_walk": with_views("session_events", body="c as (select agent_id, sha256(event_id::varchar) as sha, row_number() over (partition by agent_id order by event_id desc) - 1 as depth from session_events where action = 'store')\nselect agent_id as name, sha, depth::int as depth from c where depth < 3"),
+    "snapshot_text_search_typed": with_views("memories", body="s as (select memory_type || '/' || id as file_path, lower(content) as c from memories where memory_type = 'semantic' and contains(lower(content), 'tion'))\nselect file_path, round((len(c) - len(replace(c, 'tion', ''))) / 4.0::double / len(c), 6) as score from s order by 2 desc, 1 limit 25"),
     "history": with_views("snapshots", body=_SHAS + ",\n" + _LOG + "\nselect seq, count(*) filter (not deleted) as written, count(*) filter (deleted) as deleted from log group by 1"),
     "rollback": with_views("snapshots", body=_SHAS + "\nselect * from sa"),
     "list_refs": with_views("session_events", body="select case when action = 'store' then 'tag' else 'branch' end as kind, file_path as name, sha256(max(event_id)::varchar) as sha, max(event_id) as seq from session_events group by 1, 2"),

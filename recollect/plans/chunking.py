@@ -97,6 +97,21 @@ def build_skeleton(spark, sf_dir):
     return ch.build_skeleton(dd.chunks(spark, sf_dir))
 
 
+def build_skeleton_json(spark, sf_dir):
+    return ch.skeleton_json(dd.chunks(spark, sf_dir))
+
+
+def summarize_file_normal(spark, sf_dir):
+    """Outlines of version A's chunks with the freshness of their files by language: those of `en` are stale."""
+    c = dd.chunks(spark, sf_dir)
+    state = c.select("file_path", F.when(F.col("language") == "en", "stale").otherwise("fresh").alias("freshness")).where("file_path not like '%3.md'").distinct()
+    return ch.summarize_file_normal(c, state).select("file_path", F.sha2("outline", 256).alias("outline_sha256"), "freshness")
+
+
+def summarize_file_detailed(spark, sf_dir):
+    return ch.summarize_file_detailed(dd.chunks(spark, sf_dir)).select("file_path", "total_chunks", F.sha2("chunks", 256).alias("chunks_sha256"))
+
+
 def compression_ratio(spark, sf_dir):
     return ch.compression_ratio(dd.chunks(spark, sf_dir))
 
@@ -108,7 +123,7 @@ def summarize_file(spark, sf_dir):
 QUERIES = {
     "detect_language": detect_language_, "chunk_whole": chunk_whole, "chunk_lines": chunk_lines, "ingest_chunks": ingest_chunks, "number_lines": number_lines_, "normalise_hash": normalise_hash_,
     "estimate_tokens": estimate_tokens_, "dedup_chunks": dedup_chunks, "dup_report": dup_report, "enrich_keywords": enrich_keywords, "decompose_identifier": decompose, "qa_hints": qa_hints,
-    "embedding_text": embedding_text, "build_symbol_index": build_symbol_index, "refresh_symbol_index": refresh_symbol_index, "build_skeleton": build_skeleton, "compression_ratio": compression_ratio,
+    "embedding_text": embedding_text, "build_symbol_index": build_symbol_index, "refresh_symbol_index": refresh_symbol_index, "build_skeleton": build_skeleton, "build_skeleton_json": build_skeleton_json, "summarize_file_normal": summarize_file_normal, "summarize_file_detailed": summarize_file_detailed, "compression_ratio": compression_ratio,
     "summarize_file": summarize_file,
 }
 
@@ -118,6 +133,8 @@ _INDEX = "symbols as (select distinct symbol, file_path from (select lower(name)
 _KW = """enriched as (select *, list_sort(list_distinct(list_filter(list_concat([name, 'part', regexp_extract(name, '_(\\d+)', 1), 'app.route', 'query', kind_, kind_ || '_table', '/' || kind_, kind_, 'route', 'app', 'db', 'function', 'reads'],
  case when target like 'm%' then ['m' || regexp_extract(target, '^m(\\d+)', 1), split_part(target, '.', 2)] else [] end, case when regexp_matches(summary, 'Brand') then ['brand'] else [] end), lambda k: len(k) > 1))) as keywords from
  (select *, regexp_extract(content, 'query\\(''([a-z]+)''', 1) as kind_ from code_chunks))"""
+_OUTLINES = """outlines as (select file_path, any_value(language) as language, to_json({'type': 'start', 'content': 'File: ' || regexp_extract(file_path, '([^/]*)$', 1), 'line': 1,
+ 'children': list_append(list({'type': 'processing', 'content': case when len(summary) > 0 then summary else substr(content, 1, 60) end, 'line': start_line::bigint} order by ord), {'type': 'end', 'content': 'End of File', 'line': arg_max(end_line, ord)::bigint})})::varchar as outline from chunks group by 1)"""
 SQL = {
     "detect_language": """select page_id, coalesce(map {'.py': 'python', '.ts': 'typescript', '.rs': 'rust', '.yml': 'yaml', '.html': 'html', '.xml': 'xml', '.md': 'markdown', '.json': 'json', '.php': 'php', '.js': 'javascript', '.css': 'css'}[regexp_extract(lower(regexp_extract(url, '^([^?#]*)', 1) || ['.py', '.TS', '.rs', '.yml', '.xyz', ''][page_id % 6 + 1]), '(\\.[^./]+)$', 1)], 'other') as language from pages""".replace("\\\\", "\\"),
     "chunk_whole": "select 'd' || doc_id || '.md' as file_path, 'file' as type, sha256(coalesce(text, '')) as content_sha256, 1 as start_line, len(string_split(coalesce(text, ''), chr(10)))::int as end_line from documents",
@@ -144,7 +161,12 @@ select ord, array_to_string(['function ' || name, summary, substr(content, 1, 60
     "build_skeleton": with_views("chunks", body="""n as (select file_path, count(*)::int as n from chunks group by 1)
 select file_path, 0 as node, 'start' as kind, '' as label from n union all select file_path, (n + 1)::int, 'end', '' from n
 union all select file_path, row_number() over (partition by file_path order by ord)::int, 'processing', case when len(summary) > 0 then summary else substr(content, 1, 60) end from chunks"""),
-    "compression_ratio": with_views("chunks", body="""t as (select file_path, sum(floor(len(content) * 0.25))::bigint as original, sum(floor(len(summary) * 0.25))::bigint as skeleton from chunks group by 1)
+    "build_skeleton_json": with_views("chunks", body=_OUTLINES + "\nselect file_path, outline from outlines"),
+    "summarize_file_normal": with_views("chunks", body=_OUTLINES + """
+select file_path, sha256(outline) as outline_sha256, case when file_path like '%3.md' then 'unknown' when language = 'en' then 'stale' else 'fresh' end as freshness from outlines"""),
+    "summarize_file_detailed": with_views("chunks", body="""j as (select file_path, count(*) as total_chunks, to_json(list({'name': name, 'type': type, 'content': content, 'summary': summary, 'keywords': keywords} order by ord))::varchar as chunks from chunks group by 1)
+select file_path, total_chunks, sha256(chunks) as chunks_sha256 from j"""),
+    "compression_ratio": with_views("chunks", body="""t as (select file_path, sum(floor(len(content) * 0.25))::bigint as original, sum(floor(len(case when len(summary) > 0 then summary else substr(content, 1, 60) end) * 0.25))::bigint as skeleton from chunks group by 1)
 select *, case when original > 0 then round(1 - skeleton::double / original, 4) else 0 end as ratio from t"""),
     "summarize_file": with_views("code_chunks", body="""r as (select *, row_number() over (partition by file_path order by ord) as rn from code_chunks)
 select file_path, 'function=' || count(*) as types, string_agg(name, ',' order by ord) filter (rn <= 8) as names from r group by 1"""),

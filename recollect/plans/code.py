@@ -79,7 +79,14 @@ def evaluate_retrieval(spark, sf_dir):
 QUERIES = {
     f.__name__: f for f in (parse_code_query, term_idf, code_hybrid_search, line_proximity, trace_calls, symbol_references, evaluate_retrieval)
 }
-QUERIES |= {n: parse_code_query for n in ("broad_intent", "detect_intent", "extract_line_numbers", "expand_concepts")}
+_VIEWS = {"broad_intent": ["depth"], "detect_intent": ["intent", "alpha"], "extract_line_numbers": ["lines"], "expand_concepts": ["terms", "wanted"]}
+
+
+def _view(columns):
+    return lambda spark, sf_dir: parse_code_query(spark, sf_dir).select("query_id", *columns)
+
+
+QUERIES |= {n: _view(columns) for n, columns in _VIEWS.items()}
 
 _SW = "[" + ", ".join(f"'{w}'" for w in CODE_STOPWORDS) + "]"
 _DEC = "list_distinct(list_concat(list_transform(list_filter(list_concat(regexp_extract_all({0}, '[a-z]+'), regexp_split_to_array({0}, '[_.]')), lambda p: len(p) > 1), lambda p: lower(p)), [lower({0})]))"
@@ -122,7 +129,7 @@ pairs as (select q.query_id, b.ord, file_path, name, depth, {_ALPHA} as alpha,
  from bagged b cross join code_queries q cross join n join embeddings e on e.vec_id = b.ord % n.n join idfs i on i.query_id = q.query_id left join hits h on h.query_id = q.query_id and h.ord = b.ord where file_filter is null or contains(l_path, file_filter)),
 scored as (select *, round(close * alpha + least(1.0, signals) * (1 - alpha) + line + 1e-9::double, 3) as score from pairs)
 select query_id, ord, file_path, name, score, rank from (select *, row_number() over (partition by query_id order by score desc, ord) as rank from scored where close * alpha + least(1.0, signals) * (1 - alpha) + line > 0.01::double + 1e-9::double) where rank <= depth""")
-SQL = {n: _PARSE_SQL for n in ("parse_code_query", "broad_intent", "detect_intent", "extract_line_numbers", "expand_concepts")}
+SQL = {"parse_code_query": _PARSE_SQL} | {n: f"select query_id, {', '.join(columns)} from ({_PARSE_SQL})" for n, columns in _VIEWS.items()}
 SQL |= {
     "term_idf": with_views("questions", "chunks", body=_PARSED + ",\n" + _BAGS + ",\n" + _IDF + "\nselect query_id, term, round(idf, 6) as idf from idf"),
     "code_hybrid_search": _SEARCH_SQL,

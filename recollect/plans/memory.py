@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recollect.functions.text import MEMORY_STOPWORDS, QUERY_STOPWORDS, tokenize_query
-from recollect.functions.vectors import bucket_of, normalise
+from recollect.functions.vectors import normalise
+from recollect.operators import maintain as mt
 from recollect.operators import memory_search as ms
 from recollect.sources import driverdata as dd
 from recollect.sources.driverdata import with_views
@@ -104,6 +105,16 @@ def analyze_query(spark, sf_dir):
     return a.select("query_id", F.array_join("keywords", " ").alias("keywords"), F.array_join("persons", " ").alias("persons"), "complexity", ms.dynamic_k(F.col("complexity"), 5).cast("long").alias("k"))
 
 
+def query_complexity(spark, sf_dir):
+    return analyze_query(spark, sf_dir).select("query_id", "complexity")
+
+
+def dynamic_k(spark, sf_dir):
+    """Depths for 3, 5 and 20 rows asked for."""
+    a = ms.analyze_query(dd.queries(spark, sf_dir), _now())
+    return a.select("query_id", *[ms.dynamic_k(F.col("complexity"), k).cast("long").alias(f"k_of_{k}") for k in (3, 5, 20)])
+
+
 def extract_time_filter(spark, sf_dir):
     """The phrases stand before messages by place, so that each is met."""
     m = dd.memories(spark, sf_dir)
@@ -153,15 +164,14 @@ def normalise_vector(spark, sf_dir):
 
 
 def hash_embed(spark, sf_dir):
-    """Places and counts of each memory's hashed words."""
-    m = dd.memories(spark, sf_dir)
-    words = m.select("id", F.explode(F.regexp_extract_all(F.lower("content"), F.lit("([a-z]+)"), F.lit(1))).alias("w"))
-    return words.groupBy("id", bucket_of(F.col("w"), 64).alias("bucket")).agg(F.count("*").alias("n"))
+    """The values of each memory's hashed vector that aren't 0."""
+    v = mt.hash_embed(dd.memories(spark, sf_dir).select("id", "content"), 64)
+    return v.select("id", F.posexplode("embedding").alias("bucket", "x")).where("x <> 0").select("id", "bucket", F.round("x", 6).alias("value"))
 
 
 QUERIES = {
     "tokenize_query": tokenize_query_, "keyword_search": keyword_search, "keyword_search_typed": keyword_search_typed, "semantic_search": semantic_search, "hybrid_search": hybrid_search,
-    "batch_search": batch_search, "analyze_query": analyze_query, "query_complexity": analyze_query, "dynamic_k": analyze_query, "extract_time_filter": extract_time_filter, "retrieve": retrieve,
+    "batch_search": batch_search, "analyze_query": analyze_query, "query_complexity": query_complexity, "dynamic_k": dynamic_k, "extract_time_filter": extract_time_filter, "retrieve": retrieve,
     "symbolic_boost": symbolic_boost, "reflect": reflect, "pull_context": pull_context, "context_answer": context_answer, "cosine": cosine, "normalise_vector": normalise_vector, "hash_embed": hash_embed,
 }
 
@@ -174,7 +184,8 @@ SQL = {
     "semantic_search": with_views("memories", "vectors", "queries", body=_SEMANTIC + "\n" + _top("semantic", 10)),
     "hybrid_search": with_views("memories", "vectors", "queries", body=_BOTH + ",\n" + _hybrid(30) + "\n" + _top("hybrid", 10)),
     "batch_search": with_views("memories", "vectors", "queries", body=_BOTH + ",\n" + _hybrid(9) + "\n" + _top("hybrid", 3)),
-    "analyze_query": _ANALYSIS, "query_complexity": _ANALYSIS, "dynamic_k": _ANALYSIS,
+    "analyze_query": _ANALYSIS, "query_complexity": f"select query_id, complexity from ({_ANALYSIS})",
+    "dynamic_k": "select query_id, " + ", ".join(f"greatest({k}, least(floor({k} * (1 + complexity)), {3 * k}))::bigint as k_of_{k}" for k in (3, 5, 20)) + f" from ({_ANALYSIS})",
     "extract_time_filter": with_views("memories", body=r"""said as (select id, lower(['today ', 'since last  week ', 'recently ', 'this month ', ''][ord % 5 + 1] || content) as t from memories),
 named as (select id, case when regexp_matches(t, '\btoday\b') then 'today' when regexp_matches(t, '\byesterday\b') then 'yesterday' when regexp_matches(t, '\blast\s+week\b') then 'last_week' when regexp_matches(t, '\blast\s+month\b') then 'last_month'
  when regexp_matches(t, '\bthis\s+week\b') then 'this_week' when regexp_matches(t, '\bthis\s+month\b') then 'this_month' when regexp_matches(t, '\brecent(ly)?\b') then 'recent' end as time_type from said)
@@ -190,5 +201,5 @@ select * from (select row_number() over (order by f.query_id, f.rank, f.id) as p
     "cosine": "select e.vec_id, q.vec_id as query_id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) as cosine from embeddings e, embeddings q where q.vec_id % 20 = 0",
     "normalise_vector": """select vec_id, round(embedding[1]::double / sqrt(s), 6) as first, round(list_sum(list_transform(embedding, lambda x: (x::double / sqrt(s)) * (x::double / sqrt(s)))), 6) as length
 from (select *, list_sum(list_transform(embedding, lambda x: x::double * x::double)) as s from embeddings)""",
-    "hash_embed": with_views("memories", body="w as (select id, unnest(regexp_extract_all(lower(content), '[a-z]+')) as w from memories)\nselect id, (('0x' || substr(md5(w), 1, 8))::bigint % 64)::int as bucket, count(*) as n from w group by 1, 2"),
+    "hash_embed": with_views("memories", body="w as (select id, unnest(regexp_extract_all(lower(content), '[a-z]+')) as w from memories)\nselect id, bucket, round(n / sqrt(sum(n * n) over (partition by id)), 6) as value from (select id, (('0x' || substr(md5(w), 1, 8))::bigint % 64)::int as bucket, count(*) as n from w group by 1, 2)"),
 }

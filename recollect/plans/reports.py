@@ -62,7 +62,9 @@ def memory_counts(spark, sf_dir):
 
 
 def agent_stats(spark, sf_dir):
-    return rp.agent_stats(_m(spark, sf_dir))
+    """Locations are the words after ` in `; documents belong to agents by number."""
+    m = _m(spark, sf_dir).withColumn("location", F.regexp_extract("content", " in ([a-z]+)", 1))
+    return rp.agent_stats(m, dd.table(spark, sf_dir, "documents").select((F.col("doc_id") % 12).cast("string").alias("agent_id")))
 
 
 def count_logs(spark, sf_dir):
@@ -73,8 +75,16 @@ def memory_summary(spark, sf_dir):
     return rp.memory_summary(_m(spark, sf_dir))
 
 
+def memory_summary_focus(spark, sf_dir):
+    return rp.memory_summary(_m(spark, sf_dir), focus="TION")
+
+
 def summary_metadata(spark, sf_dir):
-    return _m(spark, sf_dir).select("topic", F.explode("persons").alias("p")).groupBy("topic").agg(F.count("*").alias("mentions"), rp.joined(F.collect_set("p")).alias("persons"))
+    return rp.summary_metadata(_m(spark, sf_dir))
+
+
+def summary_metadata_focus(spark, sf_dir):
+    return rp.summary_metadata(_m(spark, sf_dir), focus="user")
 
 
 def what_do_i_know(spark, sf_dir):
@@ -100,7 +110,14 @@ def session_rollup(spark, sf_dir):
 
 
 def token_savings(spark, sf_dir):
-    return rp.token_savings(dd.session_events(spark, sf_dir))
+    """A file is in the cache of an agent with the tokens of its last store."""
+    e = dd.session_events(spark, sf_dir)
+    held = e.where("action = 'store'").groupBy("agent_id", "file_path").agg(F.max_by("tokens", F.struct("ts", "event_id")).alias("tokens"))
+    return rp.token_savings(e, held)
+
+
+def usage_activity(spark, sf_dir):
+    return rp.indexing_activity(dd.chunks(spark, sf_dir))
 
 
 def usage_report(spark, sf_dir):
@@ -121,6 +138,14 @@ def cache_stats(spark, sf_dir):
     return rp.cache_stats(*_versions(spark, sf_dir))
 
 
+def cache_files(spark, sf_dir):
+    return rp.cache_files(*_versions(spark, sf_dir))
+
+
+def cache_recommendations(spark, sf_dir):
+    return rp.cache_recommendations(*_versions(spark, sf_dir), dd.session_events(spark, sf_dir).where("action = 'none'"))
+
+
 def engagement_rollup(spark, sf_dir):
     return rp.engagement_rollup(dd.table(spark, sf_dir, "events"), "user_id")
 
@@ -150,7 +175,7 @@ def memorable_triggers(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        list_memories, list_memories_filtered, memories_by_bin, list_logs, list_code_files, lookup_prefix, folder_stats, list_agents, memory_counts, agent_stats, count_logs, memory_summary, summary_metadata, what_do_i_know,
+        list_memories, list_memories_filtered, memories_by_bin, list_logs, list_code_files, lookup_prefix, folder_stats, list_agents, memory_counts, agent_stats, count_logs, memory_summary, memory_summary_focus, summary_metadata, summary_metadata_focus, usage_activity, cache_files, cache_recommendations, what_do_i_know,
         categorize_memories, group_by_purpose, context_by_topic, session_rollup, token_savings, usage_report, freshness, cache_stats, engagement_rollup, op_latency, auto_remember, auto_remember_fixed, should_remember, memorable_triggers,
     )
 }
@@ -169,6 +194,9 @@ select id, x.topic as topic, x.memory_type as memory_type from g""")
 
 _STATE = """state as (select a.file_path, floor(len(a.content) * 0.25)::bigint as tokens, case when b.file_path is null then 'missing' when len(a.content) % 13 = 0 then 'unknown' when sha256(a.content) = sha256(b.content) then 'fresh' else 'stale' end as freshness from snap_a a left join snap_b b using (file_path))"""
 _PURPOSE = "case " + " ".join(f"when {_any('t', words)} then '{name}'" for name, words in rp.PURPOSES.items()) + " else 'other' end"
+_METADATA = with_views("memories", body="""r as (select * from {0}),
+p as (select agent_id, string_agg(distinct x, ',' order by x) as persons from (select agent_id, unnest(persons) as x from r) group by 1)
+select agent_id, count(*) as memories, string_agg(distinct topic, ',' order by topic) as topics, coalesce(any_value(p.persons), '') as persons from r left join p using (agent_id) group by 1""").replace("{4,}", "{{4,}}")
 SQL = {
     "list_memories": with_views("memories", body="select agent_id, id, rank, total from (select agent_id, id, row_number() over (partition by agent_id order by created_at desc, ord desc) as rank, count(*) over (partition by agent_id) as total from memories where memory_type <> 'working') where rank between 3 and 7"),
     "list_memories_filtered": with_views("memories", body="select agent_id, id, rank, total from (select agent_id, id, row_number() over (partition by agent_id order by created_at desc, ord desc) as rank, count(*) over (partition by agent_id) as total from memories where contains(lower(topic), 'user') and len(list_filter(persons, lambda p: contains(lower(p), 'th'))) > 0) where rank <= 10"),
@@ -180,13 +208,24 @@ SQL = {
     "list_agents": "select c_nationkey, c_mktsegment, c_custkey, rank from (select *, row_number() over (partition by c_nationkey, c_mktsegment order by c_acctbal desc, c_custkey desc) as rank from customer) where rank <= 3",
     "memory_counts": with_views("memories", body="select agent_id, memory_type, count(*) as n from memories group by grouping sets ((agent_id), (agent_id, memory_type))"),
     "agent_stats": with_views("memories", body="""t as (select agent_id, topic, count(*) as n from memories group by 1, 2),
-p as (select agent_id, count(distinct x) as persons from (select agent_id, unnest(persons) as x from memories) group by 1)
-select t.agent_id, sum(n)::bigint as memories, string_agg(topic || '=' || n, ',' order by topic || '=' || n) as topics, coalesce(any_value(p.persons), 0) as persons from t left join p using (agent_id) group by 1"""),
+p as (select agent_id, count(distinct x) as persons from (select agent_id, unnest(persons) as x from memories) group by 1),
+l as (select agent_id, count(distinct regexp_extract(content, ' in ([a-z]+)', 1)) as locations from memories where regexp_matches(content, ' in [a-z]+') group by 1),
+f as (select (doc_id % 12)::varchar as agent_id, count(*) as documents from documents group by 1)
+select t.agent_id, sum(n)::bigint as memories, string_agg(topic || '=' || n, ',' order by topic || '=' || n) as topics, coalesce(any_value(p.persons), 0) as persons, coalesce(any_value(l.locations), 0) as locations, coalesce(any_value(f.documents), 0) as documents
+from t left join p using (agent_id) left join l using (agent_id) left join f using (agent_id) group by 1"""),
     "count_logs": with_views("session_events", body="select agent_id, action, count(*) as n from session_events group by 1, 2"),
     "memory_summary": with_views("memories", body="""r as (select *, row_number() over (partition by agent_id order by created_at desc, ord desc) as age from memories),
 s as (select *, row_number() over (partition by agent_id, topic order by age) as rn from r where age <= 100)
 select agent_id, topic, count(*) as n, string_agg(substr(content, 1, 100), ' | ' order by rn) filter (rn <= 3) as samples from s group by 1, 2"""),
-    "summary_metadata": with_views("memories", body="select topic, count(*) as mentions, string_agg(distinct p, ',' order by p) as persons from (select topic, unnest(persons) as p from memories) group by 1"),
+    "memory_summary_focus": with_views("memories", body="""r as (select *, row_number() over (partition by agent_id order by created_at desc, ord desc) as age from memories),
+f as (select * from r where age <= 100 and contains(lower(content || ' ' || topic || ' ' || array_to_string(keywords, ' ') || ' ' || array_to_string(persons, ' ')), 'tion')),
+s as (select *, row_number() over (partition by agent_id, topic order by age) as rn from f)
+select agent_id, topic, count(*) as n, string_agg(substr(content, 1, 100), ' | ' order by rn) filter (rn <= 3) as samples from s group by 1, 2"""),
+    "summary_metadata": _METADATA.format("memories"),
+    "summary_metadata_focus": _METADATA.format("memories where topic = 'user'"),
+    "usage_activity": with_views("chunks", body="f as (select language, file_path, count(*) as n from chunks group by 1, 2)\nselect language, count(*) as files, sum(n)::bigint as chunks, round(avg(n), 1) as mean_chunks from f group by grouping sets ((), (language))"),
+    "cache_files": with_views("snapshots", body=_STATE + "\nselect file_path, tokens, freshness from state"),
+    "cache_recommendations": with_views("snapshots", body=_STATE + "\nselect case freshness when 'stale' then 'update the files' else 'remove the files from the index' end as advice, count(*) as n from state where freshness in ('stale', 'missing') group by 1 union all select 'read summaries before files', count(*) from state"),
     "what_do_i_know": with_views("memories", body="""r as (select * from (select *, row_number() over (partition by agent_id order by created_at desc, ord desc) as age from memories) where age <= 50),
 p as (select agent_id, string_agg(distinct x, ',' order by x) as persons from (select agent_id, unnest(persons) as x from r) group by 1)
 select r.agent_id, string_agg(distinct topic, ',' order by topic) as topics, coalesce(any_value(p.persons), '') as persons, string_agg(id, ',' order by age) filter (age <= 5) as recent from r left join p using (agent_id) group by 1"""),
@@ -196,7 +235,8 @@ when contains(topic, 'date') or contains(lower(content), 'deadline') then 'dates
     "context_by_topic": with_views("memories", body="r as (select *, row_number() over (partition by agent_id, topic order by ord) as rn from memories)\nselect agent_id, topic, string_agg('- ' || content, chr(10) order by rn) as context from r where rn <= 20 group by 1, 2"),
     "session_rollup": with_views("session_events", body="select agent_id, session_id, count(distinct case when action = 'store' then file_path end) as stored, count(distinct case when action = 'retrieve' then file_path end) as retrieved, sum(tokens)::bigint as tokens, count(*) filter (action = 'hit') as hits, count(*) filter (action = 'miss') as misses from session_events group by 1, 2"),
     "token_savings": with_views("session_events", body="""t as (select agent_id, sum(tokens)::bigint as tokens, count(*) filter (action = 'hit') as hits, count(*) filter (action = 'miss') as misses, count(distinct file_path) as files, count(distinct session_id) as sessions from session_events group by 1)
-select agent_id, tokens, hits, misses, case when hits + misses > 0 then round(100.0::double * hits / (hits + misses), 2) else 0 end as hit_rate, files, sessions from t"""),
+select agent_id, tokens, hits, misses, case when hits + misses > 0 then round(100.0::double * hits / (hits + misses), 2) else 0 end as hit_rate, files, sessions, coalesce(cached_files, 0) as cached_files, coalesce(cached_tokens, 0) as cached_tokens
+from t left join (select agent_id, count(*) as cached_files, sum(tokens)::bigint as cached_tokens from (select agent_id, file_path, arg_max(tokens, {'ts': ts, 'e': event_id}) as tokens from session_events where action = 'store' group by 1, 2) group by 1) using (agent_id)"""),
     "usage_report": with_views("session_events", body="""f as (select agent_id, file_path, count(*) as accesses, sum(tokens)::bigint as tokens, round(avg(tokens), 1) as mean_tokens from session_events group by 1, 2)
 select * from (select *, row_number() over (partition by agent_id order by accesses desc, file_path) as rank from f) where rank <= 10"""),
     "freshness": with_views("snapshots", body=_STATE + "\nselect file_path, freshness from state"),

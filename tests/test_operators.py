@@ -1,7 +1,9 @@
 """Small fixtures with results worked out by hand, and invariants."""
 
 import math
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from recollect.functions.text import decompose_identifier, detect_language, estimate_tokens, normalise_hash, number_lines, tokenize_query
@@ -147,6 +149,65 @@ def test_versions(spark):
     assert same.select(versions.blob_hash("content")).distinct().count() == 1 and same.select(versions.blob_hash("content", parity=True)).distinct().count() == 2
 
 
+def test_importers_and_dependencies(spark):
+    c = spark.createDataFrame(
+        [("a.py", 1, "f", "function", "import b\nfrom os.path import join", [("b.g", 3), ("f2", 4)]), ("a.py", 9, "f2", "function", "pass", []), ("b.py", 1, "g", "function", "import numpy", [])],
+        "file_path string, start_line int, name string, type string, content string, calls array<struct<target:string,line:int>>",
+    )
+    d = {r["file_path"]: r for r in graph.dependency_graph(c).collect()}
+    assert (d["a.py"]["imports"], d["a.py"]["external"], d["a.py"]["callees"], d["a.py"]["unused_names"]) == ("b,os.path", "os.path", "b.g,f2", "f")
+    assert (d["b.py"]["external"], d["b.py"]["imported_by"], d["b.py"]["callers"], d["b.py"]["unused"]) == ("numpy", "a.py", "a.py:f", 0)
+    used = {(r["file_path"], r["kind"], r["name"]) for r in graph.defined_and_used(c).collect()}
+    assert ("b.py", "external", "g") in used and ("a.py", "unused", "f") in used and ("a.py", "unused", "f2") not in used
+    found = graph.find_importers(c, spark.createDataFrame([("b",), ("x.path",), ("",)], "module string"))
+    assert {(r["module"], r["file_path"], r["line"]) for r in found.collect()} == {("b", "a.py", 1), ("x.path", "a.py", 1)}
+
+
+@pytest.mark.parametrize("paired", [0, 1000])
+def test_components_of_random_graphs_equal_brute_force(spark, monkeypatch, paired):
+    monkeypatch.setattr(graph, "PAIRED", paired)
+    rnd = random.Random(7)
+    for n, m in ((12, 14),) if paired == 0 else ((12, 14), (25, 40)):
+        edges = {(rnd.randrange(n), rnd.randrange(n)) for _ in range(m)}
+        reach = {u: {u2 for u2 in ()} for u in range(n)}
+        for u in range(n):
+            todo = [u]
+            while todo:
+                for a, b in edges:
+                    if a == todo[0] and b not in reach[u]:
+                        reach[u].add(b)
+                        todo.append(b)
+                todo.pop(0)
+        wanted = {}
+        for u in range(n):
+            own = {v for v in reach[u] if u in reach[v]}
+            if own:
+                wanted[u] = (min(own), len(own))
+        got = graph.circular_dependencies(spark.createDataFrame(list(edges), "u int, v int")).collect()
+        assert {r["node"]: (r["cycle"], r["size"]) for r in got} == wanted
+    line = spark.createDataFrame([(1, 2), (2, 3)], "u int, v int")
+    assert tuple(graph.dependency_kind(line.select(F.col("u").alias("module")), line).first()) == (2, 0, "DAG")
+
+
+def test_commits(spark):
+    log = spark.createDataFrame([(1, "a", "x", False)], "seq int, file_path string, sha string, deleted boolean")
+    refs = spark.createDataFrame([("branch", "main", "0", 1)], "kind string, name string, sha string, seq int")
+    staged = spark.createDataFrame([("a", "x"), ("b", "y")], "file_path string, sha string")
+    after, now, stats = versions.commit(log, refs, staged, "main", 2)
+    assert after.count() == 2 and tuple(stats.first()) == (2, 2) and versions.list_refs(now).first()["seq"] == 2
+    with pytest.raises(ValueError):
+        versions.commit(log, refs, staged.limit(0), "main", 2)
+    commits = spark.createDataFrame([("c", "b"), ("b", "a"), ("a", None)], "sha string, parent string")
+    heads = spark.createDataFrame([("main", "c")], "name string, sha string")
+    assert [r["sha"] for r in versions.walk(commits, heads, 2).orderBy("depth").collect()] == ["c", "b"]
+
+
+def test_names_as_text(spark):
+    m = memories(spark).withColumns({"agent_id": F.lit("a"), "persons": F.lit("Ann, Bob ,"), "location": F.lit("Rome")})
+    r = reports.agent_stats(m, spark.createDataFrame([("a",)], "agent_id string")).first()
+    assert (r["persons"], r["locations"], r["documents"]) == (2, 1, 1)
+
+
 def test_cycles(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "x"), ("p", "q")], "u string, v string")
     assert {(r["node"], r["cycle"], r["size"]) for r in graph.circular_dependencies(e).collect()} == {("a", "a", 3), ("b", "a", 3), ("c", "a", 3), ("x", "x", 1)}
@@ -177,7 +238,7 @@ def test_rules(spark):
     m = memories(spark)
     assert {(r["id"], r["topic"]) for r in reports.auto_remember(m).collect()} == {("2", "dates")}
     assert one(spark, reports.should_remember(F.lit("I prefer my project"))[1]) == 0.7
-    assert math.isclose(reports.token_savings(spark.createDataFrame([("a", "s", "hit", "f", 1)], "agent_id string, session_id string, action string, file_path string, tokens long")).first()["hit_rate"], 100.0)
+    assert math.isclose(reports.token_savings(spark.createDataFrame([("a", "s", "hit", "f", 1)], "agent_id string, session_id string, action string, file_path string, tokens long"), spark.createDataFrame([], "agent_id string, file_path string, tokens long")).first()["hit_rate"], 100.0)
 
 
 def test_sources(spark, tmp_path):
