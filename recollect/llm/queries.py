@@ -112,6 +112,22 @@ with r as (
 select page_id, url, octet_length(encode(record))::bigint as length, sha256(record) as sha256,
   case page_id % 61 when 0 then 'changed' when 1 then 'changed' when 2 then 'missing' else 'ok' end as status
 from r""",
+    # all pairs that share a shingle, by the plain and by the weighted similarity; no buckets
+    "op5_near_dups": r"""
+with recursive base as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+texts as (select k, w, m, row_number() over () as n from (select array_to_string(w, ' ') as k, any_value(w) as w, count(*) as m from base where len(w) > 0 group by 1)),
+sh as (select n, m, s, count(*) as c from (select n, m, unnest(case when len(w) < 5 then [k] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from texts) group by 1, 2, 3),
+least_ as (select greatest(10, 0.01::double * (select count(*) from documents), (select sum(m) from sh) / 1e6) as t, (select count(*) from documents)::double as total),
+df as (select s, sum(m) as df from sh group by 1),
+ws as (select n, s, c, c * case when df > t then 1 - 0.25::double * ln(df / t) / ln(total / t) else 1 end as x from sh join df using (s), least_),
+tot as (select n, sum(c) as c, sum(x) as x from ws group by 1),
+met as (select a.n as a, b.n as b, sum(least(a.c, b.c)) as c, sum(least(a.x, b.x)) as x from ws a join ws b on a.s = b.s and a.n < b.n group by 1, 2),
+links as (select a, b from met join tot p on p.n = a join tot q on q.n = b where met.c >= 0.8 * (p.c + q.c - met.c) or met.x >= 0.8 * (p.x + q.x - met.x)),
+member as (select doc_id, n from base join texts on array_to_string(base.w, ' ') = k where doc_id is not null),
+both_ways as (select a, b from links union select b, a from links union select p.n, q.n from member p join member q using (doc_id)),
+reach(a, b) as (select n, n from texts union select r.a, l.b from reach r join both_ways l on r.b = l.a),
+class as (select p.doc_id, min(q.doc_id) as class_id from member p join reach on a = p.n join member q on q.n = b group by 1)
+select distinct doc_id, coalesce(class_id, doc_id) as class_id from base left join class using (doc_id) where doc_id is not null""",
     "op6_decontamination": """
 with d as (select doc_id, row_number() over () as r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
 b as (select coalesce(item_id::varchar, '') as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),

@@ -213,11 +213,12 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     """
     rows = rows.where("id is not null and text is not null")
     once = packed(rows.select("id", "key", "text")).groupBy("id", "key").agg(F.min("data").alias("data"))  # equal rows count once
-    found = written(stand_ins(rows), "substring-symbols")
-    each = found.select("id", "key", F.explode(F.array_distinct("symbols")).alias("symbol"))
-    shared = each.groupBy("symbol").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("symbol")
-    revealing = each.join(shared.hint("merge"), "symbol").groupBy("id", "key").agg(F.collect_set("symbol").alias("symbols"))
-    told = written(revealed_runs(once.join(revealing.hint("merge"), ["id", "key"]).select("id", "key", "data", "symbols")), "substring-runs")
+    with temporary(rows.sparkSession):  # the symbols are done with when the runs are told
+        found = written(stand_ins(rows), "substring-symbols")
+        each = found.select("id", "key", F.explode(F.array_distinct("symbols")).alias("symbol"))
+        shared = each.groupBy("symbol").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("symbol")
+        revealing = each.join(shared.hint("merge"), "symbol").groupBy("id", "key").agg(F.collect_set("symbol").alias("symbols"))
+        told = result(revealed_runs(once.join(revealing.hint("merge"), ["id", "key"]).select("id", "key", "data", "symbols")), "substring-runs")
 
     runs = told.select("id", "key", "symbol", "run", "place", F.size("hashes").alias("n"))
     contents = written(runs.groupBy("symbol", "run").agg(F.min("id").alias("low")), "substring-contents")
