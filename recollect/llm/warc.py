@@ -1,7 +1,7 @@
 """WARC files and a Merkle fixity audit of their replicas.
 
-An archive is a folder of WARC files, written by Spark's text writer with the end of a record as its line separator, so that a
-lost executor's files are written again and never twice. Each task writes its own rows in their order, a new file for each
+An archive is a folder of gzipped WARC files, written by Spark's text writer with the end of a record as its line separator, so
+that a lost executor's files are written again and never twice. Offsets are those in the unzipped file. Each task writes its own rows in their order, a new file for each
 FILE_BYTES: no key decides where a row goes. The index of an archive is read from its bytes.
 
 Records get hashes; the records of an ordered range of offsets of a file make a leaf; FANOUT leaves, in order, make
@@ -12,6 +12,7 @@ where it ends, records are compared.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 
@@ -45,8 +46,8 @@ def record_of(page_id: Column, url: Column, html: Column) -> Column:
 
 
 def _write(rows: DataFrame, path: str) -> None:
-    """Write rows (file, value), those of a file in order, as WARC files."""
-    rows.write.partitionBy("file").option("lineSep", END).text(path)
+    """Write rows (file, value), those of a file in order, as gzipped WARC files."""
+    rows.write.partitionBy("file").option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def archive(pages: DataFrame, path: str) -> None:
@@ -70,8 +71,8 @@ def archive(pages: DataFrame, path: str) -> None:
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame:
-    """(file, content) of the WARC files of a folder, of about FILE_BYTES or one record each."""
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)
+    """(file, content) of the WARC files of a folder, of about FILE_BYTES or one record each; gzipped."""
+    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt.gz").load(path)
     return files.select(F.regexp_extract("path", r"/file=(\d+)/", 1).cast("long").alias("file"), "content")
 
 
@@ -94,7 +95,7 @@ def index(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                content = content.as_py()
+                content = gzip.decompress(content.as_py())
                 found = records_of(content)
                 digests = [hashlib.sha256(content[a : a + n]).hexdigest() for a, n, _, _ in found]
                 rows = [[file] * len(found), *zip(*found), digests] if found else [[]] * 6
@@ -113,7 +114,7 @@ def digests(spark: SparkSession, path: str, known: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for file, content, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                content = content.as_py()
+                content = gzip.decompress(content.as_py())
                 cut = [(x["offset"], content[x["offset"] : x["offset"] + x["length"]]) for x in at]
                 cut = [(a, c) for a, c in cut if c.startswith(b"WARC/")]
                 yield pa.RecordBatch.from_arrays(
@@ -197,7 +198,7 @@ def damaged(spark: SparkSession, path: str, to: str) -> None:
     def run(batches):
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = bytearray(content.as_py())
+                data = bytearray(gzip.decompress(content.as_py()))
                 for at, n, key, _ in records_of(bytes(data)):
                     part = None if key is None else key % 61
                     if part == 0:

@@ -1,5 +1,6 @@
 """Near-duplicates, substrings, decontamination, pages, shards, archive and pipeline: against brute force on small tables."""
 
+import gzip
 import hashlib
 import html as html_module
 import itertools
@@ -463,7 +464,7 @@ def test_audit_finds_all_damage_and_only_that(spark, tmp_path, monkeypatch):
     kinds = {0: "changed", 1: "changed", 2: "missing"}
     assert all(r["status"] == ("ok" if r["page_id"] is None else kinds.get(r["page_id"] % 61, "ok")) for r in got)
     # the bytes of each file, cut at the offsets, are its records
-    files = {r["file"]: bytes(r["content"]) for r in warc.stored(spark, f"file://{tmp_path}/w/first").collect()}
+    files = {r["file"]: gzip.decompress(r["content"]) for r in warc.stored(spark, f"file://{tmp_path}/w/first").collect()}
     assert len(files) > 15 and all(len(c) <= 100_000 or c.count(b"WARC/1.1\r\n") == 1 for c in files.values())
     for file, content in files.items():
         own = sorted((r["offset"], r["length"], r["sha256"]) for r in got if r["file"] == file)
