@@ -75,6 +75,31 @@ def stream_sessions(spark, sf_dir):
     return st.last_batch(out, ["user_id", "start"])
 
 
+def stream_ttl_sessions(spark, sf_dir):
+    out = st.run_available(st.stream_ttl_sessions(_events(spark, sf_dir), "user_id", "48 hours"), "update", "stream-ttl-sessions")
+    return st.last_batch(out, ["user_id", "start"])
+
+
+def import_replace(spark, sf_dir):
+    """The memories of agents 1 to 3 give way to those of their even turns."""
+    m = dd.memories(spark, sf_dir)
+    new = m.where("agent_id in ('1', '2', '3') and ord % 2 = 0").withColumn("id", F.concat(F.lit("new-"), "id"))
+    return io.replace_memories(m, new).select("agent_id", "id")
+
+
+def export_bundle(spark, sf_dir):
+    """Rows of each kind and agent in a bundle that is written and read again."""
+    path = shared_path(spark, "bundle")
+    agent = lambda c: (F.col(c) % 10).cast("string").alias("agent_id")
+    documents = dd.table(spark, sf_dir, "documents").select(agent("doc_id"), F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("content"))
+    checkpoints = dd.session_events(spark, sf_dir).where("action = 'store'").select("agent_id", F.col("event_id").alias("id"), "ts")
+    io.export_bundle(dd.memories(spark, sf_dir), documents, checkpoints, path)
+    read = {"memories": io.read_memories(spark, f"{path}/memories"), "documents": spark.read.schema("id long, content string, agent_id string").json(f"{path}/documents"), "checkpoints": spark.read.schema("id long, ts timestamp, agent_id string").json(f"{path}/checkpoints")}
+    size = {"memories": F.length("content"), "documents": F.length("content"), "checkpoints": F.lit(0)}
+    each = [t.groupBy("agent_id").agg(F.count("*").alias("n"), F.sum(size[k]).alias("chars")).select(F.lit(k).alias("kind"), "agent_id", "n", "chars") for k, t in read.items()]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
 def stream_dedup(spark, sf_dir):
     rows = _events(spark, sf_dir).withColumn("hash_id", F.sha2(F.concat_ws(":", "user_id", "action", F.get_json_object("props", "$.k")), 256))
     return st.run_available(st.stream_dedup(rows, ["hash_id"]), "append", "stream-dedup").select("hash_id")
@@ -102,7 +127,7 @@ def concurrency_caps(spark, sf_dir):
 
 QUERIES = {
     f.__name__.rstrip("_"): f
-    for f in (read_memories, export_memories, import_memories, load_dialogues, chunk_definitions_, file_scope_filter, stream_activity, stream_sessions, stream_dedup, stream_index, stream_facts, concurrency_caps)
+    for f in (read_memories, export_memories, import_memories, load_dialogues, chunk_definitions_, file_scope_filter, stream_activity, stream_sessions, stream_ttl_sessions, import_replace, export_bundle, stream_dedup, stream_index, stream_facts, concurrency_caps)
 }
 SQL = {
     "read_memories": with_views("memories", body="select agent_id, id, content, array_to_string(keywords, ',') as keywords, importance, created_at from memories"),
@@ -115,6 +140,12 @@ SQL = {
     "stream_sessions": """with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 1 hour then 0 else 1 end as fresh from events),
 s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as n_ from g)
 select user_id, min(ts) as start, max(ts) + interval 1 hour as "end", count(*) as n from s group by user_id, n_""",
+    "stream_ttl_sessions": """with recursive s(user_id, start) as (select user_id, min(ts) from events group by 1
+ union all select s.user_id, min(e.ts) from s join events e on e.user_id = s.user_id and e.ts >= s.start + interval 48 hour group by s.user_id, s.start)
+select s.user_id, start, count(*) as n from s join events e on e.user_id = s.user_id and e.ts >= start and e.ts < start + interval 48 hour group by 1, 2""",
+    "import_replace": with_views("memories", body="select agent_id, id from memories where agent_id not in ('1', '2', '3') union all select agent_id, 'new-' || id from memories where agent_id in ('1', '2', '3') and ord % 2 = 0"),
+    "export_bundle": with_views("memories", "session_events", body="""select 'memories' as kind, agent_id, count(*) as n, sum(len(content))::bigint as chars from memories group by 2
+union all select 'documents', (doc_id % 10)::varchar, count(*), sum(len(coalesce(text, '')))::bigint from documents group by 2 union all select 'checkpoints', agent_id, count(*), 0 from session_events where action = 'store' group by 2"""),
     "stream_dedup": "select distinct sha256(user_id || ':' || event_type || ':' || json_extract_string(props, '$.k')) as hash_id from events",
     "stream_index": with_views("snapshots", body="""a as (select file_path, sha256(content) as hash_id from snap_a where file_path in (select file_path from snap_b)), b as (select file_path, sha256(content) as hash_id from snap_b)
 select file_path, hash_id, 'added' as change from (select * from b except select * from a) union all select file_path, hash_id, 'removed' from (select * from a except select * from b) union all select file_path, hash_id, 'unchanged' from (select * from a intersect select * from b)"""),

@@ -29,6 +29,18 @@ def import_memories(rows: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]
     return rows.where(good).withColumns({"source_id": F.col("id"), "id": F.expr("uuid()"), "imported_at": now}), rows.where(~good)
 
 
+def replace_memories(memories: DataFrame, rows: DataFrame) -> DataFrame:
+    """The memories after an import that replaces: those of the agents that the rows name give way to the rows."""
+    return memories.join(rows.select("agent_id").distinct().hint("merge"), "agent_id", "left_anti").select(*memories.columns).unionByName(rows.select(*memories.columns))
+
+
+def export_bundle(memories: DataFrame, documents: DataFrame, checkpoints: DataFrame, path: str) -> None:
+    """Memories, documents and checkpoints as JSON by agent, each kind in a folder of its own."""
+    export_memories(memories, f"{path}/memories")
+    documents.write.partitionBy("agent_id").json(f"{path}/documents")
+    checkpoints.write.partitionBy("agent_id").json(f"{path}/checkpoints")
+
+
 def load_dialogues(conversations: DataFrame, start: Column) -> DataFrame:
     """(conv_id, turn, speaker, content, ts): turns with content, a minute each from the start."""
     rows = conversations.where(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0)

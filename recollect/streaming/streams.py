@@ -6,9 +6,12 @@ batch after another, each written under its batch id so that a batch that runs a
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from recollect.functions.tables import shared_path
 from recollect.operators.maintain import delta_chunks
@@ -44,6 +47,28 @@ def stream_sessions(events: DataFrame, key: str = "user_id", gap: str = "1 hour"
     return s.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def stream_ttl_sessions(events: DataFrame, key: str, ttl: str = "24 hours") -> DataFrame:
+    """(key, start, n): sessions that live for a time from their first event, whatever comes within; the next event after it
+    begins another. A batch gives the sessions that it has begun or added to; the state of a key is its last session."""
+    length, kind = pd.Timedelta(ttl).to_timedelta64(), events.schema[key].dataType.simpleString()
+
+    def run(keys, frames, state):
+        times = np.sort(np.concatenate([f["ts"].to_numpy() for f in frames]))
+        start, n = (np.datetime64(state.get[0]), state.get[1]) if state.exists else (None, 0)
+        out, at = {}, 0
+        while at < len(times):
+            if start is None or times[at] >= start + length:
+                start, n = times[at], 0
+            until = int(np.searchsorted(times, start + length))
+            n, at = n + until - at, until
+            out[start] = n
+        state.update((pd.Timestamp(start).to_pydatetime(), n))
+        yield pd.DataFrame({key: [keys[0]] * len(out), "start": list(out), "n": list(out.values())})
+
+    rows = events.select(key, F.col("ts").cast("timestamp_ntz").alias("ts"))
+    return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, start timestamp_ntz, n long", "start timestamp_ntz, n long", "update", GroupStateTimeout.NoTimeout).withColumn("start", F.col("start").cast("timestamp"))
+
+
 def stream_dedup(rows: DataFrame, keys: list[str], late: str = "400 days") -> DataFrame:
     """The first row of each key within the watermark."""
     return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
@@ -54,7 +79,7 @@ def stream_index(chunks: DataFrame, registry: DataFrame) -> DataFrame:
     files whole. (file_path, hash_id, change, batch)"""
 
     def change(batch: DataFrame) -> DataFrame:
-        batch = batch.select("file_path", "hash_id").persist()
+        batch = batch.select("file_path", "hash_id")
         before = registry.join(batch.select("file_path").distinct().hint("merge"), "file_path", "left_semi")
         return delta_chunks(before, batch)
 
