@@ -4,7 +4,7 @@ Each text becomes a vector of four transformed statistics. For each language and
 determinant estimate is made by concentration steps: distances under the present estimate, the share H of rows
 with the least distances, mean and covariance of those, again. The cut between the nearest rows and the rest is
 found on a histogram of distances, so no group is sorted or collected in one task: a group may hold any share of
-the rows. Steps are repeated until the determinants stay. Of two starts the one with the smaller determinant stays, is reweighted, and rejects by squared
+the rows. Steps are repeated until the determinants stay, or come back. Of two starts the one with the smaller determinant stays, is reweighted, and rejects by squared
 Mahalanobis distance.
 """
 
@@ -21,7 +21,8 @@ from recollect.llm.shared import WORD, bounded_join, written
 SYMBOLS = r"[#*$%&|<>]"
 #: Share of rows that a concentration step keeps, and the smallest group with an own estimate.
 H, LEAST_ROWS = 0.75, 60
-#: Steps go on until no determinant changes; whole bins of the histogram may let the cut swing, so that they end after so many.
+#: Steps go on until the determinants are what they have been before (whole bins of the histogram may let the cut swing between
+#: two estimates), but not beyond so many.
 STEPS = 20
 #: Least standard deviation of each statistic: log word length, log symbol rate, log line-repeat rate, repeat angle.
 FLOORS = (0.08, 0.30, 0.30, 0.15)
@@ -168,12 +169,12 @@ def covariance_determinants(rows: DataFrame) -> DataFrame:
     # Start 0: all rows. Start 1: the rows with the least sum of squares, as statistics of clean text are near 0.
     least = F.when(F.col("start") == 0, F.lit(0.0)).otherwise(sum((F.col(f"x{i}") ** 2 / FLOORS[i] ** 2 for i in range(1, P)), F.lit(0.0)))
     found = written(estimates(nearest(both.withColumn("d2", F.round(least, 6)), starts, 0.5), starts, 1.0), "quality-start")
-    before = None
+    before: set = set()
     for _ in range(STEPS):
         now = found.agg(F.sum(F.round("logdet", 6).cast("decimal(38,6)"))).first()[0]
-        if now == before:
+        if now in before:
             break
-        before = now
+        before.add(now)
         found = written(estimates(nearest(with_distance(both, found, starts), starts, H), starts, CONSISTENT), "quality-step")
     best = found.groupBy("cell").agg(F.min(F.struct("logdet", "start", *[c for c in found.columns if c[0] in "ml" and c != "logdet"])).alias("b")).select("cell", "b.*")
     best = written(best, "quality-best")

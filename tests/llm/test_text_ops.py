@@ -232,12 +232,12 @@ def numpy_verdicts(docs):
         for start in (0, 1):
             d = np.round(np.square(rows[:, 1:] / floors[1:]).sum(1), 6) if start else np.zeros(len(rows))
             now[c, start] = estimate(nearest(rows, d, 0.5), 1.0)
-    before, logdet = None, lambda found: np.linalg.slogdet(found[1])[1]
+    before, logdet = [], lambda found: np.linalg.slogdet(found[1])[1]
     for _ in range(quality.STEPS):
         total = sum(round(logdet(f), 6) for f in now.values())
-        if before is not None and abs(total - before) < 1e-7:
+        if any(abs(total - t) < 1e-7 for t in before):
             break
-        before = total
+        before.append(total)
         now = {(c, k): estimate(nearest(members[c], distance(members[c], f), quality.H), quality.CONSISTENT) for (c, k), f in now.items()}
     final = {}
     for c, rows in members.items():
