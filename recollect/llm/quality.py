@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from recollect.llm.shared import WORD, bounded_join, written
+from recollect.llm.shared import WORD, bounded_join, fits, written
 
 SYMBOLS = r"[#*$%&|<>]"
 #: Share of rows that a concentration step keeps, and the smallest group with an own estimate.
@@ -140,45 +140,53 @@ def estimates(rows: DataFrame, keys: list[str], factor: float) -> DataFrame:
     return out.select(*keys, "n", "logdet", *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)])
 
 
-def with_distance(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+def with_groups(rows: DataFrame, right: DataFrame, on, how: str, few: bool | None) -> DataFrame:
+    """Join a row for each group: broadcast if the groups are few (None: count them), else sort-merge."""
+    if few is None:
+        return bounded_join(rows, right, on, how, 2 * BROADCAST_GROUPS)
+    return rows.join(F.broadcast(right) if few else right.hint("merge"), on, how)
+
+
+def with_distance(rows: DataFrame, found: DataFrame, keys: list[str], few: bool | None = None) -> DataFrame:
     """Add the squared Mahalanobis distance under the group's estimate."""
     right = found.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in found.columns if c[0] in "ml" and c != "logdet"])
     on = [F.col(k) == F.col(f"__{k}") for k in keys]
-    out = bounded_join(rows, right, on, "left", 2 * BROADCAST_GROUPS)
+    out = with_groups(rows, right, on, "left", few)
     for i in range(P):
         out = out.withColumn(f"z{i}", (F.col(f"x{i}") - F.col(f"m{i}") - sum((F.col(f"l{i}{k}") * F.col(f"z{k}") for k in range(i)), F.lit(0.0))) / F.col(f"l{i}{i}"))
     out = out.withColumn("d2", F.round(sum((F.col(f"z{i}") ** 2 for i in range(P)), F.lit(0.0)), 6))
     return out.drop(*right.columns, *[f"z{i}" for i in range(P)])
 
 
-def nearest(rows: DataFrame, keys: list[str], share: float) -> DataFrame:
+def nearest(rows: DataFrame, keys: list[str], share: float, few: bool | None = None) -> DataFrame:
     """The rows up to the histogram bin that completes the share with the least distances."""
     rows = rows.withColumn("bin", F.floor(32 * F.log2(1 + F.col("d2"))))
     bins = rows.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
     total, up_to = W.partitionBy(*keys), W.partitionBy(*keys).orderBy("bin")
     cut = bins.withColumns({"all": F.sum("n").over(total), "cum": F.sum("n").over(up_to)}).where(F.col("cum") >= share * F.col("all")).groupBy(*keys).agg(F.min("bin").alias("cut"))
     cut = written(cut.select(*[F.col(k).alias(f"__{k}") for k in keys], "cut"), "quality-cut")
-    out = bounded_join(rows, cut, [F.col(k) == F.col(f"__{k}") for k in keys], "inner", 2 * BROADCAST_GROUPS)
+    out = with_groups(rows, cut, [F.col(k) == F.col(f"__{k}") for k in keys], "inner", few)
     return out.where(F.col("bin") <= F.col("cut")).drop(*cut.columns, "bin", "d2")
 
 
 def covariance_determinants(rows: DataFrame) -> DataFrame:
     """Minimum covariance determinant estimate of each cell of (cell, x0..x3)."""
     starts = ["cell", "start"]
+    few = fits(rows.select("cell").distinct(), BROADCAST_GROUPS)  # so 2 x BROADCAST_GROUPS rows at most are sent
     both = rows.select("cell", *[f"x{i}" for i in range(P)], F.explode(F.array(F.lit(0), F.lit(1))).alias("start"))
     # Start 0: all rows. Start 1: the rows with the least sum of squares, as statistics of clean text are near 0.
     least = F.when(F.col("start") == 0, F.lit(0.0)).otherwise(sum((F.col(f"x{i}") ** 2 / FLOORS[i] ** 2 for i in range(1, P)), F.lit(0.0)))
-    found = written(estimates(nearest(both.withColumn("d2", F.round(least, 6)), starts, 0.5), starts, 1.0), "quality-start")
+    found = written(estimates(nearest(both.withColumn("d2", F.round(least, 6)), starts, 0.5, few), starts, 1.0), "quality-start")
     before: set = set()
     for _ in range(STEPS):
         now = found.agg(F.sum(F.round("logdet", 6).cast("decimal(38,6)"))).first()[0]
         if now in before:
             break
         before.add(now)
-        found = written(estimates(nearest(with_distance(both, found, starts), starts, H), starts, CONSISTENT), "quality-step")
+        found = written(estimates(nearest(with_distance(both, found, starts, few), starts, H, few), starts, CONSISTENT), "quality-step")
     best = found.groupBy("cell").agg(F.min(F.struct("logdet", "start", *[c for c in found.columns if c[0] in "ml" and c != "logdet"])).alias("b")).select("cell", "b.*")
     best = written(best, "quality-best")
-    near = with_distance(rows.select("cell", *[f"x{i}" for i in range(P)]), best, ["cell"]).where(F.col("d2") <= REWEIGHT)
+    near = with_distance(rows.select("cell", *[f"x{i}" for i in range(P)]), best, ["cell"], few).where(F.col("d2") <= REWEIGHT)
     return written(estimates(near, ["cell"], CONSISTENT_REWEIGHT), "quality-estimates")
 
 
