@@ -29,11 +29,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """Broadcast a side whose counted rows fit the bound, else ask for a sort-merge join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
-
-
 def top_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, per_row: Column | None = None) -> DataFrame:
     """The first k rows of each key, with `rank`. The literal bound lets Spark prune before the shuffle; per_row is a
     smaller bound of the row's own."""
