@@ -88,6 +88,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity(table(spark, sf_dir, "pages"), new_path(spark, "warc")).select("page_id", "url", "length", "sha256", "status")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"), top=2000)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_html_text": op2_html_text,
@@ -99,6 +105,7 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_bpe": op9_bpe,
     "op10_warc": op10_warc,
+    "op11_collocations": op11_collocations,
 }
 
 SQL: dict[str, str] = {
@@ -112,6 +119,20 @@ with r as (
 select page_id, url, octet_length(encode(record))::bigint as length, sha256(record) as sha256,
   case page_id % 61 when 0 then 'changed' when 1 then 'changed' when 2 then 'missing' else 'ok' end as status
 from r""",
+    "op11_collocations": r"""
+with pieces as (select coalesce(lang, 'und') as lang, regexp_extract_all(x, '[^\x20\x09]+') as w from (select lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as x from documents)),
+runs as (select lang, k, array_to_string(w[i:i + k - 1], ' ') as p, w[i:i + k - 1] as t from pieces, unnest([1, 2, 3]) as s(k), unnest(range(1, len(w) - k + 2)) as u(i)),
+f as (select lang, k, p, any_value(t) as t, count(*) as a from runs group by 1, 2, 3),
+sizes as (select lang, sum(a) as n from f where k = 1 group by 1),
+cand as (select * from f where k >= 2 and a >= 10),
+inner_ as (select lang, array_to_string(t[1:2], ' ') as p, a from cand where k = 3 union all select lang, array_to_string(t[2:3], ' '), a from cand where k = 3),
+longer as (select lang, p, max(a) as b from inner_ group by 1, 2),
+kept as (select c.* from cand c left join longer using (lang, p) where k = 3 or b is null or 100 * b < 50 * a),
+cuts as (select c.lang, c.p, c.a, j, x.a as l, y.a as r, (1000000::hugeint * c.a::hugeint * c.a::hugeint) // (x.a::hugeint * y.a::hugeint) as score
+  from kept c, unnest([1, 2]) as s(j), f x, f y where j < c.k and x.lang = c.lang and x.p = array_to_string(c.t[1:j], ' ') and x.k = j and y.lang = c.lang and y.p = array_to_string(c.t[j + 1:c.k], ' ') and y.k = c.k - j),
+best as (select lang, p, a, min({'s': score, 'j': j, 'l': l, 'r': r}) as b from cuts group by 1, 2, 3),
+ranked as (select lang, row_number() over (partition by lang order by b.s desc, a desc, encode(p)) as rank, p, a, b from best)
+select lang, rank::bigint as rank, p as phrase, a::bigint as a, b.l::bigint as l, b.r::bigint as r, n::bigint as n, b.s::bigint as score from ranked join sizes using (lang) where rank <= 2000""",
     # all pairs that share a shingle, by the plain and by the weighted similarity; no buckets
     "op5_near_dups": r"""
 with recursive base as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
