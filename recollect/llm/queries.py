@@ -94,6 +94,31 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"), top=2000)
 
 
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.clusters import clusters
+
+    return clusters(table(spark, sf_dir, "embeddings"))
+
+
+def _clusters_sql(k: int, rounds: int) -> str:
+    """Assignments (a0, ...) and centroids (c0, ...) of all rounds, one after another."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"a{i} as materialized (select n, min({{'s': s, 'c': c}}).c as c, min(s) as s from (select n, c, sum((e.x - c.x)::hugeint * (e.x - c.x)) as s from e join c{i} c using (d) group by n, c) group by n)")
+        move = f"select a.c, e.d, sum(e.x) as t, count(*) as m from a{i} a join e using (n) group by 1, 2"
+        steps.append(f"c{i + 1} as materialized (select c.c, c.d, coalesce((t - ((t % m) + m) % m) // m, c.x)::bigint as x from c{i} c left join ({move}) using (c, d))")
+    steps.pop()
+    return f"""
+with v as materialized (select vec_id, row_number() over () as n, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as x from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+e as materialized (select n, unnest(x) as x, generate_subscripts(x, 1) as d from v),
+seed as (select row_number() over (order by sha256('3:' || vec_id), x) - 1 as c, x from v),
+c0 as materialized (select c, unnest(x) as x, generate_subscripts(x, 1) as d from seed where c < {k}),
+{", ".join(steps)},
+told as (select c, sha256(string_agg(x::varchar, ',' order by d)) as h from c{rounds} group by c)
+select vec_id, c::int as cluster, s::bigint as distance, (sum(s) over (partition by c))::bigint as cluster_inertia, (sum(s) over ())::bigint as inertia, h as centroid_sha256
+from v join a{rounds} using (n) join told using (c)"""
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_html_text": op2_html_text,
@@ -106,9 +131,11 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_warc": op10_warc,
     "op11_collocations": op11_collocations,
+    "op12_clusters": op12_clusters,
 }
 
 SQL: dict[str, str] = {
+    "op12_clusters": _clusters_sql(8, 10),
     "op10_warc": """
 with r as (
   select page_id, url, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::varchar, '')
