@@ -1,6 +1,6 @@
 """Phrase collocation mining: broadcast double-array tries of Apriori-safe candidates, walked by all text positions at once.
 
-Texts are read once and kept as shards: about 8 MB of text as numbers of words, with the shard's own distinct words, their
+Texts are read once and kept as shards: about 4 MB of text as numbers of words, with the shard's own distinct words, their
 hashes and counts. Level by level, a phrase is a candidate if it occurs and its parts of one word less are frequent; that is
 told by bitmaps of fixed size, which can only let too many through. The candidates that reach the least count in capped sums go
 into double-array tries of a bounded number of phrases; a task moves the states of all positions of a shard on by a word at a
@@ -42,7 +42,7 @@ def shard(text: bytes, starts: list[int], langs: list[str], lead: int, salt: int
     cuts = np.concatenate([[0], np.cumsum(kind[begin] == 2)])
     before = cuts[:-1][word]
     begin, end = begin[word], end[word]
-    number, distinct = numbered(low, begin, end)
+    number, distinct = numbered(low, kind == 0, end - begin)
     lang = np.searchsorted(starts, begin, "right") - 1
     names = sorted(set(langs))
     places = {x: i for i, x in enumerate(names)}

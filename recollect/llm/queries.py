@@ -119,6 +119,12 @@ select vec_id, c::int as cluster, s::bigint as distance, (sum(s) over (partition
 from v join a{rounds} using (n) join told using (c)"""
 
 
+def op13_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.classifier import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_html_text": op2_html_text,
@@ -132,6 +138,7 @@ QUERIES = {
     "op10_warc": op10_warc,
     "op11_collocations": op11_collocations,
     "op12_clusters": op12_clusters,
+    "op13_classifier": op13_classifier,
 }
 
 SQL: dict[str, str] = {

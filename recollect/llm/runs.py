@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer text is cut between words.
-SIZE = 1 << 23
+SIZE = 1 << 22
 
 
 def classes(*sets: bytes) -> np.ndarray:
@@ -28,15 +28,14 @@ def runs(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], cuts]), np.concatenate([cuts, [len(kind)]])
 
 
-def numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """The number of each stretch of bytes among the distinct ones, and these in the order of their numbers."""
-    if not len(starts):
+def numbered(data: np.ndarray, kept: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The number of each run among the distinct ones, and these in the order of their numbers: the runs are the bytes that the
+    mask keeps, one after another, of the sizes given."""
+    if not len(sizes):
         return np.zeros(0, np.int64), []
-    sizes = ends - starts
-    offsets = np.zeros(len(starts) + 1, np.int64)
+    offsets = np.zeros(len(sizes) + 1, np.int64)
     np.cumsum(sizes, out=offsets[1:])
-    at = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], sizes)
-    found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[at])]).dictionary_encode()
+    found = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data[kept])]).dictionary_encode()
     return found.indices.to_numpy().astype(np.int64), found.dictionary.to_pylist()
 
 
