@@ -28,8 +28,8 @@ KINDS = classes(b" \t", b".,;:!?\n\x0b\x0c\r")
 _SEPARATOR = re.compile(rb"[ \t.,;:!?\n-\r]")
 #: Longs of a bitmap (8 MB), phrases of a trie, children from which a node has a range of its own, salts of the top lists.
 SLOTS, PHRASES, WIDE, SALTS = 1 << 20, 2_000_000, 32, 32
-#: Rows of documents, and shards, of an Arrow batch.
-ROWS, SHARDS = 512, 2
+#: Rows of documents, shards, and rows of phrases of an Arrow batch.
+ROWS, SHARDS, TOLD = 512, 1, 1 << 15
 
 
 def shard(text: bytes, starts: list[int], langs: list[str], lead: int, salt: int) -> tuple[list, np.ndarray]:
@@ -153,7 +153,9 @@ def candidates(held: DataFrame, bits: list[np.ndarray], least: int) -> DataFrame
         for batch in batches:
             for ids, lead, hashes in zip(batch.column(0), batch.column(1), batch.column(2)):
                 words, counts = occurring(ids.values.to_numpy(), lead.as_py(), hashes.values.to_numpy(), sent.value)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, words), pa.array(np.minimum(counts, least).astype(np.int32))], [*names, "n"])
+                columns = [*words, np.minimum(counts, least).astype(np.int32)]
+                for k in range(0, len(counts), TOLD):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + TOLD]) for c in columns], [*names, "n"])
 
     rows = held.select("ids", "lead", "hashes").mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", n int")
     found = written(rows.groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= least).select(*names), "candidates", rows=SHARDS)
@@ -252,9 +254,10 @@ class DoubleArray:
         """(key array<bigint>, a) of the accepting states that were reached."""
         for level, (begin, end) in enumerate(self.spans):
             states = begin + np.flatnonzero(self.accept[begin:end] & (counts[begin:end] > 0))
-            words = np.stack(self.phrases(level, states), 1)
-            offsets = np.arange(len(states) + 1, dtype=np.int32) * (level + 1)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(words.ravel())), pa.array(counts[states])], ["key", "a"])
+            for some in (states[k : k + TOLD] for k in range(0, len(states), TOLD)):
+                words = np.stack(self.phrases(level, some), 1)
+                offsets = np.arange(len(some) + 1, dtype=np.int32) * (level + 1)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(words.ravel())), pa.array(counts[some])], ["key", "a"])
 
 
 def counted(held: DataFrame, phrases: DataFrame, longest: int) -> DataFrame:
