@@ -59,7 +59,7 @@ def chunk_definitions_(spark, sf_dir):
 def file_scope_filter(spark, sf_dir):
     q = cs.prepared_queries(_queries(spark, sf_dir), 5, CONCEPTS).select("query_id", "file_filter")
     c = dd.chunks(spark, sf_dir).select(F.lower("file_path").alias("p"))
-    return c.join(F.broadcast(q), cs.in_scope(F.col("p"), F.col("file_filter"))).groupBy("query_id").agg(F.count("*").alias("n"))
+    return cs.scope_sizes(c.withColumnRenamed("p", "l_path"), q)
 
 
 def _events(spark, sf_dir):
