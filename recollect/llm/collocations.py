@@ -81,6 +81,7 @@ def shards(docs: DataFrame, longest: int, salt: int, lang_col: str, text_col: st
             for ids, lead, hashes, names, words, counts in shards_of(langs, texts, longest, salt):
                 one = lambda x, kind: pa.array([x], pa.list_(kind))
                 yield pa.RecordBatch.from_arrays([one(ids, pa.int32()), pa.array([lead], pa.int32()), one(hashes, pa.int64()), one(names, pa.string()), one(words, pa.string()), one(counts, pa.int64())], ["ids", "lead", "hashes", "langs", "words", "counts"])
+            pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     return written(rows.mapInArrow(run, _SHARD), "shards", rows=ROWS)
@@ -156,6 +157,7 @@ def candidates(held: DataFrame, bits: list[np.ndarray], least: int) -> DataFrame
                 columns = [*words, np.minimum(counts, least).astype(np.int32)]
                 for k in range(0, len(counts), TOLD):
                     yield pa.RecordBatch.from_arrays([pa.array(c[k : k + TOLD]) for c in columns], [*names, "n"])
+                pa.default_memory_pool().release_unused()
 
     rows = held.select("ids", "lead", "hashes").mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", n int")
     found = written(rows.groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= least).select(*names), "candidates", rows=SHARDS)
@@ -236,7 +238,8 @@ class DoubleArray:
                 slot = self.base[state] + ((code[place + level] >> 8 * k) & 255)
                 on = self.check[slot] == state
                 place, state = place[on], slot[on]
-            into += np.bincount(state[place >= lead - level], minlength=len(into))
+            reached, n = np.unique(state[place >= lead - level], return_counts=True)
+            into[reached] += n
 
     def phrases(self, level: int, states: np.ndarray) -> list[np.ndarray]:
         """Hashes of the words that lead to states of a level, read off the arrays from the end."""
@@ -280,6 +283,7 @@ def counted(held: DataFrame, phrases: DataFrame, longest: int) -> DataFrame:
             for batch in batches:
                 for ids, lead, hashes in zip(batch.column(0), batch.column(1), batch.column(2)):
                     trie.counts(ids.values.to_numpy(), lead.as_py(), hashes.values.to_numpy(), into)
+                pa.default_memory_pool().release_unused()
             yield from trie.told(into)
 
         rows = held.select("ids", "lead", "hashes").mapInArrow(run, "key array<bigint>, a bigint")
