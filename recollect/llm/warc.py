@@ -1,13 +1,13 @@
 """WARC files and a Merkle fixity audit of their replicas.
 
-An archive is a folder of gzipped WARC files, written by Spark's text writer with the end of a record as its line separator, so
-that a lost executor's files are written again and never twice. Offsets are those in the unzipped file. Each task writes its own rows in their order, a new file for each
-FILE_BYTES: no key decides where a row goes. The index of an archive is read from its bytes.
-
-Records get hashes; the records of an ordered range of offsets of a file make a leaf; FANOUT leaves, in order, make
-a node, and so on up to a file's root; FANOUT files make a node, up to one root for the archive. An audit compares the
-roots of two replicas and goes down only where they differ, so equal branches are never read again; in the ranges
-where it ends, records are compared.
+An archive is a folder of WARC files in which each record is a gzip member of its own, so that a record can be read from its offset
+alone. Spark's text writer writes them, with an empty gzip member as its line separator: a lost executor's files are
+written again and never twice. Each task writes its own rows in their order, a new file for each FILE_BYTES: no key decides where a
+row goes. An index of an archive, or of a replica, is read from its own stored bytes: damaged ones are told, not met with an error.
+
+Records get hashes of their stored bytes; the records of an ordered range of offsets of a file make a leaf; FANOUT leaves, in order,
+make a node, and so on up to a file's root; FANOUT files make a node, up to one root for the archive. An audit compares the roots of
+two replicas and goes down only where they differ; records are compared from the first range on in which a file differs.
 """
 
 from __future__ import annotations
@@ -15,22 +15,28 @@ from __future__ import annotations
 import gzip
 import hashlib
 import re
+import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recollect.llm.shared import pieces, written
 
-#: Bytes at which a file ends, files that a task may write, bytes of a leaf's range, and children of a node.
-FILE_BYTES, TASK_FILES, RANGE_BYTES, FANOUT = 1 << 23, 4096, 1 << 16, 16
+#: Stored bytes at which a file ends, files that a task may write, bytes of a leaf's range, and children of a node.
+FILE_BYTES, TASK_FILES, RANGE_BYTES, FANOUT = 1 << 25, 1 << 20, 1 << 16, 16
 DATE = "2020-01-01T00:00:00Z"
 END = "\r\n\r\n"
-_ID = re.compile(rb"\r\nWARC-Record-ID: <urn:page:(-?[0-9]*)>")
-_URL = re.compile(rb"\r\nWARC-Target-URI: ([^\r\n]*)")
-_LENGTH = re.compile(rb"\r\nContent-Length: ([0-9]+)")
-INDEX = "file long, offset long, length long, page_id long, url string, sha256 string"
+#: An empty gzip member: stands behind each record.
+EMPTY = bytes([0x1F, 0x8B, 8, 0, 0, 0, 0, 0, 0, 0xFF, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0])
+_MAGIC = b"\x1f\x8b\x08"
+#: Bytes that are unzipped at once.
+STEP = 1 << 16
+_PAGE = re.compile(r"<urn:page:(-?[0-9]{1,18})>")
+INDEX = "file long, offset long, stored long, stored_sha256 string, state string, record_id string, page_id long, url string, length long, sha256 string"
 
 
 def record_of(page_id: Column, url: Column, html: Column) -> Column:
@@ -46,97 +52,138 @@ def record_of(page_id: Column, url: Column, html: Column) -> Column:
 
 
 def _write(rows: DataFrame, path: str) -> None:
-    """Write rows (file, value), those of a file in order, as gzipped WARC files."""
-    rows.write.partitionBy("file").option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
+    """Write rows (file, value), gzip members, those of a file in order, as WARC files."""
+    rows.select("file", F.col("value").cast("string").alias("value")).write.partitionBy("file").option("lineSep", EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+
+
+def member(record: bytes) -> bytes:
+    return gzip.compress(record, 1, mtime=0)
 
 
 def archive(pages: DataFrame, path: str) -> None:
     """Write pages (page_id, url, html) as WARC files, a record for each row; no shuffle. An empty table makes no file."""
 
     def run(batches):
-        file, size, at = TaskContext.get().partitionId() * TASK_FILES, 0, 0
+        file, size, at, last = TaskContext.get().partitionId() * TASK_FILES, 0, 0, (TaskContext.get().partitionId() + 1) * TASK_FILES - 1
         for batch in pieces(batches, 0):
-            files, places = [], []
-            for n in batch.column(0).to_pylist():
-                if size and size + len(n) > FILE_BYTES:
+            files, places, members = [], [], []
+            for record in batch.column(0).to_pylist():
+                stored = member(record + END.encode())
+                if size and size + len(stored) > FILE_BYTES:
                     file, size = file + 1, 0
-                size, at = size + len(n) + len(END), at + 1
+                    if file > last:
+                        raise ValueError(f"a task writes {TASK_FILES} files at most")
+                size, at = size + len(stored) + len(EMPTY), at + 1
                 files.append(file)
                 places.append(at)
-            yield pa.RecordBatch.from_arrays([pa.array(files, pa.int64()), pa.array(places, pa.int64()), batch.column(0)], ["file", "place", "value"])
+                members.append(stored)
+            yield pa.RecordBatch.from_arrays([pa.array(files, pa.int64()), pa.array(places, pa.int64()), pa.array(members, pa.binary())], ["file", "place", "value"])
 
     rows = pages.select(record_of(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html")).cast("binary").alias("value"))
-    placed = rows.mapInArrow(run, "file long, place long, value binary")
-    _write(placed.sortWithinPartitions("file", "place").select("file", F.col("value").cast("string").alias("value")), path)
+    _write(rows.mapInArrow(run, "file long, place long, value binary").sortWithinPartitions("file", "place"), path)
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame:
-    """(file, content) of the WARC files of a folder, of about FILE_BYTES or one record each; gzipped."""
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt.gz").load(path)
+    """(file, content) of the WARC files of a folder, of about FILE_BYTES or one record each. A local file system's own checksums
+    aren't looked at: it is the audit that tells damage."""
+    raw = spark.read.option("fs.file.impl", "org.apache.hadoop.fs.RawLocalFileSystem").option("fs.file.impl.disable.cache", True)
+    files = raw.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path)
     return files.select(F.regexp_extract("path", r"/file=(\d+)/", 1).cast("long").alias("file"), "content")
 
 
-def records_of(content: bytes) -> list[tuple[int, int, int | None, str | None]]:
-    """(offset, length, page id, address) of the records of a file, by the lengths in their headers."""
-    out, at = [], 0
+def unzipped(content: bytes, at: int) -> tuple[str, bytes, int]:
+    """State (ok, truncated, unreadable), what a gzip member at an offset holds, and the offset behind it."""
+    reader, out, end = zlib.decompressobj(31), [], at
+    try:
+        while not reader.eof and end < len(content):
+            out.append(reader.decompress(content[end : end + STEP]))
+            end = min(end + STEP, len(content))
+    except zlib.error:
+        return "unreadable", b"", at
+    return ("ok" if reader.eof else "truncated"), b"".join(out), end - len(reader.unused_data)
+
+
+def headers(record: bytes) -> dict[str, str] | None:
+    """Header fields of a WARC record, names in lower case; None if it isn't one, or its header is cut off."""
+    end = record.find(b"\r\n\r\n")
+    if not record.startswith(b"WARC/") or end < 0:
+        return None
+    lines = record[:end].decode("utf-8", "replace").split("\r\n")[1:]
+    return {k.strip().lower(): v.strip() for k, sep, v in (x.partition(":") for x in lines) if sep}
+
+
+def size_of(record: bytes, known: dict[str, str]) -> int | None:
+    """Bytes of a record by its header; None if that doesn't say."""
+    length = known.get("content-length", "")
+    return record.find(b"\r\n\r\n") + 4 + int(length) + 4 if length.isascii() and length.isdigit() and len(length) < 19 else None
+
+
+def told(at: int, stored: bytes, record: bytes, state: str) -> tuple:
+    """A row of an index, but for its file."""
+    known = headers(record)
+    if state == "ok" and (known is None or (size := size_of(record, known)) is None or len(record) > size):
+        state = "unreadable"
+    elif state == "ok" and len(record) < size:
+        state = "truncated"
+    known = known or {}
+    page = _PAGE.fullmatch(known.get("warc-record-id", ""))
+    digest = hashlib.sha256(record).hexdigest() if state == "ok" else None
+    return at, len(stored), hashlib.sha256(stored).hexdigest(), state, known.get("warc-record-id"), int(page[1]) if page else None, known.get("warc-target-uri"), len(record) if state == "ok" else None, digest
+
+
+def members(content: bytes) -> Iterator[tuple[int, bytes, bytes, str]]:
+    """(offset, stored bytes, record, state) of the members of a file, or of its records if it isn't zipped. Behind what can't be read
+    it goes on at the next place where a member can be."""
+    at = 0
     while at < len(content):
-        body = content.index(b"\r\n\r\n", at) + 4
-        header = content[at:body]
-        end = body + int(_LENGTH.search(header)[1]) + 4
-        key, url = _ID.search(header)[1], _URL.search(header)
-        out.append((at, end - at, int(key) if key else None, url[1].decode("utf-8") if url else None))
+        if content.startswith(EMPTY, at):
+            at += len(EMPTY)
+            continue
+        if content.startswith(b"WARC/", at):
+            known = headers(content[at:])
+            size = size_of(content[at:], known) if known else None
+            end = min(at + size, len(content)) if size else len(content)
+            state, record = ("ok" if size and at + size <= len(content) else "truncated"), content[at:end]
+        else:
+            state, record, end = unzipped(content, at)
+            if state != "ok":
+                end = content.find(_MAGIC, at + 1)
+                while end >= 0 and unzipped(content, end)[0] != "ok":
+                    end = content.find(_MAGIC, end + 1)
+                state, end = ("unreadable", end) if end >= 0 else (state, len(content))
+        yield at, content[at:end], record, state
         at = end
-    return out
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
-    """(file, offset, length, page_id, url, sha256) of the records of an archive, read from its files."""
+    """Of the records of an archive, read from its files: (file, offset, stored, stored_sha256, state, record_id, page_id, url, length,
+    sha256). stored: bytes in the file; state: ok, truncated (the file or the record ends too soon) or unreadable (not a gzip member, or
+    not a WARC record); length and sha256: of the record itself, null if it can't be read. Any record id is taken; page_id is that of
+    ids of this archive."""
+    names = [x.split()[0] for x in INDEX.split(", ")]
+    kinds = [pa.string() if x.endswith("string") else pa.int64() for x in INDEX.split(", ")]
 
     def run(batches):
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                content = gzip.decompress(content.as_py())
-                found = records_of(content)
-                digests = [hashlib.sha256(content[a : a + n]).hexdigest() for a, n, _, _ in found]
-                rows = [[file] * len(found), *zip(*found), digests] if found else [[]] * 6
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], [x.split()[0] for x in INDEX.split(", ")])
+                rows = [(file, *told(*x)) for x in members(content.as_py())]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
     return stored(spark, path).mapInArrow(run, INDEX)
 
 
-def digests(spark: SparkSession, path: str, known: DataFrame) -> DataFrame:
-    """(file, offset, length, sha256) of the records that a replica holds at the places of an index; those whose bytes aren't
-    there, or don't begin as a record, are left out."""
-    places = known.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("places"))  # of one file
-    both = stored(spark, path).join(places.withColumnRenamed("file", "__file").hint("merge"), F.col("file") == F.col("__file")).select("file", "content", "places")
-
-    def run(batches):
-        for batch in batches:
-            for file, content, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                content = gzip.decompress(content.as_py())
-                cut = [(x["offset"], content[x["offset"] : x["offset"] + x["length"]]) for x in at]
-                cut = [(a, c) for a, c in cut if c.startswith(b"WARC/")]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([file] * len(cut), pa.int64()), pa.array([a for a, _ in cut], pa.int64()), pa.array([len(c) for _, c in cut], pa.int64()), pa.array([hashlib.sha256(c).hexdigest() for _, c in cut], pa.string())],
-                    ["file", "offset", "length", "sha256"],
-                )
-
-    return both.mapInArrow(run, "file long, offset long, length long, sha256 string")
-
-
 def _hash_of(parts: Column) -> Column:
     return F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(parts)), lambda x: F.concat_ws(":", *[x[k].cast("string") for k in ("a", "b", "h")])), "\n"), 256)
 
 
 def tree(found: DataFrame, depth: int, height: int) -> list[DataFrame]:
-    """Levels of the tree of records (file, offset, length, sha256), leaves first: each (file, node, hash).
+    """Levels of the tree of records (file, offset, stored, stored_sha256), leaves first: each (file, node, hash).
 
     Of depth + 1 levels a node gathers FANOUT nodes of its file, then height levels gather FANOUT files. A
     group holds one range's records, or FANOUT children.
     """
     leaf = found.groupBy("file", F.floor(F.col("offset") / RANGE_BYTES).cast("long").alias("node")).agg(
-        _hash_of(F.struct(F.col("offset").alias("a"), F.col("length").alias("b"), F.col("sha256").alias("h"))).alias("hash")
+        _hash_of(F.struct(F.col("offset").alias("a"), F.col("stored").alias("b"), F.col("stored_sha256").alias("h"))).alias("hash")
     )
     levels = [written(leaf, "merkle-0")]
     for k in range(depth + height):
@@ -160,12 +207,8 @@ def shape(*found: DataFrame) -> tuple[int, int]:
     return depth, height
 
 
-def audit(first: DataFrame, second: DataFrame) -> DataFrame:
-    """(file, offset, status) of the records in which two replicas (file, offset, length, sha256) differ.
-
-    status: changed, missing (not in the second), extra (only in the second). Equal replicas, and two empty ones, give no
-    row. A file or range that one replica hasn't got differs, down to its records.
-    """
+def mismatches(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(file, node): the ranges of offsets in which the records of two replicas differ, found from the roots down."""
     depth, height = shape(first, second)
     a, b = tree(first, depth, height), tree(second, depth, height)
     wrong: DataFrame | None = None
@@ -182,45 +225,75 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
         wrong = written(both.where(~F.col("x").eqNullSafe(F.col("y"))).select("file", "node"), "mismatches")
         if wrong.isEmpty():
             break
-    ranges = wrong.select(F.col("file").alias("__file"), F.col("node").alias("__node"))
-    inside = (F.col("file") == F.col("__file")) & (F.floor(F.col("offset") / RANGE_BYTES) == F.col("__node"))
-    left, right = (x.join(ranges.hint("merge"), inside, "left_semi") for x in (first, second))
-    left = left.select("file", "offset", F.struct("length", "sha256").alias("x"))
-    right = right.select("file", "offset", F.struct("length", "sha256").alias("y"))
-    status = F.when(F.col("y").isNull(), "missing").when(F.col("x").isNull(), "extra").otherwise("changed")
-    return left.join(right.hint("merge"), ["file", "offset"], "full").where(~F.col("x").eqNullSafe(F.col("y"))).select("file", "offset", status.alias("status"))
+    return wrong
+
+
+def audit(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(file, offset, status, side) of the records in which the second of two replicas (indexes) isn't the first.
+
+    status: changed (a record with the same id has other bytes), unreadable or truncated (the second's bytes at this place can't
+    be read), missing (not in the second; side `first`) and extra (only in the second; side `second`, also for what can't be
+    read where the first has no record). A record that stands elsewhere in its file with the same bytes, behind one that
+    was added or lost, is right. Equal replicas, and two empty ones, give no row; a file that one hasn't got differs in
+    all its records. Equal records are compared one by one, in order.
+    """
+    start = mismatches(first, second).groupBy("file").agg((F.min("node") * RANGE_BYTES).alias("__start")).withColumnRenamed("file", "__file")
+    inside = (F.col("file") == F.col("__file")) & (F.col("offset") >= F.col("__start"))
+
+    def numbered(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy("offset")))
+
+    kept = ["file", "offset", "stored_sha256", "state", "record_id"]
+    left, right = (numbered(x.select(*kept).join(start.hint("merge"), inside, "left_semi"), "file", "stored_sha256") for x in (first, second))
+    same = ["file", "stored_sha256", "__n"]
+    left, right = written(left, "first-open"), written(right, "second-open")
+    left, right = left.join(right.select(*same).hint("merge"), same, "left_anti").drop("__n"), right.join(left.select(*same).hint("merge"), same, "left_anti").drop("__n")
+    # what is left meets by record id, or by the place of what can't be read
+    left = written(numbered(left.withColumn("key", F.coalesce("record_id", F.lit(""))), "file", "key"), "first-left")
+    right = written(numbered(right.withColumn("key", F.coalesce("record_id", F.lit(""))), "file", "key"), "second-left")
+    named = right.select("file", "key", "__n", F.col("state").alias("x"), F.col("offset").alias("__at"))
+    placed = right.where("state <> 'ok'").select("file", "offset", F.col("state").alias("y"))
+    both = left.join(named.where("key <> ''").hint("merge"), ["file", "key", "__n"], "left").join(placed.hint("merge"), ["file", "offset"], "left")
+    both = written(both.withColumn("status", F.when(F.col("x") == "ok", "changed").otherwise(F.coalesce("x", "y", F.lit("missing")))), "audit-first")
+    used = both.where("x is not null").select("file", F.col("__at").alias("offset")).unionByName(both.where("x is null and y is not null").select("file", "offset"))
+    extra = right.join(used.hint("merge"), ["file", "offset"], "left_anti").select("file", "offset", F.lit("extra").alias("status"), F.lit("second").alias("side"))
+    return both.select("file", "offset", "status", F.lit("first").alias("side")).unionByName(extra)
 
 
 def damaged(spark: SparkSession, path: str, to: str) -> None:
-    """Write a replica of an archive for a drill, with known damage by id: every 61st record has its second half overwritten,
-    the next one's last byte of text, the one after is blank."""
+    """Write a replica of an archive for a drill, with known damage by id: every 61st record has the second half of its text
+    overwritten, the next one's last byte of text is changed (the date of an empty one), the one after is left out."""
 
     def run(batches):
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = bytearray(gzip.decompress(content.as_py()))
-                for at, n, key, _ in records_of(bytes(data)):
-                    part = None if key is None else key % 61
-                    if part == 0:
-                        data[at + n // 2 : at + n - 4] = b"?" * (n - 4 - n // 2)
+                out = []
+                for at, kept, record, state in members(content.as_py()):
+                    page, data = told(at, kept, record, state)[5], bytearray(record)
+                    part, n = None if page is None else page % 61, len(record)
+                    body, date = record.find(b"\r\n\r\n") + 4, record.find(b"WARC-Date: ") + 11
+                    if part in (0, 1) and body == n - 4:  # an empty body
+                        data[date] ^= 1
+                    elif part == 0:
+                        half = (body + n - 4) // 2
+                        data[half : n - 4] = b"?" * (n - 4 - half)
                     elif part == 1:
-                        data[at + n - 5] ^= 1
-                    elif part == 2:
-                        data[at : at + n - 4] = b" " * (n - 4)
-                yield pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([bytes(data[:-4])], pa.binary())], ["file", "value"])
+                        data[n - 5] ^= 1
+                    if part != 2:
+                        out.append(member(bytes(data)) if part in (0, 1) else kept)
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(out), pa.int64()), pa.array(range(len(out)), pa.int64()), pa.array(out, pa.binary())], ["file", "place", "value"])
 
-    copied = stored(spark, path).mapInArrow(run, "file long, value binary")
-    _write(copied.select("file", F.col("value").cast("string").alias("value")), to)
+    _write(stored(spark, path).mapInArrow(run, "file long, place long, value binary").sortWithinPartitions("file", "place"), to)
 
 
 def fixity(pages: DataFrame, path: str) -> DataFrame:
-    """Archive the pages, damage a replica, audit it: (page_id, url, file, offset, length, sha256, status) of every record."""
+    """Archive the pages, damage a replica, audit it: the first's index with the status of every record (ok if the audit hasn't told
+    it), and what only the second has."""
     spark = pages.sparkSession
     archive(pages, f"{path}/first")
     known = written(index(spark, f"{path}/first"), "warc-index")
     damaged(spark, f"{path}/first", f"{path}/second")
-    second = written(digests(spark, f"{path}/second", known), "digests")
-    found = audit(known.select("file", "offset", "length", "sha256"), second)
-    right = written(found, "damage").select(F.col("file").alias("__file"), F.col("offset").alias("__offset"), "status")
-    joined = known.join(right.hint("merge"), (F.col("file") == F.col("__file")) & (F.col("offset") == F.col("__offset")), "left")
-    return joined.select("page_id", "url", "file", "offset", "length", "sha256", F.coalesce("status", F.lit("ok")).alias("status"))
+    second = written(index(spark, f"{path}/second"), "replica-index")
+    found = written(audit(known, second), "damage")
+    told_ = lambda side: found.where(F.col("side") == side).select("file", "offset", "status")
+    return known.join(told_("first").hint("merge"), ["file", "offset"], "left").withColumn("status", F.coalesce("status", F.lit("ok"))).unionByName(second.join(told_("second").hint("merge"), ["file", "offset"]))

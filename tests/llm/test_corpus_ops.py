@@ -5,6 +5,7 @@ import hashlib
 import html as html_module
 import itertools
 import random
+import shutil
 import re
 import time
 import zlib
@@ -463,23 +464,62 @@ def test_audit_finds_all_damage_and_only_that(spark, tmp_path, monkeypatch):
     assert len(got) == len(rows) and Counter((r["page_id"], r["url"]) for r in got) == Counter((i, u and u.replace("\r", "%0D").replace("\n", "%0A")) for i, u, _ in rows)
     kinds = {0: "changed", 1: "changed", 2: "missing"}
     assert all(r["status"] == ("ok" if r["page_id"] is None else kinds.get(r["page_id"] % 61, "ok")) for r in got)
-    # the bytes of each file, cut at the offsets, are its records
-    files = {r["file"]: gzip.decompress(r["content"]) for r in warc.stored(spark, f"file://{tmp_path}/w/first").collect()}
-    assert len(files) > 15 and all(len(c) <= 100_000 or c.count(b"WARC/1.1\r\n") == 1 for c in files.values())
-    for file, content in files.items():
-        own = sorted((r["offset"], r["length"], r["sha256"]) for r in got if r["file"] == file)
-        assert own[0][0] == 0 and all(a + n == b for (a, n, _), (b, _, _) in zip(own, own[1:])) and own[-1][0] + own[-1][1] == len(content)
-        assert all(hashlib.sha256(content[a : a + n]).hexdigest() == h for a, n, h in own)
+    # from the stored bytes at each offset alone, its record
+    files = {r["file"]: r["content"] for r in warc.stored(spark, f"file://{tmp_path}/w/first").collect()}
+    assert len(files) > 3
+    for r in got:
+        stored = files[r["file"]][r["offset"] : r["offset"] + r["stored"]]
+        record = gzip.decompress(stored)
+        assert hashlib.sha256(stored).hexdigest() == r["stored_sha256"] and (len(record), hashlib.sha256(record).hexdigest()) == (r["length"], r["sha256"])
+    for file, content in files.items():  # each file is one gzip file, and holds nothing else
+        assert sorted((r["offset"], r["offset"] + r["stored"] + 20) for r in got if r["file"] == file)[-1][1] == len(content)
+        assert gzip.decompress(content).count(b"WARC-Type: resource") == sum(r["file"] == file for r in got)
     known = warc.index(spark, f"file://{tmp_path}/w/first")
     assert warc.audit(known, known).count() == 0
-    extra = warc.audit(known.where("page_id <> 77"), known).collect()
-    assert [r["status"] for r in extra] == ["extra"] * (1 + 501)  # the rows without an id aren't in the first either
     nine = known.where("page_id = 9").first()
-    record = files[nine["file"]][nine["offset"] : nine["offset"] + nine["length"]].decode()
+    record = gzip.decompress(files[nine["file"]][nine["offset"] : nine["offset"] + nine["stored"]]).decode()
     assert record.startswith("WARC/1.1\r\n") and "Content-Length: 21\r\n" in record and record.split("\r\n\r\n", 1)[1] == "<p>" + "é" * 9 + "\r\n\r\n"
     assert warc.fixity(pages.limit(0), f"file://{tmp_path}/e").count() == 0
 
 
+def test_audit_of_stored_bytes(spark, tmp_path):
+    """Flipped bits, a cut file, a lost file, added and moved records, foreign records: found as such, and nothing else."""
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"<p>text {i} " + "é" * (i % 90)) for i in range(400)], "page_id long, url string, html string").repartition(4)
+    warc.archive(pages, f"file://{tmp_path}/a")
+    shutil.copytree(tmp_path / "a", tmp_path / "b")
+    rows = sorted(warc.index(spark, f"file://{tmp_path}/a").collect(), key=lambda r: (r["file"], r["offset"]))
+    names = {int(p.parent.name[5:]): p for p in (tmp_path / "b").rglob("part-*")}
+    by_file = {f: [r for r in rows if r["file"] == f] for f in names}
+    one, two, three, four = sorted(names)
+    data = bytearray(names[one].read_bytes())
+    want = set()
+    for r, at in ((by_file[one][3], 15), (by_file[one][10], 0), (by_file[one][20], 40)):  # a header, a magic number, the deflated bytes
+        data[r["offset"] + at] ^= 4
+        want.add((one, r["offset"], "unreadable", "first"))
+    names[one].write_bytes(bytes(data))
+    cut = by_file[two][50]
+    names[two].write_bytes(names[two].read_bytes()[: cut["offset"] + cut["stored"] // 2])
+    want |= {(two, cut["offset"], "truncated", "first")} | {(two, r["offset"], "missing", "first") for r in by_file[two][51:]}
+    names[three].unlink()
+    want |= {(three, r["offset"], "missing", "first") for r in by_file[three]}
+    foreign = warc.member(b"WARC/1.0\r\nwarc-type: response\r\nWARC-Record-ID: <urn:uuid:92283950-ef2f-4d72-b224-f54c6ec90bb0>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n")
+    content, lost, other = names[four].read_bytes(), by_file[four][9], by_file[four][30]
+    at = by_file[four][5]["offset"]
+    changed = warc.member(gzip.decompress(content[other["offset"] : other["offset"] + other["stored"]]).replace(b"text", b"TEXT"))
+    content = content[:at] + foreign + warc.EMPTY + content[at : lost["offset"]] + content[lost["offset"] + lost["stored"] + 20 : other["offset"]] + changed + content[other["offset"] + other["stored"] :]
+    names[four].write_bytes(content)
+    want |= {(four, at, "extra", "second"), (four, lost["offset"], "missing", "first"), (four, other["offset"], "changed", "first")}
+    replica = warc.index(spark, f"file://{tmp_path}/b")
+    assert {tuple(r) for r in warc.audit(warc.index(spark, f"file://{tmp_path}/a"), replica).collect()} == want
+    ids = {r["record_id"]: r["state"] for r in replica.collect()}
+    assert ids["<urn:uuid:92283950-ef2f-4d72-b224-f54c6ec90bb0>"] == "ok"
+    # a file that isn't zipped, with a record that is cut off
+    plain = b"WARC/1.0\r\nWARC-Record-ID: <urn:page:7>\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    assert [(at, state) for at, _, _, state in warc.members(plain + plain[:-9])] == [(0, "ok"), (len(plain), "truncated")]
+    assert [x[3] for x in warc.members(b"garbage")] == ["unreadable"] and not list(warc.members(b""))
+    assert warc.told(0, b"x", b"WARC/1.0\r\nContent-Length: x\r\n\r\n", "ok")[3] == "unreadable"
+
+
 # ---- pipeline
 
 
