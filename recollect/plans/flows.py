@@ -80,6 +80,12 @@ def stream_ttl_sessions(spark, sf_dir):
     return st.last_batch(out, ["user_id", "start"])
 
 
+def stream_ended_sessions(spark, sf_dir):
+    """Sessions of 48 hours of the whole stream that sweeps have taken off when its last events are in."""
+    out = st.run_available(st.stream_ended_sessions(_events(spark, sf_dir), "user_id", "48 hours", "300 seconds", "2 hours"), "append", "stream-ended-sessions")
+    return out.drop("batch")
+
+
 def import_replace(spark, sf_dir):
     """The memories of agents 1 to 3 give way to those of their even turns."""
     m = dd.memories(spark, sf_dir)
@@ -127,7 +133,7 @@ def concurrency_caps(spark, sf_dir):
 
 QUERIES = {
     f.__name__.rstrip("_"): f
-    for f in (read_memories, export_memories, import_memories, load_dialogues, chunk_definitions_, file_scope_filter, stream_activity, stream_sessions, stream_ttl_sessions, import_replace, export_bundle, stream_dedup, stream_index, stream_facts, concurrency_caps)
+    for f in (read_memories, export_memories, import_memories, load_dialogues, chunk_definitions_, file_scope_filter, stream_activity, stream_sessions, stream_ttl_sessions, stream_ended_sessions, import_replace, export_bundle, stream_dedup, stream_index, stream_facts, concurrency_caps)
 }
 SQL = {
     "read_memories": with_views("memories", body="select agent_id, id, content, array_to_string(keywords, ',') as keywords, importance, created_at from memories"),
@@ -143,6 +149,11 @@ select user_id, min(ts) as start, max(ts) + interval 1 hour as "end", count(*) a
     "stream_ttl_sessions": """with recursive s(user_id, start) as (select user_id, min(ts) from events group by 1
  union all select s.user_id, min(e.ts) from s join events e on e.user_id = s.user_id and e.ts >= s.start + interval 48 hour group by s.user_id, s.start)
 select s.user_id, start, count(*) as n from s join events e on e.user_id = s.user_id and e.ts >= start and e.ts < start + interval 48 hour group by 1, 2""",
+    "stream_ended_sessions": """with recursive s(user_id, start) as (select user_id, min(ts) from events group by 1
+ union all select s.user_id, min(e.ts) from s join events e on e.user_id = s.user_id and e.ts >= s.start + interval 48 hour group by s.user_id, s.start),
+w as (select epoch_ms(max(ts)) - 2 * 3600000 as mark from events),
+k as (select user_id, start, start + interval 48 hour as stop, (epoch_us(start + interval 48 hour) + 299999999) // 300000000 * 300000 as swept from s)
+select k.user_id, start, stop as "end", make_timestamp_ms(swept) as swept, (select count(*) from events e where e.user_id = k.user_id and e.ts >= start and e.ts < stop) as n from k, w where swept <= mark""",
     "import_replace": with_views("memories", body="select agent_id, id from memories where agent_id not in ('1', '2', '3') union all select agent_id, 'new-' || id from memories where agent_id in ('1', '2', '3') and ord % 2 = 0"),
     "export_bundle": with_views("memories", "session_events", body="""select 'memories' as kind, agent_id, count(*) as n, sum(len(content))::bigint as chars from memories group by 2
 union all select 'documents', (doc_id % 10)::varchar, count(*), sum(len(coalesce(text, '')))::bigint from documents group by 2 union all select 'checkpoints', agent_id, count(*), 0 from session_events where action = 'store' group by 2"""),

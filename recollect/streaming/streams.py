@@ -6,16 +6,23 @@ batch after another, each written under its batch id so that a batch that runs a
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from recollect.functions.tables import shared_path
+from recollect.functions.tables import shared_path, written
 from recollect.operators.maintain import delta_chunks
 
+#: Steps of a range of a running sum.
+RANGE = 1_000_000
+
 
 def run_available(stream: DataFrame, mode: str, name: str, change=None) -> DataFrame:
     """Run a stream over all that is available and read its output with the number of the batch (`batch`)."""
@@ -47,12 +54,16 @@ def stream_sessions(events: DataFrame, key: str = "user_id", gap: str = "1 hour"
     return s.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def stream_ttl_sessions(events: DataFrame, key: str, ttl: str = "24 hours") -> DataFrame:
+def stream_ttl_sessions(events: DataFrame, key: str, ttl: str = "24 hours", late: str = "2 days") -> DataFrame:
     """(key, start, n): sessions that live for a time from their first event, whatever comes within; the next event after it
-    begins another. A batch gives the sessions that it has begun or added to; the state of a key is its last session."""
+    begins another. A batch gives the sessions that it has begun or added to. The state of a key is its last session, and goes when
+    the watermark has passed that session's end."""
     length, kind = pd.Timedelta(ttl).to_timedelta64(), events.schema[key].dataType.simpleString()
 
     def run(keys, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         times = np.sort(np.concatenate([f["ts"].to_numpy() for f in frames]))
         start, n = (np.datetime64(state.get[0]), state.get[1]) if state.exists else (None, 0)
         out, at = {}, 0
@@ -63,10 +74,80 @@ def stream_ttl_sessions(events: DataFrame, key: str, ttl: str = "24 hours") -> D
             n, at = n + until - at, until
             out[start] = n
         state.update((pd.Timestamp(start).to_pydatetime(), n))
+        state.setTimeoutTimestamp(max(int((start + length).astype("datetime64[ms]").astype(np.int64)) + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: [keys[0]] * len(out), "start": list(out), "n": list(out.values())})
 
-    rows = events.select(key, F.col("ts").cast("timestamp_ntz").alias("ts"))
-    return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, start timestamp_ntz, n long", "start timestamp_ntz, n long", "update", GroupStateTimeout.NoTimeout).withColumn("start", F.col("start").cast("timestamp"))
+    rows = events.withWatermark("ts", late).select(key, "ts")
+    return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, start timestamp, n long", "start timestamp_ntz, n long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+class _EndedSessions(StatefulProcessor):
+    """State of a key: how many events it has at each time that no ended session holds yet. A timer stands at the end of its
+    first open session; events may come out of order until the watermark has passed them."""
+
+    def __init__(self, key: str, ttl: int, sweep: int):
+        self.key, self.ttl, self.sweep = key, ttl, sweep  # in microseconds
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.times = handle.getMapState("times", "at long", "n long")
+
+    def swept(self, start: int) -> int:
+        """When the sweep takes a session off: the first one at its end or after."""
+        return -(-(start + self.ttl) // self.sweep) * self.sweep
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        told: Counter = Counter()
+        for frame in rows:
+            told.update(frame["at"].to_numpy().tolist())
+        for at, n in told.items():
+            before = self.times.getValue((at,)) if self.times.containsKey((at,)) else (0,)
+            self.times.updateValue((at,), (before[0] + n,))
+        self.wait()
+        yield self.none()
+
+    def none(self) -> pd.DataFrame:
+        return pd.DataFrame({self.key: [], "start": [], "end": [], "swept": [], "n": []})
+
+    def wait(self) -> None:
+        """One timer, at the end of the first open session."""
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        first = min((k[0] for k in self.times.keys()), default=None)
+        if first is not None:
+            self.handle.registerTimer(self.swept(first) // 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        times = sorted((k[0], v[0]) for k, v in self.times.iterator())
+        out, at = [], 0
+        while at < len(times) and self.swept(times[at][0]) <= now:
+            start, n = times[at][0], 0
+            while at < len(times) and times[at][0] < start + self.ttl:
+                n += times[at][1]
+                self.times.removeKey((times[at][0],))
+                at += 1
+            out.append((key[0], start, start + self.ttl, self.swept(start), n))
+        self.wait()
+        yield pd.DataFrame(out, columns=[self.key, "start", "end", "swept", "n"]) if out else self.none()
+
+    def close(self) -> None:
+        pass
+
+
+def stream_ended_sessions(events: DataFrame, key: str, ttl: str = "1 hour", sweep: str = "300 seconds", late: str = "2 hours") -> DataFrame:
+    """(key, start, end, swept, n): sessions that have ended, in append mode. One begins with the first event of a key that no
+    session holds and ends a time after that, whatever comes within; a sweep at every multiple of an interval takes it off, and
+    then it is told, once, and its state removed. Times are of events; the sweep's interval is whole milliseconds; what is later than
+    the watermark is left out.
+    """
+    spark, kind = events.sparkSession, events.schema[key].dataType.simpleString()
+    # the state API keeps its variables and timers in RocksDB
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    us = lambda x: int(pd.Timedelta(x) / pd.Timedelta("1us"))
+    rows = events.withWatermark("ts", late).select(key, "ts", F.unix_micros("ts").alias("at"))
+    out = rows.groupBy(key).transformWithStateInPandas(_EndedSessions(key, us(ttl), us(sweep)), f"{key} {kind}, start long, end long, swept long, n long", "Append", "EventTime")
+    return out.select(key, *[F.timestamp_micros(c).alias(c) for c in ("start", "end", "swept")], "n")
 
 
 def stream_dedup(rows: DataFrame, keys: list[str], late: str = "400 days") -> DataFrame:
@@ -86,12 +167,27 @@ def stream_index(chunks: DataFrame, registry: DataFrame) -> DataFrame:
     return run_available(chunks, "append", "stream-index", change)
 
 
-def concurrency_caps(sessions: DataFrame, keys: list[str], cap: int) -> DataFrame:
+def running_sums(steps: DataFrame, keys: list[str], order: list[str], value: str, size: int = RANGE) -> DataFrame:
+    """steps (one row for each keys and order) with `live`, the sum of a key's values up to each row.
+
+    Rows are cut into ranges of keys and order, of about so many; a range is summed up by itself, and starts from the totals of
+    the ranges before it, of which a key has a row for each. So no task holds more of a hot key than a range.
+    """
+    steps = written(steps, "steps")
+    ranges = max(1, -(-steps.count() // size))
+    placed = written(steps.repartitionByRange(ranges, *keys, *order).withColumn("__range", F.spark_partition_id()), "step-ranges")
+    totals = placed.groupBy(*keys, "__range").agg(F.sum(value).alias("__sum"))
+    before = F.sum("__sum").over(W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1))
+    offsets = written(totals.select(*keys, "__range", F.coalesce(before, F.lit(0)).alias("__before")), "range-offsets")
+    own = F.sum(value).over(W.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return placed.withColumn("__own", own).join(offsets.hint("merge"), [*keys, "__range"]).withColumn("live", F.col("__own") + F.col("__before")).drop("__own", "__before", "__range")
+
+
+def concurrency_caps(sessions: DataFrame, keys: list[str], cap: int, size: int = RANGE) -> DataFrame:
     """Of sessions (keys, start, end): the most at a time in each group, and the starts that went over the cap.
 
     +1 at a start and -1 at an end, summed in order of time (an end before a start at the same time); equal steps are
-    added up before the sum."""
+    added up before the sum. Keys and times that are null are left out."""
     steps = sessions.select(*keys, F.col("start").alias("t"), F.lit(1).alias("d")).unionByName(sessions.select(*keys, F.col("end").alias("t"), F.lit(-1).alias("d")))
-    steps = steps.groupBy(*keys, "t", "d").agg(F.sum("d").alias("s"))
-    live = F.sum("s").over(W.partitionBy(*keys).orderBy("t", "d").rowsBetween(W.unboundedPreceding, 0))
-    return steps.withColumn("live", live).groupBy(*keys).agg(F.max("live").alias("most"), F.count_if((F.col("d") > 0) & (F.col("live") > cap)).alias("over"))
+    steps = steps.dropna(subset=[*keys, "t"]).groupBy(*keys, "t", "d").agg(F.sum("d").alias("s"))
+    return running_sums(steps, keys, ["t", "d"], "s", size).groupBy(*keys).agg(F.max("live").alias("most"), F.count_if((F.col("d") > 0) & (F.col("live") > cap)).alias("over"))
