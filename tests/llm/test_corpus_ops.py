@@ -294,7 +294,7 @@ def test_extract_by_hand(spark):
 
 
 def test_extract_keeps_articles_in_marked_wraps():
-    text = lambda body: " ".join(t for t, inside, _ in html_text.parse(page(body)).blocks if inside)
+    text = lambda body: " ".join(t for t, inside, *_ in html_text.parse(page(body)).blocks if inside)
     article = "<article><h1>Head</h1><p>own text</article>"
     assert text(f"<div class='content has-sidebar'>{article}</div>") == "Head own text"
     assert text(f"<div id='sidebar'>{article}</div>") == "Head own text"
@@ -306,7 +306,7 @@ def test_extract_keeps_articles_in_marked_wraps():
     assert text(f"{article}{comments}") == text(f"<main>{article}{comments}</main>") == "Head own text"
     assert text(f"<div class='sidebar'>{article}{comments}</div>") == "Head own text"
     assert text("<article><p>x</p><section class='comments'><p>reader</section></article>") == "x"
-    blocks = [t for t, _, _ in html_text.parse(page("<div class='has-sidebar'><p>no article</p><div id='cookie-notice'>c</div><form>f</form></div>")).blocks]
+    blocks = [t for t, *_ in html_text.parse(page("<div class='has-sidebar'><p>no article</p><div id='cookie-notice'>c</div><form>f</form></div>")).blocks]
     assert blocks == ["no article"]
 
 
@@ -356,7 +356,7 @@ def test_near_copies_of_an_article_stay(spark):
 
 
 def test_comments_and_what_stands_beside_the_article():
-    text = lambda body: " ".join(t for t, inside, _ in html_text.parse(page(body)).blocks if inside)
+    text = lambda body: " ".join(t for t, inside, *_ in html_text.parse(page(body)).blocks if inside)
     article = "<article><p>the text of the page</p></article>"
     assert text(f"<main><h1>Title</h1><div>crumbs</div>{article}<div>below</div></main>") == "Title the text of the page"
     assert text(f"<main>{article}<article class='comment'>reader</article></main>") == "the text of the page"
@@ -367,7 +367,7 @@ def test_comments_and_what_stands_beside_the_article():
 def test_deep_and_long_pages():
     began = time.process_time()
     deep = html_text.parse("<div>x" * 100_000)
-    assert len(deep.blocks) == 100_000 and len({h for _, _, h in deep.blocks}) == 100_000
+    assert len(deep.blocks) == 100_000 and len({h for _, _, h, _ in deep.blocks}) == 100_000
     assert len(html_text.parse("<article>" + "<p>word <b>bold</b>" * 100_000).blocks) == 100_000
     assert html_text.parse("<p>" + "long " * 400_000).blocks[0][0] == "long " * 399_999 + "long"
     assert time.process_time() - began < 30
@@ -452,6 +452,45 @@ def test_op4_query(spark):
     assert len(sums) == 24 and max(sums.values()) - min(sums.values()) <= largest
 
 
+# ---- templates by shape
+
+
+def test_names_of_containers():
+    """Containers whose names say comments or adverts go, on pages with and without an article; what only looks like it stays."""
+    text = lambda html: " ".join(b[0] for b in html_text.parse(html).blocks)
+    for bad in ("<div class='comment-thread'>x</div>", "<section id='reader-comments'>x</section>", "<div class='ad-slot'>x</div>", "<div class='ad-banner'>x</div>", "<ul id='comments-list'><li>x</ul>", "<div class='comment-body'>x</div>"):
+        assert text(f"<article><p>own{bad}</article>") == text(f"<p>own{bad}") == "own"
+    assert text("<article class='has-comments'><p class='alert'>must read<div class='body with-ads'>own</div></article>") == "must read own"
+
+
+def test_shapes_of_a_site(spark):
+    """Comments, adverts and notices with another text on each page and names that no rule knows vanish by their counts; containers
+    of content, and what stands on few pages, stay. Without counts, all of it would stay."""
+    rnd = random.Random(11)
+    words = lambda n: " ".join(rnd.choice("red green blue stone river lamp table cloud seven".split()) + str(rnd.randrange(900)) for _ in range(n))
+    pages, want, junk = [], {}, []
+    for site in range(3):
+        for k in range(12):
+            own = [words(30) for _ in range(rnd.randrange(2, 5))]
+            lead, note, alert, rare = words(6), words(5), words(4), words(7)
+            junk = [words(8) for _ in range(3)]
+            body = f"<h1 class='zq1'>Title {site} {k}</h1><div class='lead'>{lead}</div>" + "".join(f"<p>{x}</p>" for x in own[:1]) + f"<div class='zq{k}'><b>who{k}</b> {junk[0]}</div>"
+            body += f"<div class='xk-box'><div class='xk-item'>{junk[1]}</div></div><p class='notice'>{note}</p>" + "".join(f"<p>{x}</p>" for x in own[1:])
+            body += (f"<section class='vv{k}'><p>{junk[2]}</p></section>") + (f"<div class='once'>{rare}</div><p class='alert'>{alert}</p>" if k == 3 else "")
+            i = site * 100 + k
+            pages.append((i, f"http://site{site}.example/{k}", f"<html><body><article>{body}</article></body></html>"))
+            want[i] = " ".join([f"Title {site} {k}", lead, *own, *([rare, alert] if k == 3 else [])])
+    alone = (999, "http://alone.example/1", "<article><p>own text</p><div class='zq1'>stays, as nothing else is known of its host</div></article>")
+    want[999] = "own text stays, as nothing else is known of its host"
+    df = spark.createDataFrame([*pages, alone, *pages[:2]], "page_id long, url string, html string")
+    rows = html_text.extract(df, columns=["page_id"]).select("row.page_id", "text").collect()
+    assert len(rows) == len(pages) + 3 and all(r["text"] == want[r["page_id"]] for r in rows)
+    without = {i: " ".join(b[0] for b in html_text.parse(html).blocks) for i, _, html in pages}
+    changed = sum(without[i] != want[i] for i in without)
+    print(f"counts change {changed} of {len(pages)} results of sites with articles")
+    assert changed == len(pages)
+
+
 # ---- archive
 
 
