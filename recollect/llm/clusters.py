@@ -149,9 +149,10 @@ class VaFile:
 
     def __init__(self, rows: DataFrame, centroids: list[list[int]], edges: np.ndarray):
         self.size, self.edges = len(edges), edges
-        bounds, size = Bounds(centroids, edges), self.size
+        size = self.size
 
         def run(batches):
+            bounds = Bounds(centroids, edges)  # made by each task: the tables are larger than what they are made from
             for batch in batches:
                 x = matrix(batch.column(1), size)
                 cells = cells_of(x, edges)
@@ -170,22 +171,24 @@ class VaFile:
     def moves(self, old: list[list[int]], new: list[list[int]]) -> tuple[list[list[int]], list[int], dict[int, int]]:
         """What the sums of each centroid gain when rows go from the nearest of `old` to that of `new`, and the rows of each zone
         that had to be fetched. First all cells are read, then the vectors of zones with such rows."""
-        before, after, size, k = Bounds(old, self.edges), Bounds(new, self.edges), self.size, len(new)
+        edges, size, k = self.edges, self.size, len(new)
 
-        def open_rows(cells: np.ndarray) -> np.ndarray:
-            (a, gap), (b, other) = before.decide(cells), after.decide(cells)
+        def open_rows(bounds: list[Bounds], cells: np.ndarray) -> np.ndarray:
+            (a, gap), (b, other) = (x.decide(cells) for x in bounds)
             return np.flatnonzero((gap == 0) | (other == 0) | (a != b))
 
         def look(batches):
+            bounds = [Bounds(old, edges), Bounds(new, edges)]
             for batch in batches:
-                found = open_rows(cells_matrix(batch.column(1), size))
+                found = open_rows(bounds, cells_matrix(batch.column(1), size))
                 zones, n = np.unique(batch.column(0).to_numpy()[found], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(zones, pa.int32()), pa.array(n, pa.int64())], ["zone", "n"])
 
         def fetch(batches):
             def each():
+                bounds = [Bounds(old, edges), Bounds(new, edges)]
                 for batch in batches:
-                    found = open_rows(cells_matrix(batch.column(0), size))
+                    found = open_rows(bounds, cells_matrix(batch.column(0), size))
                     x = matrix(batch.column(1).take(pa.array(found)), size)
                     (a, _), (b, _) = nearest(x, old), nearest(x, new)
                     on = a != b
@@ -200,9 +203,10 @@ class VaFile:
 
     def assigned(self, centroids: list[list[int]]) -> DataFrame:
         """(id, cluster, distance) of all rows; a decided row is compared with its own centroid alone."""
-        bounds, size, k = Bounds(centroids, self.edges), self.size, len(centroids)
+        edges, size, k = self.edges, self.size, len(centroids)
 
         def run(batches):
+            bounds = Bounds(centroids, edges)
             for batch in batches:
                 best, gap = bounds.decide(cells_matrix(batch.column(1), size))
                 x = matrix(batch.column(2), size)

@@ -30,6 +30,8 @@ _SEPARATOR = re.compile(rb"[ \t.,;:!?\n-\r]")
 SLOTS, PHRASES, WIDE, SALTS = 1 << 20, 2_000_000, 32, 32
 #: Rows of documents, shards, and rows of phrases of an Arrow batch.
 ROWS, SHARDS, TOLD = 512, 1, 1 << 15
+#: States that all tasks together tell of a range.
+SUMMED = 1 << 22
 
 
 def shard(text: bytes, starts: list[int], langs: list[str], lead: int, salt: int) -> tuple[list, np.ndarray]:
@@ -253,21 +255,27 @@ class DoubleArray:
             words.append(self.hashes[code])
         return [self.hashes[states], *reversed(words)]
 
-    def told(self, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """(key array<bigint>, a) of the accepting states that were reached."""
-        for level, (begin, end) in enumerate(self.spans):
-            states = begin + np.flatnonzero(self.accept[begin:end] & (counts[begin:end] > 0))
-            for some in (states[k : k + TOLD] for k in range(0, len(states), TOLD)):
-                words = np.stack(self.phrases(level, some), 1)
-                offsets = np.arange(len(some) + 1, dtype=np.int32) * (level + 1)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(words.ravel())), pa.array(counts[some])], ["key", "a"])
+    def told(self, begin: int, counts: np.ndarray) -> pa.Table:
+        """(key array<bigint>, a) of the accepting states with counts, which are of the states from one on."""
+        found, end = [], begin + len(counts)
+        for level, (low, high) in enumerate(self.spans):
+            low, high = max(low, begin), min(high, end)
+            states = low + np.flatnonzero(self.accept[low:high] & (counts[low - begin : high - begin] > 0)) if low < high else np.zeros(0, np.int64)
+            words = np.stack(self.phrases(level, states), 1)
+            offsets = np.arange(len(states) + 1, dtype=np.int32) * (level + 1)
+            found.append(pa.table([pa.ListArray.from_arrays(pa.array(offsets), pa.array(words.ravel())), pa.array(counts[states - begin])], ["key", "a"]))
+        return pa.concat_tables(found)
 
 
 def counted(held: DataFrame, phrases: DataFrame, longest: int) -> DataFrame:
     """(key, a): how often each phrase (h1, ...; null behind its end) occurs. Blocks of phrases with the same first two words are
-    sent one after another, each as a trie of about PHRASES phrases, and each reads the shards once."""
+    sent one after another, each as a trie of about PHRASES phrases, and each reads the shards once.
+
+    A task tells the states that it has reached, with counts, in a row for each range of states; the rows of a range, one from each
+    task, are summed up. Ranges get shorter with the number of shards, so that those of all tasks together stay bounded.
+    """
     names, spark = [f"h{i}" for i in range(1, longest + 1)], held.sparkSession
-    blocks = max(1, -(-phrases.count() // PHRASES))
+    blocks, width = max(1, -(-phrases.count() // PHRASES)), max(256, SUMMED // max(1, held.count()))
     phrases, out = phrases.withColumn("block", F.pmod(F.xxhash64("h1", "h2"), F.lit(blocks))), []
     for block in range(blocks):
         some = phrases.where(F.col("block") == block).select(*names).toArrow()
@@ -284,10 +292,19 @@ def counted(held: DataFrame, phrases: DataFrame, longest: int) -> DataFrame:
                 for ids, lead, hashes in zip(batch.column(0), batch.column(1), batch.column(2)):
                     trie.counts(ids.values.to_numpy(), lead.as_py(), hashes.values.to_numpy(), into)
                 pa.default_memory_pool().release_unused()
-            yield from trie.told(into)
-
-        rows = held.select("ids", "lead", "hashes").mapInArrow(run, "key array<bigint>, a bigint")
-        out.append(written(rows.groupBy("key").agg(F.sum("a").alias("a")), "phrase-counts", rows=SHARDS))
+            for begin in range(0, len(into), width):
+                on = np.flatnonzero(into[begin : begin + width])
+                if len(on):
+                    yield pa.RecordBatch.from_arrays([pa.array([begin // width], pa.int32()), pa.array([on], pa.list_(pa.int32())), pa.array([into[begin + on]], pa.list_(pa.int64()))], ["range", "at", "n"])
+
+        def summed(key, table, sent=sent):
+            total, begin = np.zeros(width, np.int64), key[0].as_py() * width
+            for at, n in zip(table["at"], table["n"]):
+                total[at.values.to_numpy()] += n.values.to_numpy()
+            return sent.value.told(begin, total[: len(sent.value.base) - begin])
+
+        rows = held.select("ids", "lead", "hashes").mapInArrow(run, "range int, at array<int>, n array<bigint>")
+        out.append(written(rows.groupBy("range").applyInArrow(summed, "key array<bigint>, a bigint"), "phrase-counts", rows=SHARDS))
         sent.destroy()
     none = spark.createDataFrame([], "key array<bigint>, a bigint")
     return reduce(DataFrame.unionByName, out, none)

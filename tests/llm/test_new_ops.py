@@ -86,7 +86,7 @@ def test_collocations_of_texts_in_parts(monkeypatch):
         into = np.zeros(len(trie.base), np.int64)
         for ids, lead, hashes, *_ in held:
             trie.counts(ids, lead, hashes, into)
-        told = {tuple(name[h] for h in k): a for b in trie.told(into) for k, a in zip(b["key"].to_pylist(), b["a"].to_pylist())}
+        told = {tuple(name[h] for h in k): a for k, a in zip(*(trie.told(0, into)[c].to_pylist() for c in ("key", "a")))}
         assert told == dict(found | three)
 
 
@@ -105,7 +105,7 @@ def test_double_array_of_many_words():
     trie.counts(stream, 0, local, into)
     known = set(map(tuple, pairs.T.tolist()))
     want = Counter(p for p in map(tuple, asked.T.tolist()) if p in known)
-    assert {tuple(k): a for b in trie.told(into) for k, a in zip(b["key"].to_pylist(), b["a"].to_pylist())} == want
+    assert {tuple(k): a for k, a in zip(*(trie.told(0, into)[c].to_pylist() for c in ("key", "a")))} == want
 
 
 def brute_clusters(rows, k, rounds, size):
