@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,32 +83,44 @@ def enriched_keywords(name: Column, kind: Column, content: Column, summary: Colu
     return F.array_sort(F.array_distinct(F.filter(F.flatten(parts), lambda k: (F.length(k) > 1) & ~F.array_contains(strings(NEVER), k))))
 
 
+# Questions about a chunk, in the order of the rules: what is looked at (name: kinds of chunk; dotted: functions with a
+# parent; table: names of tables in calls; text: a pattern in the content; said: words that the summary holds), and the questions.
+QUESTIONS = [
+    ("name", "class", ["What does the {name} class do?", "How does {name} work?"]),
+    ("name", "function method", ["What does {base} do?", "How does {base} work?"]),
+    ("dotted", "function method", ["How does {parent} handle {base}?"]),
+    ("table", r"\.(?:query|insert|update|delete)\s*\(\s*['\"](\w+)['\"]", ["Which functions interact with the {table} table?", "How is the {table} table used?"]),
+    ("text", r"(?i)\b(bcrypt|jwt|token|hash|encrypt|password)\b", ["How is security implemented?", "What security measures are in place?"]),
+    ("text", r"(?i)\b(cache|ttl|memoize|lru)\b", ["How is caching used?", "How to improve performance?"]),
+    ("text", r"(?i)\b(rate|throttle|limit)\b", ["How are API endpoints protected?", "What prevents too many requests?"]),
+    ("text", r"(?i)\b(email|send_email|smtp)\b", ["How are emails sent?"]),
+    ("said", "reset password", ["What happens when a user forgets their password?"]),
+    ("said", "migration", ["How are database schema changes managed?"]),
+    ("said", "refresh token", ["What happens when a token expires?"]),
+]
+
+
 def qa_hints(name: Column, kind: Column, content: Column, summary: Column) -> Column:
     """Questions that a reader may ask of a chunk, 5 at most, in the order of the rules."""
-    base, parent = F.element_at(F.split(name, r"\."), -1), F.element_at(F.split(name, r"\."), 1)
-    function = kind.isin("function", "method")
-    text, said = F.coalesce(content, F.lit("")), F.lower(F.coalesce(summary, F.lit("")))
-    table = F.array_sort(F.array_distinct(found(text, r"\.(?:query|insert|update|delete)\s*\(\s*['\"](\w+)['\"]")))
-    about = F.flatten(F.transform(table, lambda t: F.array(F.format_string("Which functions interact with the %s table?", t), F.format_string("How is the %s table used?", t))))
-
-    def when(condition: Column, *questions) -> Column:
-        values = F.array(*[q if isinstance(q, Column) else F.lit(q) for q in questions])
-        return F.when(condition, values).otherwise(strings([]))
-
-    rules = F.array(
-        when(kind == "class", F.format_string("What does the %s class do?", name), F.format_string("How does %s work?", name)),
-        when(function, F.format_string("What does %s do?", base), F.format_string("How does %s work?", base)),
-        when(function & F.contains(name, F.lit(".")), F.format_string("How does %s handle %s?", parent, base)),
-        about,
-        when(text.rlike(r"(?i)\b(bcrypt|jwt|token|hash|encrypt|password)\b"), "How is security implemented?", "What security measures are in place?"),
-        when(text.rlike(r"(?i)\b(cache|ttl|memoize|lru)\b"), "How is caching used?", "How to improve performance?"),
-        when(text.rlike(r"(?i)\b(rate|throttle|limit)\b"), "How are API endpoints protected?", "What prevents too many requests?"),
-        when(text.rlike(r"(?i)\b(email|send_email|smtp)\b"), "How are emails sent?"),
-        when(F.contains(said, F.lit("reset")) & F.contains(said, F.lit("password")), "What happens when a user forgets their password?"),
-        when(F.contains(said, F.lit("migration")), "How are database schema changes managed?"),
-        when(F.contains(said, F.lit("refresh")) & F.contains(said, F.lit("token")), "What happens when a token expires?"),
-    )
-    return F.slice(F.flatten(rules), 1, 5)
+    split, text, said = F.split(name, r"\."), F.coalesce(content, F.lit("")), F.lower(F.coalesce(summary, F.lit("")))
+    values = {"name": name, "base": F.element_at(split, -1), "parent": F.element_at(split, 1)}
+
+    def asked(question: str, known: dict[str, Column]) -> Column:
+        parts = re.split(r"\{(\w+)\}", question)
+        return F.concat(*[known[x] if i % 2 else F.lit(x) for i, x in enumerate(parts) if x])
+
+    rules = []
+    for field, what, questions in QUESTIONS:
+        if field == "table":
+            tables = F.array_sort(F.array_distinct(found(text, what)))
+            rules.append(F.flatten(F.transform(tables, lambda t: F.array(*[asked(q, {"table": t}) for q in questions]))))  # noqa: B023
+            continue
+        holds = {
+            "name": lambda: kind.isin(*what.split()), "dotted": lambda: kind.isin(*what.split()) & F.contains(name, F.lit(".")),  # noqa: B023
+            "text": lambda: text.rlike(what), "said": lambda: reduce(lambda a, b: a & b, [F.contains(said, F.lit(w)) for w in what.split()]),  # noqa: B023
+        }[field]()
+        rules.append(F.when(holds, F.array(*[asked(q, values) for q in questions])).otherwise(strings([])))
+    return F.slice(F.flatten(F.array(*rules)), 1, 5)
 
 
 def embedding_text(chunk: DataFrame) -> Column:

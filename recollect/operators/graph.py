@@ -114,17 +114,51 @@ def reachable(edges: DataFrame) -> DataFrame:
             return pairs
 
 
-def trimmed(edges: DataFrame) -> DataFrame:
-    """Edges left when nodes without a way in or out are taken off again and again: all cycles stay."""
-    edges = written(edges.select("u", "v").distinct(), "trim")
+def contracted(edges: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(edges left, [(x, u, v) of each round]): nodes without a way in or out are taken off, and nodes with one way in and one out
+    give way to a shortcut u -> v from the one to the other; all cycles stay, shorter.
+
+    Of such nodes in a row those go whose hash of the round is less than those beside them: about a third of a chain or a ring, so
+    that one of n nodes takes a logarithm of n rounds. Edges don't get more.
+    """
+    edges, rounds = written(edges.select("u", "v").distinct(), "contract"), []
     n = edges.count()
     while n:
-        kept = edges.join(edges.select(F.col("v").alias("u")).distinct().hint("merge"), "u", "left_semi").join(edges.select(F.col("u").alias("v")).distinct().hint("merge"), "v", "left_semi")
-        edges = written(kept.select("u", "v"), "trim")
-        n, before = edges.count(), n
+        ends = edges.where("u <> v")
+        into = ends.groupBy(F.col("v").alias("x")).agg(F.count("*").alias("i"), F.min("u").alias("u"))
+        out = ends.groupBy(F.col("u").alias("x")).agg(F.count("*").alias("o"), F.min("v").alias("v"))
+        loops = edges.where("u = v").select(F.col("u").alias("x"), F.lit(True).alias("loop"))
+        nodes = into.join(out.hint("merge"), "x", "full").join(loops.hint("merge"), "x", "full")
+        both = F.col("i").isNotNull() & F.col("o").isNotNull()
+        kind = F.when(F.col("loop").isNotNull(), "stay").when(~both, "off").when((F.col("i") == 1) & (F.col("o") == 1), "chain").otherwise("stay")
+        nodes = written(nodes.select("x", "u", "v", kind.alias("kind"), F.xxhash64(F.lit(len(rounds)), "x").alias("p")), "degrees")
+        chain = nodes.where("kind = 'chain'").select("x", "u", "v", "p")
+        near = chain.select(F.col("x").alias("y"), F.col("p").alias("q"))
+        least = chain
+        for side in ("u", "v"):  # less than the chain nodes on both sides, or than itself by name
+            beside = near.withColumnRenamed("y", side).withColumnRenamed("q", f"q_{side}")
+            least = least.join(beside.hint("merge"), side, "left")
+        lower = lambda side: F.col(f"q_{side}").isNull() | (F.struct("p", "x") < F.struct(F.col(f"q_{side}"), F.col(side)))
+        gone = written(least.where(lower("u") & lower("v")).select("x", "u", "v"), "shortcuts")
+        off = gone.select("x").unionByName(nodes.where("kind = 'off'").select("x"))
+        kept = edges.join(off.hint("merge"), F.col("u") == F.col("x"), "left_anti").join(off.hint("merge"), F.col("v") == F.col("x"), "left_anti")
+        edges, before = written(kept.unionByName(gone.select("u", "v")).distinct(), "contract"), n
+        rounds.append(gone)
+        n = edges.count()
         if n == before:
             break
-    return edges
+    return edges, rounds
+
+
+def expanded(labels: DataFrame, rounds: list[DataFrame]) -> DataFrame:
+    """(node, cycle) of all nodes on cycles, from that of those that contraction left: a node that gave way to a shortcut is on a cycle
+    if both ends of the shortcut are on the same."""
+    for gone in reversed(rounds):
+        if gone.isEmpty():
+            continue
+        ends = gone.join(labels.toDF("u", "cu").hint("merge"), "u").join(labels.toDF("v", "cv").hint("merge"), "v")
+        labels = written(labels.unionByName(ends.where("cu = cv").select(F.col("x").alias("node"), F.col("cu").alias("cycle"))), "cycles")
+    return labels
 
 
 def spread(start: DataFrame, edges: DataFrame) -> DataFrame:
@@ -144,32 +178,43 @@ PAIRED = 1000
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
-    """(node, cycle, size) of the nodes on a cycle of edges (u, v): cycle is the least node of a strongly connected component.
+    """(node, cycle, size) of the nodes on a cycle of edges (u, v): cycle is the least node of a strongly connected component. An edge
+    from a node to itself is a cycle.
 
-    Nodes that can't be on a cycle are trimmed off. Of a few nodes that are left all paths are listed. Of more, each node takes the least node that reaches it as its color; what reaches
-    that node back within its color is a component, which is taken out; and again, until no edge is left: tables have a
-    row for each node or edge. Both give the same rows.
+    The graph is contracted first, so that rounds go with the logarithm of its chains. Of a few nodes that are left all paths are
+    listed. Of more, each node takes the least node that reaches it as its color; what reaches that node back within its color is
+    a component, which is taken out; and again, until no edge is left: tables have a row for each node or edge. Both
+    give the same rows. Nodes that gave way get their components back, round by round.
     """
     found: list[DataFrame] = []
-    edges = trimmed(edges)
+    edges, rounds = contracted(edges)
+    loops = [edges.where("u = v").select(F.col("u").alias("node"))]
     if edges.select("u").distinct().limit(PAIRED + 1).count() <= PAIRED:
         reach = reachable(edges)
         both = reach.join(reach.select(F.col("v").alias("u"), F.col("u").alias("v")).hint("merge"), ["u", "v"])
-        return both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("cycle"), F.count("*").alias("size"))
-    while not edges.isEmpty():
-        nodes = edges.select(F.col("u").alias("node")).distinct()
-        colors = spread(nodes.withColumn("color", F.col("node")), edges)
-        ends = edges.join(colors.toDF("u", "cu").hint("merge"), "u").join(colors.toDF("v", "cv").hint("merge"), "v")
-        inside = written(ends.where("cu = cv").select(F.col("v").alias("u"), F.col("u").alias("v")), "same-color")  # turned round
-        # backwards from each color's own node: it is the least of its color, so it spreads to all that reach it
-        back = spread(colors.select("node", F.when(F.col("node") == F.col("color"), F.col("color")).alias("color")), inside)
-        part = written(back.where("color is not null").join(colors.toDF("node", "own").hint("merge"), "node").where("color = own").select("node", F.col("own").alias("cycle")), "component")
-        found.append(part)
-        gone = part.select("node")
-        left = edges.join(gone.hint("merge"), F.col("u") == F.col("node"), "left_anti").join(gone.hint("merge"), F.col("v") == F.col("node"), "left_anti")
-        edges = trimmed(left)
-    every = written(reduce(DataFrame.unionByName, found), "components")
-    return every.join(every.groupBy("cycle").agg(F.count("*").alias("size")).hint("merge"), "cycle").select("node", "cycle", "size")
+        labels = written(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("cycle")), "components")
+    else:
+        while not edges.isEmpty():
+            nodes = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
+            colors = spread(nodes.withColumn("color", F.col("node")), edges)
+            ends = edges.join(colors.toDF("u", "cu").hint("merge"), "u").join(colors.toDF("v", "cv").hint("merge"), "v")
+            inside = written(ends.where("cu = cv").select(F.col("v").alias("u"), F.col("u").alias("v")), "same-color")  # turned round
+            # backwards from each color's own node: it is the least of its color, so it spreads to all that reach it
+            back = spread(colors.select("node", F.when(F.col("node") == F.col("color"), F.col("color")).alias("color")), inside)
+            part = written(back.where("color is not null").join(colors.toDF("node", "own").hint("merge"), "node").where("color = own").select("node", F.col("own").alias("cycle")), "component")
+            found.append(part)
+            gone = part.select("node")
+            left = edges.join(gone.hint("merge"), F.col("u") == F.col("node"), "left_anti").join(gone.hint("merge"), F.col("v") == F.col("node"), "left_anti")
+            edges, more = contracted(left)
+            rounds += more
+            loops.append(edges.where("u = v").select(F.col("u").alias("node")))
+        every = written(reduce(DataFrame.unionByName, found), "components")
+        # a node alone is on a cycle only by an edge to itself
+        many = every.groupBy("cycle").agg(F.count("*").alias("n")).where("n > 1").select("cycle")
+        labels = written(every.join(many.hint("merge"), "cycle", "left_semi").unionByName(every.join(many.hint("merge"), "cycle", "left_anti").join(reduce(DataFrame.unionByName, loops).distinct().hint("merge"), "node", "left_semi").select("cycle", "node")).select("node", "cycle"), "components")
+    every = expanded(labels, rounds)
+    least = every.groupBy("cycle").agg(F.min("node").alias("least"), F.count("*").alias("size"))
+    return every.join(least.hint("merge"), "cycle").select("node", F.col("least").alias("cycle"), "size")
 
 
 def circular_dependencies(edges: DataFrame) -> DataFrame:

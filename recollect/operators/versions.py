@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recollect.functions.tables import latest
+from recollect.functions.tables import latest, written
 
 
 def blob_hash(*columns: str, parity: bool = False, created: str = "created_at") -> Column:
@@ -69,12 +69,19 @@ def history(log: DataFrame) -> DataFrame:
 
 
 def walk(commits: DataFrame, heads: DataFrame, limit: int = 10) -> DataFrame:
-    """(name, sha, depth): from each head (name, sha) along first parents, of commits (sha, parent), `limit` commits at most."""
-    text = f"""with recursive walk(name, sha, parent, depth) as (
-select h.name, c.sha, c.parent, 0 from {{heads}} h join {{commits}} c on c.sha = h.sha
-union all select w.name, c.sha, c.parent, w.depth + 1 from walk w join {{commits}} c on c.sha = w.parent where w.depth + 1 < {int(limit)})
-select name, sha, depth from walk"""
-    return commits.sparkSession.sql(text, heads=heads, commits=commits)
+    """(name, sha, depth): from each head (name, sha) along first parents, of commits (sha, parent), `limit` commits at most, whatever
+    the limit: a round doubles the depth and the length of the jumps from a commit to its ancestor."""
+    parents = commits.select("sha", "parent")
+    found = written(heads.select("name", "sha").join(parents.select("sha").hint("merge"), "sha").select("name", "sha", F.lit(0).alias("depth")), "walk")
+    jumps, length = parents.where("parent is not null").join(parents.select(F.col("sha").alias("parent")).hint("merge"), "parent").select("sha", F.col("parent").alias("to")), 1
+    while length < limit:
+        further = found.where(F.col("depth") + length < limit).join(jumps.hint("merge"), "sha").select("name", F.col("to").alias("sha"), (F.col("depth") + length).alias("depth"))
+        if further.isEmpty():
+            break
+        found = written(found.unionByName(further), "walk")
+        jumps = written(jumps.select("sha", F.col("to").alias("over")).join(jumps.select(F.col("sha").alias("over"), "to").hint("merge"), "over").select("sha", "to"), "jumps")
+        length *= 2
+    return found
 
 
 def list_refs(refs: DataFrame) -> DataFrame:

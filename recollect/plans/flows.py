@@ -100,7 +100,7 @@ def export_bundle(spark, sf_dir):
     documents = dd.table(spark, sf_dir, "documents").select(agent("doc_id"), F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("content"))
     checkpoints = dd.session_events(spark, sf_dir).where("action = 'store'").select("agent_id", F.col("event_id").alias("id"), "ts")
     io.export_bundle(dd.memories(spark, sf_dir), documents, checkpoints, path)
-    read = {"memories": io.read_memories(spark, f"{path}/memories"), "documents": spark.read.schema("id long, content string, agent_id string").json(f"{path}/documents"), "checkpoints": spark.read.schema("id long, ts timestamp, agent_id string").json(f"{path}/checkpoints")}
+    read = io.import_bundle(spark, path, "id long, content string, agent_id string", "id long, ts timestamp, agent_id string")
     size = {"memories": F.length("content"), "documents": F.length("content"), "checkpoints": F.lit(0)}
     each = [t.groupBy("agent_id").agg(F.count("*").alias("n"), F.sum(size[k]).alias("chars")).select(F.lit(k).alias("kind"), "agent_id", "n", "chars") for k, t in read.items()]
     return each[0].unionByName(each[1]).unionByName(each[2])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions.tables import shared_path, top_rows
 from recollect.operators import maintain as mt
+from recollect.operators import stored
 from recollect.operators import versions as vs
 from recollect.plans.changes import _LOG, _SHAS, _log, _states
 from recollect.sources import driverdata as dd
@@ -89,6 +90,23 @@ def export_state(spark, sf_dir):
     return vs.as_of(_log(spark, sf_dir), 2).join(blobs.hint("merge"), "sha").select("file_path", F.length("content").alias("n_chars"))
 
 
+def state_at_commit(spark, sf_dir):
+    """The state at commit 39 of 40, stored with a snapshot behind each 8th: commit k sets the files whose number has remainder k by
+    40, and deletes those that the commit ten before has set."""
+    d = dd.table(spark, sf_dir, "documents").select((F.col("doc_id") % 40 + 1).cast("long").alias("seq"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file_path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    log = d.withColumn("deleted", F.lit(False)).unionByName(d.withColumns({"seq": F.col("seq") + 10, "deleted": F.lit(True)}).where("seq <= 40"))
+    path = shared_path(spark, "commit-log")
+    stored.store_log(log, path, 8)
+    return stored.state_at(spark, path, 39, 8)
+
+
+def list_memories_page(spark, sf_dir):
+    """A late page of each agent's memories, newest first, from the ranges that hold it."""
+    m = dd.memories(spark, sf_dir).select("agent_id", "id", "ord", "created_at")
+    pages = stored.Pages(m, ["agent_id"], [("created_at", True), ("ord", True)], shared_path(spark, "pages"), 500)
+    return pages.page(30, 10).select("agent_id", "id", "rank", "total")
+
+
 def snapshot_contexts(spark, sf_dir):
     """A full-state snapshot of the file contexts: a blob by content, and not by time, for each."""
     a = dd.snapshots(spark, sf_dir)[0].withColumn("created_at", F.current_timestamp())
@@ -99,7 +117,7 @@ def compare_snapshots(spark, sf_dir):
     return vs.diff_snapshots(*_states(spark, sf_dir)).groupBy("change").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (read_corpus, read_vectors, clear_vectors, list_documents, list_checkpoints, count_documents, count_checkpoints, show_commit, branch, tag, checkout, export_state, snapshot_contexts, compare_snapshots)}
+QUERIES = {f.__name__: f for f in (read_corpus, read_vectors, clear_vectors, list_documents, list_checkpoints, count_documents, count_checkpoints, show_commit, branch, tag, checkout, export_state, state_at_commit, list_memories_page, snapshot_contexts, compare_snapshots)}
 
 _REFS = "refs as (select case action when 'store' then 'tag' when 'hit' then 'agent' else 'branch' end as kind, file_path as name, event_id as seq, sha256(event_id::varchar) as sha from session_events)"
 SQL = {
@@ -115,6 +133,8 @@ SQL = {
     "tag": with_views("session_events", body=_REFS + "\nselect kind, name, arg_max(sha, seq) as sha, max(seq) as seq from refs where kind = 'tag' group by 1, 2"),
     "checkout": with_views("session_events", body=_REFS + "\nselect kind, name, arg_min(sha, seq) as sha, max(seq) + 1 as seq from refs where kind = 'agent' group by 1, 2"),
     "export_state": with_views("snapshots", body="select file_path, len(content)::int as n_chars from snap_b"),
+    "state_at_commit": "select 'd' || doc_id as file_path, sha256(coalesce(text, '')) as sha from documents where doc_id % 40 + 1 between 30 and 39",
+    "list_memories_page": with_views("memories", body="select agent_id, id, rank, total from (select agent_id, id, row_number() over (partition by agent_id order by created_at desc, ord desc) as rank, count(*) over (partition by agent_id) as total from memories) where rank between 31 and 40"),
     "snapshot_contexts": with_views("snapshots", body="""select file_path, sha256('{"content":"' || replace(replace(replace(replace(content, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(9), '\\t') || '","file_path":"' || file_path || '"}') as sha from snap_a""".replace("\\\\\\\\", "\\\\")),
     "compare_snapshots": with_views("snapshots", body=_SHAS + "\nselect change, count(*) as n from (select 'added' as change from (select * from sb except select * from sa) union all select 'removed' from (select * from sa except select * from sb)) group by 1"),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from recollect.functions.text import MEMORY_STOPWORDS, QUERY_STOPWORDS, tokenize_query
@@ -175,6 +177,25 @@ QUERIES = {
     "symbolic_boost": symbolic_boost, "reflect": reflect, "pull_context": pull_context, "context_answer": context_answer, "cosine": cosine, "normalise_vector": normalise_vector, "hash_embed": hash_embed,
 }
 
+
+
+def _reflect_sql(first: int, k: int, rounds: int) -> str:
+    """Rounds of second looks, one after another: each searches the sub-queries of the queries that still have fewer than k rows."""
+    steps = [f"seen_0 as (select query_id, id, ord, score, 0 as round from ({_top('keyword', first)}))", """subs as (select query_id as parent, embedding, unnest(list_concat(list_concat(list_filter(keywords, lambda w: len(w) > 4)[1:1],
+ case when len(keywords) >= 2 then [keywords[1] || ' ' || keywords[2]] else []::varchar[] end), persons[1:1])[1:3]) as query from analyzed)"""]
+    for r in range(1, rounds + 1):
+        steps.append(f"""subs_{r} as (select parent || ':' || query as query_id, parent, query, embedding from subs where parent in
+ (select a.query_id from analyzed a left join (select query_id, count(*) as n from seen_{r - 1} group by 1) using (query_id) where coalesce(n, 0) < {k}))""")
+        body = _BOTH + ",\n" + _hybrid(3 * k * r)
+        for name in ("parsed", "kraw", "keyword", "semantic", "st", "kt", "hybrid"):
+            body = re.sub(rf"\b{name}\b", f"{name}_{r}", body)
+        steps.append(re.sub(r"\bqueries\b", f"subs_{r}", body))
+        again = _top(f"(select * from hybrid_{r} where score >= 0)", k * r)
+        steps.append(f"""seen_{r} as (select * from seen_{r - 1} union all select parent, id, ord, round(max(score) * 0.9::double + 1e-9::double, 3), {r} from ({again}) join subs_{r} using (query_id)
+ where not exists (select 1 from seen_{r - 1} s where s.query_id = parent and s.id = id_) group by parent, id, ord)""".replace("s.id = id_", "s.id = found.id").replace(f"from ({again}) join", f"from ({again}) found join"))
+    return with_views("memories", "vectors", "queries", body=_ANALYZED + ",\n" + _KEYWORD + ",\n" + ",\n".join(steps) + f"\nselect query_id, id, ord, score, round from seen_{rounds}")
+
+
 _BOOST = """select query_id, id, ord, round(score + 0.2::double * len(list_intersect(list_transform(a.persons, lambda p: lower(p)), list_transform(m.persons, lambda p: lower(p)))) + 1e-9::double, 3) as score"""
 _ANALYSIS = with_views("memories", "vectors", "queries", body=_ANALYZED + "\nselect query_id, array_to_string(keywords, ' ') as keywords, array_to_string(persons, ' ') as persons, complexity, greatest(5, least(floor(5 * (1 + complexity)), 15))::bigint as k from analyzed")
 SQL = {
@@ -184,6 +205,7 @@ SQL = {
     "semantic_search": with_views("memories", "vectors", "queries", body=_SEMANTIC + "\n" + _top("semantic", 10)),
     "hybrid_search": with_views("memories", "vectors", "queries", body=_BOTH + ",\n" + _hybrid(30) + "\n" + _top("hybrid", 10)),
     "batch_search": with_views("memories", "vectors", "queries", body=_BOTH + ",\n" + _hybrid(9) + "\n" + _top("hybrid", 3)),
+    "reflect": _reflect_sql(3, 5, 2),
     "analyze_query": _ANALYSIS, "query_complexity": f"select query_id, complexity from ({_ANALYSIS})",
     "dynamic_k": "select query_id, " + ", ".join(f"greatest({k}, least(floor({k} * (1 + complexity)), {3 * k}))::bigint as k_of_{k}" for k in (3, 5, 20)) + f" from ({_ANALYSIS})",
     "extract_time_filter": with_views("memories", body=r"""said as (select id, lower(['today ', 'since last  week ', 'recently ', 'this month ', ''][ord % 5 + 1] || content) as t from memories),

@@ -40,17 +40,17 @@ def duck():
     return con
 
 
-def test_every_query_has_sql_but_for_those_named():
-    assert set(registry.QUERIES) - set(registry.SQL) == {"reflect"}
-    assert set(registry.SQL) <= set(registry.QUERIES)
+def test_every_query_has_sql():
+    assert set(registry.QUERIES) == set(registry.SQL)
     assert set(registry.QUERIES) <= set(entry_points.queries())
 
 
 def test_library_stands_without_the_corpus_subpackage(tmp_path):
-    """A copy without recollect/llm and tests/llm, with and without the pipeline's file, imports and gives its queries."""
+    """A copy without recollect/llm and tests/llm, with and without the pipeline's file, imports, gives its queries and runs one."""
     top = Path(__file__).resolve().parents[1]
     shutil.copytree(top, tmp_path / "copy", ignore=lambda folder, names: [n for n in names if n in ("llm", ".git", "__pycache__", ".pytest_cache")])
     code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q) and 'retrieve' in q and not any(n.startswith('op') and n[2].isdigit() or n == 'pipeline' for n in q)"
+    code += f"; from pyspark.sql import SparkSession; s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate(); assert q['keyword_search'](s, '{SF}').count() > 0"
     for _ in range(2):
         subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path / "copy", env=os.environ | {"PYTHONPATH": ""}, check=True)
         (tmp_path / "copy" / "corpus_pipeline.py").unlink(missing_ok=True)
