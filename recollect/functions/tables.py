@@ -29,6 +29,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt_out(df: DataFrame) -> DataFrame:
+    """The rows of a table, over as many tasks as there are cores if its files give fewer; else as they are. For work that is heavy
+    for its bytes, as a small file that can't be split is one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def top_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, per_row: Column | None = None) -> DataFrame:
     """The first k rows of each key, with `rank`. The literal bound lets Spark prune before the shuffle; per_row is a
     smaller bound of the row's own."""
