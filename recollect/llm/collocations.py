@@ -297,11 +297,12 @@ def counted(held: DataFrame, phrases: DataFrame, longest: int) -> DataFrame:
                 if len(on):
                     yield pa.RecordBatch.from_arrays([pa.array([begin // width], pa.int32()), pa.array([on], pa.list_(pa.int32())), pa.array([into[begin + on]], pa.list_(pa.int64()))], ["range", "at", "n"])
 
-        def summed(key, table, sent=sent):
+        def summed(key, table):
             total, begin = np.zeros(width, np.int64), key[0].as_py() * width
             for at, n in zip(table["at"], table["n"]):
                 total[at.values.to_numpy()] += n.values.to_numpy()
-            return sent.value.told(begin, total[: len(sent.value.base) - begin])
+            trie = sent.value  # noqa: B023
+            return trie.told(begin, total[: len(trie.base) - begin])
 
         rows = held.select("ids", "lead", "hashes").mapInArrow(run, "range int, at array<int>, n array<bigint>")
         out.append(written(rows.groupBy("range").applyInArrow(summed, "key array<bigint>, a bigint"), "phrase-counts", rows=SHARDS))
