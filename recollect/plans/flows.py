@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from recollect.functions.tables import shared_path
 from recollect.operators import code_search as cs
-from recollect.operators import maintain as mt
 from recollect.operators import reports as rp
 from recollect.operators.definitions import chunk_definitions
 from recollect.plans.code import _IDF, _PARSED, _BAGS, CONCEPTS, _queries
