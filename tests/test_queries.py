@@ -64,3 +64,14 @@ def test_entry(spark):
 def test_query_equals_sql(spark, duck, name):
     ours, theirs = normal(registry.QUERIES[name](spark, SF).toPandas()), normal(duck.sql(registry.SQL[name]).df())
     pd.testing.assert_frame_equal(ours, theirs, check_dtype=False)
+
+
+def test_concurrency_caps_with_equal_starts(spark, duck, tmp_path):
+    """Users of one agent whose sessions start and end at the same times: a time over the cap counts once in both."""
+    copies = " union all ".join(f"select event_id + {k} * 1000000 as event_id, ts, user_id + {k} * 10000 as user_id, event_type, value, props from events" for k in range(8))
+    duck.sql(f"copy ({copies}) to '{tmp_path}/events.parquet' (format parquet)")
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet'")
+    ours, theirs = normal(registry.QUERIES["concurrency_caps"](spark, str(tmp_path)).toPandas()), normal(con.sql(registry.SQL["concurrency_caps"]).df())
+    pd.testing.assert_frame_equal(ours, theirs, check_dtype=False)
+    assert (theirs["over"].astype(float) > 0).any()
