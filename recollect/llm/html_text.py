@@ -69,12 +69,14 @@ _SPACE = re.compile(r"\s+")
 
 def marks(tag: str, known: dict[str, str], inside: bool) -> bool:
     """Whether a class or id says that an element isn't the article: all letter runs of a token are marker words (so
-    has-sidebar is none); in an article the token itself is one, and ids of headings, which repeat their text, say nothing."""
+    has-sidebar is none); in an article the token itself is one, and ids of headings, which repeat their text, say nothing. A part of a
+    container's name may mark it, but not of the id of a section in an article, which repeats its heading."""
     if tag in MAIN or tag in ("html", "body"):
         return False
     tokens = f"{known.get('class', '')} {known.get('id', '') if not (inside and tag in HEADINGS) else ''}".lower().split()
     names = [set(_NAME.findall(x)) for x in tokens]
-    if tag in CONTAINERS and any(not STRONG.isdisjoint(x) and STATING.isdisjoint(x) for x in names):
+    own = len(known.get("class", "").split()) if inside and tag == "section" else len(names)
+    if tag in CONTAINERS and any(not STRONG.isdisjoint(x) and STATING.isdisjoint(x) for x in names[:own]):
         return True
     if inside:  # a paragraph or a heading that is called an alert may be the article's: counts tell
         return tag in CONTAINERS and not WORDS.isdisjoint(tokens)
