@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recollect.llm.runs import SIZE, classes, gathered, numbered, parts, runs
-from recollect.llm.shared import written
+from recollect.llm.shared import release, written
 
 #: Classes of bytes: of words (0), between words (1), between pieces (2).
 KINDS = classes(b" \t", b".,;:!?\n\x0b\x0c\r")
@@ -30,8 +30,8 @@ _SEPARATOR = re.compile(rb"[ \t.,;:!?\n-\r]")
 SLOTS, PHRASES, WIDE, SALTS = 1 << 20, 2_000_000, 32, 32
 #: Rows of documents, shards, and rows of phrases of an Arrow batch.
 ROWS, SHARDS, TOLD = 512, 1, 1 << 15
-#: States that all tasks together tell of a range.
-SUMMED = 1 << 22
+#: States that all tasks together tell of a range; positions of a shard that are moved on together.
+SUMMED, MOVED = 1 << 22, 1 << 17
 
 
 def shard(text: bytes, starts: list[int], langs: list[str], lead: int, salt: int) -> tuple[list, np.ndarray]:
@@ -83,7 +83,7 @@ def shards(docs: DataFrame, longest: int, salt: int, lang_col: str, text_col: st
             for ids, lead, hashes, names, words, counts in shards_of(langs, texts, longest, salt):
                 one = lambda x, kind: pa.array([x], pa.list_(kind))
                 yield pa.RecordBatch.from_arrays([one(ids, pa.int32()), pa.array([lead], pa.int32()), one(hashes, pa.int64()), one(names, pa.string()), one(words, pa.string()), one(counts, pa.int64())], ["ids", "lead", "hashes", "langs", "words", "counts"])
-            pa.default_memory_pool().release_unused()
+            release()
 
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     return written(rows.mapInArrow(run, _SHARD), "shards", rows=ROWS)
@@ -159,7 +159,7 @@ def candidates(held: DataFrame, bits: list[np.ndarray], least: int) -> DataFrame
                 columns = [*words, np.minimum(counts, least).astype(np.int32)]
                 for k in range(0, len(counts), TOLD):
                     yield pa.RecordBatch.from_arrays([pa.array(c[k : k + TOLD]) for c in columns], [*names, "n"])
-                pa.default_memory_pool().release_unused()
+                release()
 
     rows = held.select("ids", "lead", "hashes").mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", n int")
     found = written(rows.groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= least).select(*names), "candidates", rows=SHARDS)
@@ -225,14 +225,17 @@ class DoubleArray:
         return slots[back].astype(np.int64)
 
     def counts(self, ids: np.ndarray, lead: int, hashes: np.ndarray, into: np.ndarray) -> None:
-        """Add how often each accepting state is reached, with all positions of a shard moved on together."""
+        """Add how often each accepting state is reached, with MOVED positions of a shard moved on together."""
         at = np.searchsorted(self.hashes, hashes)
         at = np.where(at < len(self.hashes), at, 0)
-        code = np.concatenate([[-1], np.where(self.hashes[at] == hashes, at, -1)])[ids] if len(self.hashes) else np.full(len(ids), -1)
-        place = np.flatnonzero(code >= 0)
+        code = np.concatenate([[-1], np.where(self.hashes[at] == hashes, at, -1)]).astype(np.int32)[ids] if len(self.hashes) else np.full(len(ids), -1, np.int32)
+        for begin in range(0, len(ids), MOVED):
+            self.move(code, np.flatnonzero(code[begin : begin + MOVED] >= 0) + begin, lead, into)
+
+    def move(self, code: np.ndarray, place: np.ndarray, lead: int, into: np.ndarray) -> None:
         state = code[place]
         for level in range(1, self.levels):
-            on = place + level < len(ids)
+            on = place + level < len(code)
             place, state = place[on], state[on]
             on = code[place + level] >= 0
             place, state = place[on], state[on]
@@ -291,7 +294,7 @@ def counted(held: DataFrame, phrases: DataFrame, longest: int) -> DataFrame:
             for batch in batches:
                 for ids, lead, hashes in zip(batch.column(0), batch.column(1), batch.column(2)):
                     trie.counts(ids.values.to_numpy(), lead.as_py(), hashes.values.to_numpy(), into)
-                pa.default_memory_pool().release_unused()
+                release()
             for begin in range(0, len(into), width):
                 on = np.flatnonzero(into[begin : begin + width])
                 if len(on):

@@ -187,3 +187,22 @@ def test_classifier_odd_rows(spark):
     assert len({round(r["score"], 9) for r in few}) == 1
     assert len({r["score"] for r in classifier.quality_scores(docs, labels.limit(0)).collect()}) == 1
     assert classifier.quality_scores(docs.limit(0), labels).count() == 0
+
+
+def test_trie_counts_by_slices_of_a_shard(monkeypatch):
+    """Positions moved on 7 at a time: the counts of all at once, at the cuts too."""
+    from recollect.llm import collocations as c
+
+    rnd = np.random.default_rng(2)
+    hashes, ids = np.arange(10, 16), rnd.integers(0, 7, 500).astype(np.int32)
+    pairs = [(a, b) for a in hashes for b in hashes]
+    trie = c.DoubleArray([np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])], np.full(len(pairs), 2))
+    monkeypatch.setattr(c, "MOVED", 7)
+    into = np.zeros(len(trie.base), np.int64)
+    trie.counts(ids, 0, hashes, into)
+    told = trie.told(0, into).to_pydict()
+    want = {}
+    for a, b in zip(ids, ids[1:]):
+        if a and b:
+            want[int(hashes[a - 1]), int(hashes[b - 1])] = want.get((int(hashes[a - 1]), int(hashes[b - 1])), 0) + 1
+    assert {tuple(k): n for k, n in zip(told["key"], told["a"])} == want
