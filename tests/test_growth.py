@@ -47,3 +47,15 @@ def test_postings_of_chunks(spark):
     for size in (3, 100):
         got = {r["ord"]: {names[x["t"]]: {f for i, f in enumerate(cs.FEATURES) if x["bits"] >> i & 1} for x in r["found"]} for r in cs.postings_of(cs.lowered(c), texts, size).collect()}
         assert got == {k: {t: set(v.split()) for t, v in x.items()} for k, x in want.items()}
+
+
+def test_index_keys_make_no_automata(spark, monkeypatch):
+    """Automata are made of symbols alone: before, all keys of the index were collected too, one automaton after another."""
+    made = []
+    real = cs.automata
+    monkeypatch.setattr(cs, "automata", lambda patterns, size=cs.PATTERNS: (made.append(1) or x for x in real(patterns, size)))
+    index = spark.range(2000).select(F.concat(F.lit("k"), "id").alias("symbol"), F.lit("f.py").alias("file_path")).unionByName(spark.createDataFrame([("ük", "g.py"), ("xk7y", "h.py"), ("", "g.py")], "symbol string, file_path string"))
+    c = spark.createDataFrame([(1, "f.py", "n", "see ak7b", []), (2, "g.py", "n", "see k7 and ükk", []), (3, "h.py", "n", "k7", [])], "ord int, file_path string, name string, content string, keywords array<string>")
+    symbols = spark.createDataFrame([("ak7b",), ("k7",), ("ükk",)], "symbol string")
+    assert {(r["symbol"], r["ord"]) for r in cs.symbol_references(c, index, symbols, size=100).collect()} == {("ak7b", 1), ("k7", 1), ("k7", 3), ("ükk", 2)}
+    assert len(made) == 2
