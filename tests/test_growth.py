@@ -1,8 +1,11 @@
 """What steps hand on between stages and hold at once grows no faster than the rows that they read."""
 
+import tracemalloc
+
 from pyspark.sql import functions as F
 
 from recollect.operators import code_search as cs
+from recollect.operators import definitions
 
 
 def shuffled(spark, run) -> int:
@@ -59,3 +62,22 @@ def test_index_keys_make_no_automata(spark, monkeypatch):
     symbols = spark.createDataFrame([("ak7b",), ("k7",), ("ükk",)], "symbol string")
     assert {(r["symbol"], r["ord"]) for r in cs.symbol_references(c, index, symbols, size=100).collect()} == {("ak7b", 1), ("k7", 1), ("k7", 3), ("ükk", 2)}
     assert len(made) == 2
+
+
+def test_large_files_are_parsed_in_parts(monkeypatch):
+    """Parts give the definitions of the whole file, wherever they are cut, and a large file needs memory for its rows alone."""
+    text = "import a\r\nx = '''\ndef no(): pass\nclass no: pass\n'''\n@d(\n1)\nclass A:\n    def m(self, x):\n        s = \"\"\"\n@ b\ndef no2(): pass\n\"\"\"\n        return g(x)\n\nif x:\n    def f(): pass\nelse:\n    def h(): k.l()\rasync def q(a, *, b): await r()\n\x0cdef last(): pass"
+    whole = list(definitions.definitions_of(text))
+    assert [x[0] for x in whole] == ["A", "A.m", "f", "h", "q", "last"] and [x[2] for x in whole] == [6, 9, 17, 19, 20, 21]
+    for part in (1, 7, 40):
+        monkeypatch.setattr(definitions, "PART", part)
+        assert list(definitions.definitions_of(text)) == whole
+        assert definitions.batches_of("f", text + "\ndef broken(:")[0].to_pylist() == [{"hash": "f", "name": "", "kind": "file", "start_line": 1, "end_line": text.count("\n") + 2, "parameters": [], "calls": []}]
+    monkeypatch.undo()
+    large = "\n".join(f"@app.route('/x')\ndef part_{k}(a, b):\n    rows = self.db.query('x')\n    return part_{k}(rows, a)" for k in range(20_000))
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in definitions.batches_of("f", large))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    print(f"{peak:.0f} MB of Python objects for {len(large) / 1e6:.1f} MB of text")
+    assert rows == 20_000 and peak < 20
