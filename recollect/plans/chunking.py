@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from recollect.functions.tables import dealt_out
 from recollect.functions.text import decompose_identifier, detect_language, estimate_tokens, normalise_hash, number_lines
 from recollect.operators import chunks as ch
 from recollect.sources import driverdata as dd
@@ -19,7 +20,7 @@ def _files(spark, sf_dir):
 
 
 def _enriched(spark, sf_dir):
-    c = dd.code_chunks(spark, sf_dir)
+    c = dealt_out(dd.code_chunks(spark, sf_dir))
     return c.withColumn("keywords", ch.enriched_keywords(F.col("name"), F.col("type"), F.col("content"), F.col("summary"), F.array().cast("array<string>")))
 
 

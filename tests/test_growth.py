@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from recollect.operators import code_search as cs
 from recollect.operators import definitions
+from recollect.plans import registry
+from tests.conftest import SF
 
 
 def shuffled(spark, run) -> int:
@@ -81,3 +83,9 @@ def test_large_files_are_parsed_in_parts(monkeypatch):
     tracemalloc.stop()
     print(f"{peak:.0f} MB of Python objects for {len(large) / 1e6:.1f} MB of text")
     assert rows == 20_000 and peak < 20
+
+
+def test_small_files_give_work_to_all_cores(spark):
+    """A file that can't be split was one task, whatever its rows cost."""
+    for name in ("embedding_text", "enrich_keywords", "qa_hints"):
+        assert registry.QUERIES[name](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
