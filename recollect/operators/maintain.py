@@ -6,14 +6,18 @@ the next version.
 
 from __future__ import annotations
 
+import hashlib
+import re
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions.tables import latest, top_rows
 from recollect.functions.text import normalise_hash
-from recollect.functions.vectors import bucket_of, normalise
+from recollect.functions.vectors import normalise
 
 
 def upsert_file(stored: DataFrame, new: DataFrame, now: Column) -> DataFrame:
@@ -102,12 +106,34 @@ def bulk_add(memories: DataFrame, new: DataFrame, skip_duplicates: bool = False)
     return good, bad
 
 
+#: Words whose bucket a task remembers; rows that it works on at once.
+KNOWN, PIECE = 500_000, 256
+
+
 def hash_embed(items: DataFrame, dim: int) -> DataFrame:
-    """(id, embedding) of items (id, content): counts of hashed words, divided by their L2 norm. Items without a word have no row."""
-    words = items.select("id", F.explode(F.regexp_extract_all(F.lower("content"), F.lit("([a-z]+)"), F.lit(1))).alias("w")).groupBy("id", bucket_of(F.col("w"), dim).alias("b")).agg(F.count("*").alias("n"))
-    maps = words.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0)).cast("double"))
-    return maps.select("id", normalise(counts).alias("embedding"))
+    """(id, embedding) of items (id, content): counts of hashed words, divided by their L2 norm. Items without a word have no row.
+    Tasks count the words of whole items, so that an item is one row between stages; rows of an id are added up."""
+
+    def run(batches):
+        known: dict[str, int] = {}
+        for whole in batches:
+            for k in range(0, whole.num_rows, PIECE):
+                batch = whole.slice(k, PIECE)
+                counts = np.zeros((batch.num_rows, dim), np.int64)
+                for i, text in enumerate(batch.column(1).to_pylist()):
+                    words = re.findall("[a-z]+", text or "")
+                    if len(known) > KNOWN:
+                        known.clear()
+                    known.update((w, int(hashlib.md5(w.encode(), usedforsecurity=False).hexdigest()[:8], 16) % dim) for w in set(words) if w not in known)
+                    counts[i] = np.bincount(np.array([known[w] for w in words], np.int64), minlength=dim)
+                ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dim)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(counts.ravel()))], ["id", "counts"])
+
+    rows = items.select("id", F.lower("content").alias("content")).mapInArrow(run, f"id {items.schema['id'].dataType.simpleString()}, counts array<long>")
+    added = rows.groupBy("id").agg(F.collect_list("counts").alias("rows"))
+    zero = F.array_repeat(F.lit(0).cast("long"), dim)
+    counts = F.when(F.size("rows") == 1, F.col("rows")[0]).otherwise(F.aggregate("rows", zero, lambda s, x: F.zip_with(s, x, lambda a, b: a + b)))
+    return added.select("id", counts.alias("counts")).where(F.exists("counts", lambda x: x > 0)).select("id", normalise(F.transform("counts", lambda x: x.cast("double"))).alias("embedding"))
 
 
 def embed_missing(items: DataFrame, vectors: DataFrame, embed) -> DataFrame:

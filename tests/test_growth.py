@@ -5,7 +5,7 @@ import tracemalloc
 from pyspark.sql import functions as F
 
 from recollect.operators import code_search as cs
-from recollect.operators import definitions
+from recollect.operators import definitions, maintain
 from recollect.plans import registry
 from tests.conftest import SF
 
@@ -89,3 +89,13 @@ def test_small_files_give_work_to_all_cores(spark):
     """A file that can't be split was one task, whatever its rows cost."""
     for name in ("embedding_text", "enrich_keywords", "qa_hints"):
         assert registry.QUERIES[name](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_words_to_hash_are_not_rows(spark):
+    """An item is one row between stages, whatever its words: before, each bucket of its words was one. Rows of an id are added up."""
+    items = spark.range(500).select(F.col("id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda k: F.translate((k * 977 + F.col("id")).cast("string"), "0123456789", "abcdefghij")), " ").alias("content"))
+    odd = spark.createDataFrame([(1000, "Alpha beta"), (1000, "ALPHA"), (1001, "12 ü"), (1002, None)], "id long, content string")
+    found: list = []
+    rows = shuffled(spark, lambda: found.extend(maintain.hash_embed(items.unionByName(odd), 64).collect()))
+    got = {r["id"]: r["embedding"] for r in found}
+    assert len(got) == 501 and sorted(x for x in got[1000] if x) == [1 / 5**0.5, 2 / 5**0.5] and rows < 1000
