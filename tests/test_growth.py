@@ -2,10 +2,11 @@
 
 import tracemalloc
 
+import duckdb
 from pyspark.sql import functions as F
 
 from recollect.operators import code_search as cs
-from recollect.operators import definitions, maintain
+from recollect.operators import definitions, maintain, memory_search
 from recollect.plans import registry
 from tests.conftest import SF
 
@@ -99,3 +100,47 @@ def test_words_to_hash_are_not_rows(spark):
     rows = shuffled(spark, lambda: found.extend(maintain.hash_embed(items.unionByName(odd), 64).collect()))
     got = {r["id"]: r["embedding"] for r in found}
     assert len(got) == 501 and sorted(x for x in got[1000] if x) == [1 / 5**0.5, 2 / 5**0.5] and rows < 1000
+
+
+def test_cosines_are_whole_and_dealt_out(spark, tmp_path, monkeypatch):
+    """An id that comes twice gives its two rows a query, not four; each block of vectors is a task of its own; the pairs of a row
+    follow each other in small batches, so that a file's ids take a sixth of a byte a pair here (before, 0.28)."""
+    monkeypatch.setattr(memory_search, "BLOCK", 256)
+    monkeypatch.setattr(memory_search, "LEAVING", 16)
+    spark.read.parquet(f"{SF}/embeddings.parquet").createOrReplaceTempView("given")
+    shifted = "union all select vec_id + 1000 * k, transform(embedding, (x, i) -> cast(x + i % (k + 2) as float)), label from given lateral view explode(sequence(1, 3)) as k"
+    spark.sql(f"select vec_id, embedding, label from given {shifted} union all select 3, array_repeat(0.5f, 64), 0").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    made = registry.QUERIES["cosine"](spark, str(tmp_path))
+    made.write.parquet(f"{tmp_path}/out")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    con.sql(f"create view ours as select vec_id, query_id, cosine from '{tmp_path}/out/*.parquet'")
+    con.sql(f"create view theirs as {registry.SQL['cosine']}")
+    ours, theirs = (con.sql(f"select * from {t} order by all").fetchnumpy() for t in ("ours", "theirs"))
+    assert len(ours["cosine"]) == len(theirs["cosine"]) == 2001 * 100
+    assert (ours["vec_id"] == theirs["vec_id"]).all() and (ours["query_id"] == theirs["query_id"]).all() and abs(ours["cosine"] - theirs["cosine"]).max() < 2e-6
+    files = con.sql(f"select file_name, sum(total_compressed_size) filter (path_in_schema <> 'cosine'), sum(num_values) filter (path_in_schema = 'cosine') from parquet_metadata('{tmp_path}/out/*.parquet') group by 1").fetchall()
+    print(f"{sum(f[1] for f in files)} bytes of ids for {sum(f[2] for f in files)} pairs in {len(files)} files")
+    assert len(files) == 8 and max(f[2] for f in files) < 400 * 100
+    assert sum(f[1] for f in files) < 0.2 * sum(f[2] for f in files)
+
+
+def test_best_matches_of_a_block(spark, monkeypatch):
+    """The best of each query and block, ties by ord, with vectors of another length, zero vectors and none."""
+    m = spark.createDataFrame([(str(i), i) for i in range(9)], "id string, ord long")
+    x = [[1.0, 0.0], [2.0, 0.0], [1.0, 1.0], [0.0, 0.0], [-1.0, 0.0], [1.0, 0.0, 0.0], None, [0.0, 3.0]]
+    v = spark.createDataFrame([(str(i), e) for i, e in enumerate(x)], "id string, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [0.0, 1.0, 0.0]), (4, None)], "query_id int, embedding array<double>")
+    found = lambda *a: sorted(tuple(r) for r in memory_search.semantic_matches(m, v, q, *a).collect())
+    assert found(2) == [(1, "0", 0, 1.0), (1, "1", 1, 1.0), (2, "0", 0, 0.0), (2, "1", 1, 0.0), (3, "5", 5, 0.0)]
+    every = [(1, str(i), i, s) for i, s in ((0, 1.0), (1, 1.0), (2, 0.707107), (3, 0.0), (4, -1.0), (7, 0.0))] + [(2, str(i), i, 0.0) for i in (0, 1, 2, 3, 4, 7)] + [(3, "5", 5, 0.0)]
+    assert found(None, -1.0) == every
+    monkeypatch.setattr(memory_search, "BLOCK", 1)
+    monkeypatch.setattr(memory_search, "QUERY_BLOCK", 1)
+    monkeypatch.setattr(memory_search, "SENT", 0)
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert found(None, -1.0) == every
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
