@@ -75,3 +75,22 @@ def test_concurrency_caps_with_equal_starts(spark, duck, tmp_path):
     ours, theirs = normal(registry.QUERIES["concurrency_caps"](spark, str(tmp_path)).toPandas()), normal(con.sql(registry.SQL["concurrency_caps"]).df())
     pd.testing.assert_frame_equal(ours, theirs, check_dtype=False)
     assert (theirs["over"].astype(float) > 0).any()
+
+
+def test_concurrency_caps_counts_each_start(spark, duck, tmp_path):
+    """Eight users of one agent at the same times: each start over the cap counts, as a row for each start tells."""
+    copies = " union all ".join(f"select event_id + {k} * 1000000 as event_id, ts, user_id + {k} * 10000 as user_id, event_type, value, props from events" for k in range(8))
+    duck.sql(f"copy ({copies}) to '{tmp_path}/events.parquet' (format parquet)")
+    steps = []
+    for (agent, _), e in pd.read_parquet(tmp_path / "events.parquet").assign(agent=lambda x: x.user_id % 10, day=lambda x: x.ts.dt.strftime("%Y%m%d")).groupby(["user_id", "day"]):
+        if e.ts.min() < e.ts.max():
+            steps += [(e.agent.iloc[0], e.day.iloc[0], e.ts.min(), 1), (e.agent.iloc[0], e.day.iloc[0], e.ts.max(), -1)]
+    live, over = {}, {}
+    for agent, day, _, d in sorted(steps, key=lambda x: x[2:]):
+        key = str(agent), day
+        live[key] = live.get(key, 0) + d
+        over[key] = over.get(key, 0) + (d > 0 and live[key] > 5)
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet'")
+    for rows in (registry.QUERIES["concurrency_caps"](spark, str(tmp_path)).toPandas(), con.sql(registry.SQL["concurrency_caps"]).df()):
+        assert {(r.agent_id, r.day): int(r.over) for r in rows.itertuples()} == over
