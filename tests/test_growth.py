@@ -3,10 +3,12 @@
 import tracemalloc
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from recollect.operators import code_search as cs
-from recollect.operators import definitions, maintain, memory_search
+from recollect.operators import definitions, grouped, maintain, memory_search
 from recollect.plans import registry
 from tests.conftest import SF
 
@@ -144,3 +146,31 @@ def test_best_matches_of_a_block(spark, monkeypatch):
         assert found(None, -1.0) == every
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+
+
+def test_keyword_words_are_looked_up_once(spark, monkeypatch):
+    """Queries of the same words are one, and a token that comes again in another block isn't searched again; sums by parts, without
+    the product of matrices or in pieces of one memory are the same."""
+    words = [f"w{a}{b}" for a in "abcdefgh" for b in "xyz"]
+    rows = [(str(i), i, " ".join(words[(i * k) % 24] for k in range(1, 9)), [words[i % 24]], [], "topic", 0.1 * (i % 5)) for i in range(60)]
+    schema = "id string, ord long, content string, keywords array<string>, persons array<string>, topic string, importance double"
+    m = spark.createDataFrame(rows, schema)
+    q = spark.createDataFrame([(i, " ".join(words[(i % 4) * 5 : (i % 4) * 5 + 6])) for i in range(40)], "query_id int, query string")
+    asked = []
+    monkeypatch.setattr(memory_search, "grouped_top", lambda held, groups, *a, real=memory_search.grouped_top, **k: real(held, (asked.append(len(g.numbers)) or g for g in groups), *a, **k))
+    assert memory_search.keyword_search(m, q, 3).count() == 120 and asked == [4]
+
+    lowered = [{"id": r[0], "ord": r[1], "weight": r[6], "l_content": r[2], "l_topic": r[5], "l_keywords": r[3], "l_persons": r[4]} for r in rows]
+    found = []
+    for packed, often, cells in ((True, 96, 1 << 16), (True, 0, 1), (False, 0, 1 << 16)):
+        group = memory_search.AskedWords(np.arange(4), [words[k * 5 : k * 5 + 6] for k in range(4)])
+        group.packed, group.often = packed, group.often[:often]
+        monkeypatch.setattr(memory_search, "CELLS", cells)
+        best, seen = grouped.Best(np.full(4, 0.3), 3), []
+        monkeypatch.setattr(memory_search, "_found", lambda automaton, texts, real=memory_search._found, seen=seen: seen.extend(texts) or real(automaton, texts))
+        for at in range(0, 60, 20):
+            group.add(pa.array(lowered[at : at + 20]), best)
+        assert len(seen) == len(set(seen)) == 25
+        best.cut()
+        found.append([c.tolist() for c in best.parts[0]])
+    assert found[0] == found[1] == found[2] and len(found[0][0]) == 12
