@@ -30,6 +30,8 @@ _SEPARATOR = re.compile(rb"[ \t.,;:!?\n-\r]")
 SLOTS, PHRASES, WIDE, SALTS = 1 << 20, 2_000_000, 32, 32
 #: Rows of documents, shards, and rows of phrases of an Arrow batch.
 ROWS, SHARDS, TOLD = 512, 1, 1 << 15
+#: Bytes of a row group of shards, of which a task holds one at a time.
+SHARD_GROUP = 1 << 23
 #: States that all tasks together tell of a range; positions of a shard that are moved on together.
 SUMMED, MOVED = 1 << 22, 1 << 17
 
@@ -86,7 +88,7 @@ def shards(docs: DataFrame, longest: int, salt: int, lang_col: str, text_col: st
             release()
 
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    return written(rows.mapInArrow(run, _SHARD), "shards", rows=ROWS)
+    return written(rows.mapInArrow(run, _SHARD), "shards", rows=ROWS, group=SHARD_GROUP)
 
 
 def word_counts(held: DataFrame) -> DataFrame:

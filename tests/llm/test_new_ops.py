@@ -9,10 +9,11 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from recollect.llm import classifier, collocations, clusters, queries, runs
+from recollect.llm import classifier, collocations, clusters, queries, runs, shared
 from tests.conftest import SF
 
 
@@ -206,3 +207,14 @@ def test_trie_counts_by_slices_of_a_shard(monkeypatch):
         if a and b:
             want[int(hashes[a - 1]), int(hashes[b - 1])] = want.get((int(hashes[a - 1]), int(hashes[b - 1])), 0) + 1
     assert {tuple(k): n for k, n in zip(told["key"], told["a"])} == want
+
+
+def test_shards_stand_in_small_row_groups(spark, tmp_path, monkeypatch):
+    """Shards of one task: a row group ends at its size after any shard, and not only after a hundred."""
+    monkeypatch.setattr(collocations, "SHARD_GROUP", 1 << 16, raising=False)
+    docs = spark.range(6).coalesce(1).selectExpr("'en' as lang", "concat_ws(' ', transform(sequence(1L, 800000L), x -> concat('w', pmod(x * 7919 + id, 5000)))) as text")
+    monkeypatch.setattr(collocations, "written", lambda df, name, **k: shared.written(df, name, path=f"{tmp_path}/{name}", **k))
+    held = collocations.shards(docs, 3, 0, "lang", "text")
+    groups = [pq.ParquetFile(f).metadata for f in tmp_path.glob("shards/*.parquet")]
+    assert held.count() == sum(m.num_rows for m in groups) >= 6
+    assert max(m.row_group(k).num_rows for m in groups for k in range(m.num_row_groups)) == 1
